@@ -1,0 +1,53 @@
+"""Queries of the core operators for training data (problems 3 and 5)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.operators.names import link_names
+from quire.operators.splitting import split_oversized, with_profile
+from quire.sources.tables import table
+
+
+def oversized_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """One row per oversized text of manifest_chunks and chunk_specs, with its pieces."""
+    columns = ["row_id", "text", "chunker", "boundary_after"]
+    rows = None
+    for src in ("manifest_chunks", "chunk_specs"):
+        part = table(spark, d, src).select(F.lit(src).alias("src"), *columns)
+        rows = part if rows is None else rows.unionByName(part)
+    rows = with_profile(rows, table(spark, d, "chunk_profiles"))
+    return split_oversized(rows, ["src", "row_id"], F.col("text"), F.col("max_chunk_chars"), F.col("overlap_chars"), F.col("boundary_after"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows longer than the limit of their chunker: those the splitter cuts into several pieces."""
+    return oversized_pieces(spark, d).filter(F.size("pieces") > 1).select("src", "row_id")
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces themselves."""
+    return oversized_pieces(spark, d).select("src", "row_id", F.inline("pieces"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of different spellings of one entity of a book."""
+    return link_names(
+        table(spark, d, "manifest_chunks").select("book_id", "speaker"),
+        table(spark, d, "character_profiles").select("book_id", "profile_id", "display_name", "aliases"),
+        table(spark, d, "nickname_list"),
+    )
+
+
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found}
+
+_OVER = """SELECT 'manifest_chunks' AS src, row_id, text, chunker FROM manifest_chunks
+UNION ALL SELECT 'chunk_specs', row_id, text, chunker FROM chunk_specs"""
+
+ORACLES = {
+    "p3_found": f"""
+SELECT t.src, t.row_id FROM ({_OVER}) t
+JOIN chunk_profiles p ON p.chunker = CASE WHEN trim(coalesce(t.chunker, '')) = '' THEN 'default' ELSE trim(t.chunker) END
+WHERE length(t.text) > p.max_chunk_chars""",
+}
