@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.codepoints import GAP, batched, codes
-from quire.llm.pairs import PairModel, fit_pairs
+from quire.llm.pairs import PairModel
 
 #: Encodings that a text may wrongly have been read in, and those it may have been written in.
 READ_AS = ("cp1252", "latin-1", "cp1251", "cp866", "koi8-r", "kz1048", "ptcp154", "mac_roman", "mac_cyrillic", "iso8859-5", "cp437", "cp850", "cp1254", "cp1250", "gb18030", "cp932", "big5", "euc_kr")
@@ -192,11 +192,11 @@ def _runs(text: str, model: PairModel) -> list[tuple[int, int, float]]:
     return [(int(a), int(b), bits) for a, b, bits in spans if a < b and not text[int(a) : int(b)].isascii()]
 
 
-def repair(text: str, model: PairModel) -> tuple[bool, bool, str]:
-    """(was decoded wrongly, has lost bytes, restored text)."""
+def repair(text: str, model: PairModel, only_find: bool = False) -> tuple[bool, bool, str]:
+    """(was decoded wrongly, has lost bytes, restored text); with ``only_find`` it ends at the first finding."""
     lost = bool(_LOST.search(text)) or len(_LOST_LETTER.findall(text)) >= 2
     found = lost
-    if text.isascii():
+    if text.isascii() or found and only_find:
         return found, lost, text
     for _ in range(ROUNDS):
         changed = False
@@ -212,6 +212,8 @@ def repair(text: str, model: PairModel) -> tuple[bool, bool, str]:
                 spans.update(m.span() for m in _NO_HAN.finditer(text, a, b))
             tries = [(m[0], m[1], p, q) for p, q in spans if (m := _inverse(text[p:q], text[max(0, p - 1) : p], text[q : q + 1], model, strong))]
             if tries:
+                if only_find:
+                    return True, lost, text
                 _, new, p, q = max(tries)
                 text, changed = text[:p] + new + text[q:], True
                 if p < a:
@@ -221,6 +223,8 @@ def repair(text: str, model: PairModel) -> tuple[bool, bool, str]:
             for w in reversed(list(_WORD.finditer(text, a, b))):
                 p, q = w.span()
                 if (p, q) != (a, b) and (m := _inverse(text[p:q], text[max(0, p - 1) : p], text[q : q + 1], model, strong, True)):
+                    if only_find:
+                        return True, lost, text
                     text, changed = text[:p] + m[1] + text[q:], True
         found |= changed
         if not changed:
@@ -274,6 +278,28 @@ def suspects(texts: list[str | None], model: PairModel) -> np.ndarray:
     return found
 
 
+def wrong_rows(texts: list[str | None], model: PairModel) -> list[int]:
+    """Positions of the texts of a batch that were decoded wrongly."""
+    out = []
+    for a, b in batched(texts):
+        out += [a + i for i in np.flatnonzero(suspects(texts[a:b], model)).tolist() if repair(texts[a + i] or "", model, only_find=True)[0]]
+    return out
+
+
+def find_wrong(df: DataFrame, keys: list[str], text: str, model: PairModel) -> DataFrame:
+    """``keys`` of the rows whose text was decoded with a wrong encoding; null and empty texts are none."""
+    part = df.select(*keys, F.col(text).alias("_text")).filter(F.length("_text") > 0)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema if f.name in keys)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            take = pa.array(wrong_rows(batch.column(len(keys)).to_pylist(), shared.value), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(take) for i in range(len(keys))], names=keys)
+
+    return part.mapInArrow(run, schema)
+
+
 def fix_encoding(df: DataFrame, keys: list[str], text: str, model: PairModel) -> DataFrame:
     """``(*keys, lost, restored)`` of the rows whose text was decoded with a wrong encoding.
 
@@ -300,7 +326,3 @@ def fix_encoding(df: DataFrame, keys: list[str], text: str, model: PairModel) ->
 
     return part.mapInArrow(run, schema)
 
-
-def wrongly_decoded(texts: DataFrame) -> DataFrame:
-    """``(src, row_id, lost, restored)`` of a table ``(src, row_id, text)``; the model is fitted on the table itself."""
-    return fix_encoding(texts, ["src", "row_id"], "text", fit_pairs(texts.select("text")))

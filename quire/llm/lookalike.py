@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.codepoints import GAP, batched, codes
+from quire.llm.encoding import wrong_rows
 from quire.llm.pairs import PairModel
 
 FORMS = ("compat", "combining", "invisible", "space", "lookalike")
@@ -284,10 +285,16 @@ def holds_variants(texts: list[str | None]) -> np.ndarray:
     return mark
 
 
-def unify_forms(df: DataFrame, keys: list[str], text: str, model: PairModel) -> DataFrame:
+def find_forms(texts: DataFrame, model: PairModel) -> DataFrame:
+    """``unify_forms`` of a table (src, row_id, text), without the texts that were decoded wrongly."""
+    return unify_forms(texts, ["src", "row_id"], "text", model, skip_wrong=True)
+
+
+def unify_forms(df: DataFrame, keys: list[str], text: str, model: PairModel, skip_wrong: bool = False) -> DataFrame:
     """``(*keys, forms, unified)`` of the rows whose text is written with variants; other rows give none.
 
-    ``forms`` is an array of names out of ``FORMS``. Null and empty texts hold no variant.
+    ``forms`` is an array of names out of ``FORMS``. Null and empty texts hold no variant. With
+    ``skip_wrong`` texts that were decoded with a wrong encoding, whose characters are none of their own, give no row.
     """
     part = df.select(*keys, F.col(text).alias("_text")).filter(F.length("_text") > 0)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema if f.name in keys) + ", forms array<string>, unified string"
@@ -298,7 +305,11 @@ def unify_forms(df: DataFrame, keys: list[str], text: str, model: PairModel) ->
             column = batch.column(len(keys)).to_pylist()
             rows, forms, unified = [], [], []
             for a, b in batched(column):
-                for i in np.flatnonzero(holds_variants(column[a:b])).tolist():
+                some = np.flatnonzero(holds_variants(column[a:b])).tolist()
+                if skip_wrong:
+                    wrong = set(wrong_rows([column[a + i] for i in some], shared.value))
+                    some = [i for k, i in enumerate(some) if k not in wrong]
+                for i in some:
                     new, kinds = unify(column[a + i], shared.value)
                     if kinds:
                         rows.append(a + i)
