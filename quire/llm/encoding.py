@@ -27,6 +27,8 @@ READ_AS = ("cp1252", "latin-1", "cp1251", "cp866", "koi8-r", "kz1048", "ptcp154"
 WRITTEN_IN = ("utf-8", "cp1251", "koi8-r", "cp866", "kz1048", "ptcp154", "gb18030", "big5", "iso8859-5", "mac_cyrillic", "cp1254")
 #: Encodings in which a UTF-8 sequence doesn't look like a usual word; for the others only strong segments count.
 SIGNED = ("cp1252", "latin-1", "cp1251", "cp866", "koi8-r", "mac_roman", "iso8859-5", "cp437", "cp850", "cp1254", "cp1250")
+#: Double-byte encodings to read in: what was written in a single-byte one does not come out of them as text.
+DOUBLE = ("gb18030", "cp932", "big5", "euc_kr")
 MULTIBYTE = frozenset(("utf-8", "gb18030", "big5"))
 
 #: A pair costs by how many bits it lies below the usual score less this slack.
@@ -61,7 +63,7 @@ def _encode(text: str, name: str) -> bytes | None:
     except UnicodeEncodeError as e:
         if not _HOLE.match(text[e.start]):
             return None
-    single = name not in ("gb18030", "cp932", "big5", "euc_kr")
+    single = name not in DOUBLE
     out, lost = bytearray(), 0
     for part in regex.split(r"([\x80-\x9f�])", text):
         try:
@@ -121,7 +123,7 @@ def _inverse(run: str, left: str, right: str, model: PairModel, strong: bool, wo
         if word and target in ("gb18030", "big5"):
             continue
         for wrong, data in encoded:
-            if target == wrong or (text := _decode(data, target, lossy)) is None or text in seen:
+            if target == wrong or wrong in DOUBLE and target not in MULTIBYTE or (text := _decode(data, target, lossy)) is None or text in seen:
                 continue
             forms = [text]
             if target == "utf-8" and not text.isascii() and (again := _encode(text, wrong)) and (twice := _decode(again, target, lossy)):
@@ -174,22 +176,38 @@ _HAN = regex.compile(r"[\p{Han}\u3000-\u303f\uff00-\uffef]")
 _NO_HAN = regex.compile(r"[^\p{Han}\u3000-\u303f\uff00-\uffef]{4,}")
 
 
-def _runs(text: str, model: PairModel) -> list[tuple[int, int, float]]:
-    """Suspect runs of characters with their bits, widened to whole words (to whole clauses in scripts
-    without spaces); near ones of a line are joined."""
-    weights = model.usual - SLACK - model.of(text)
-    spans: list[list[float]] = []
-    for a, b, bits in _segments(weights):
+def _runs(text: str, model: PairModel) -> list[tuple[int, int, float, bool]]:
+    """Suspect runs of characters with their bits, and whether they hold what may be a UTF-8 sequence;
+    widened to whole words (to whole clauses in scripts without spaces), near ones of a line joined."""
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
+    s = model.symbol[np.concatenate(([0x0A], cp, [0x0A]))]
+    weights = model.usual - SLACK - model.score[s[:-1], s[1:]]
+    found = _segments(weights)
+    if not found:
+        return []
+    more = _MORE[cp]
+    signed = np.zeros(len(cp) + 1, bool)
+    signed[: len(cp) - 1] = (_TWO[cp[:-1]] & more[1:]) != 0
+    signed[: max(len(cp) - 2, 0)] |= (_THREE[cp[:-2]] & more[1:-1] & more[2:]) != 0
+    signed[: len(cp)] |= cp == 0xFFFD
+    spans: list[list] = []
+    for a, b, bits in found:
         a, b = max(0, a - 1), min(len(text), b)
         while a > 0 and not _LEFT_EDGE.match(text[a - 1]):
             a -= 1
         while b < len(text) and not _RIGHT_EDGE.match(text[b]):
             b += 1
-        if spans and a - spans[-1][1] <= 2 and "\n" not in text[int(spans[-1][1]) : a]:
+        if spans and a - spans[-1][1] <= 2 and "\n" not in text[spans[-1][1] : a]:
             spans[-1][1], spans[-1][2] = max(b, spans[-1][1]), spans[-1][2] + bits
         else:
             spans.append([a, b, bits])
-    return [(int(a), int(b), bits) for a, b, bits in spans if a < b and not text[int(a) : int(b)].isascii()]
+    return [(a, b, bits, bool(signed[a:b].any())) for a, b, bits in spans if a < b and not text[a:b].isascii()]
+
+
+def _worth(model: PairModel, run: str) -> bool:
+    """Whether a run reads badly enough for a wrong single-byte encoding."""
+    pairs = np.minimum(model.of(run) - model.usual, 0)
+    return float(pairs.mean()) < STRANGE + 1.5
 
 
 def repair(text: str, model: PairModel, only_find: bool = False) -> tuple[bool, bool, str]:
@@ -201,9 +219,24 @@ def repair(text: str, model: PairModel, only_find: bool = False) -> tuple[bool,
     for _ in range(ROUNDS):
         changed = False
         runs = _runs(text, model)
-        strong = sum(bits for _, _, bits in runs) >= STRONG
-        for a, b, bits in reversed(runs):
+        line_bits: dict[int, float] = {}
+        for a, _, bits, _ in runs:
+            line = text.rfind("\n", 0, a)
+            line_bits[line] = line_bits.get(line, 0.0) + bits
+        for a, b, bits, signed in reversed(runs):
+            strong = line_bits.get(text.rfind("\n", 0, a), bits) >= STRONG
+            words: list[tuple[int, int]] | None = None
+            if not signed:
+                # without such a sequence only a wrong single-byte or double-byte encoding can be meant
+                if not strong:
+                    continue
+                if bits < STRONG or not _worth(model, text[a:b]):
+                    words = [w.span() for w in _WORD.finditer(text, a, b) if sum(c > "\x7f" for c in w.group()) >= LETTERS and _worth(model, w.group())]
+                    if not words:
+                        continue
             spans = {(a, b)}
+            if words is not None:
+                spans = set(words)
             x, y = text.rfind("\n", 0, a) + 1, text.find("\n", b)
             y = len(text) if y < 0 else y
             if strong and y - x <= 4 * (b - a) + 80:
@@ -219,10 +252,11 @@ def repair(text: str, model: PairModel, only_find: bool = False) -> tuple[bool,
                 if p < a:
                     break
                 continue
+            if not signed and words is None and bits < STRONG:
+                continue
             # a mangled word inside a good run: try the words on their own
-            for w in reversed(list(_WORD.finditer(text, a, b))):
-                p, q = w.span()
-                if (p, q) != (a, b) and (m := _inverse(text[p:q], text[max(0, p - 1) : p], text[q : q + 1], model, strong, True)):
+            for p, q in reversed(words if words is not None else [w.span() for w in _WORD.finditer(text, a, b)]):
+                if not text[p:q].isascii() and (p, q) != (a, b) and (m := _inverse(text[p:q], text[max(0, p - 1) : p], text[q : q + 1], model, strong, True)):
                     if only_find:
                         return True, lost, text
                     text, changed = text[:p] + m[1] + text[q:], True
@@ -279,10 +313,20 @@ def suspects(texts: list[str | None], model: PairModel) -> np.ndarray:
 
 
 def wrong_rows(texts: list[str | None], model: PairModel) -> list[int]:
-    """Positions of the texts of a batch that were decoded wrongly."""
-    out = []
+    """Positions of the texts of a batch that were decoded wrongly; a text is as bad as its worst line."""
+    out: list[int] = []
     for a, b in batched(texts):
-        out += [a + i for i in np.flatnonzero(suspects(texts[a:b], model)).tolist() if repair(texts[a + i] or "", model, only_find=True)[0]]
+        lines, owner = [], []
+        for i in range(a, b):
+            if text := texts[i]:
+                own = text.split("\n") if "\n" in text else [text]
+                lines += own
+                owner += [i] * len(own)
+        done = -1
+        for k in np.flatnonzero(suspects(lines, model)).tolist():
+            if owner[k] != done and repair(lines[k], model, only_find=True)[0]:
+                done = owner[k]
+                out.append(done)
     return out
 
 
@@ -314,13 +358,11 @@ def fix_encoding(df: DataFrame, keys: list[str], text: str, model: PairModel) ->
         for batch in batches:
             column = batch.column(len(keys)).to_pylist()
             rows, lost, restored = [], [], []
-            for a, b in batched(column):
-                for i in np.flatnonzero(suspects(column[a:b], shared.value)).tolist():
-                    found, gone, new = repair(column[a + i], shared.value)
-                    if found:
-                        rows.append(a + i)
-                        lost.append(gone)
-                        restored.append(new)
+            for i in wrong_rows(column, shared.value):
+                _, gone, new = repair(column[i], shared.value)
+                rows.append(i)
+                lost.append(gone)
+                restored.append(new)
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(len(keys))), pa.array(lost, pa.bool_()), pa.array(restored, pa.string())], names=[*keys, "lost", "restored"])
 
