@@ -50,12 +50,10 @@ _DATE = regex.compile(r"(?:\d{1,2}\.\d{1,2}\.)?\d{4}(?:\s|$)")
 _ALNUM = regex.compile(r"[\p{L}\p{N}]")
 _LINES = re.compile(r"[^\n\r\x0b\x0c\x85  ]+")
 #: Counting patterns over whole batches; the joined texts have a line break between them.
-_OPEN_LINE = regex.compile(r"^[\s—–«“„\"'「『]*([\p{Lu}][\p{L}\p{M}ʻʼ'’-]*)", regex.M)
+_OPEN_LINE = re.compile(r"^[^\w\n]*([^\W\d_a-zа-яё㐀-鿿][\w'’-]*)", re.M)
 _INSIDE = regex.compile(r"(?<=[\p{Ll}\p{N},;] )(\p{Lu}[\p{L}\p{M}ʻʼ'’-]*)")
-_CLOSE = regex.compile(r"(?:^|(?<=[\s«“„\"(]))([\p{L}\p{M}\p{N}.ʻʼ'’-]{1,24})\.(?=[\"'”’»)]*$)", regex.M)
-_GOES_ON = regex.compile(r"(?:^|(?<=[\s«“„\"(]))([\p{L}\p{M}.ʻʼ'’-]{1,24})\.(?= [\p{Ll}\p{N}])")
+_STOP = regex.compile(r"\.(?:(?=[\"'”’»)]*$)|(?= [\p{Ll}\p{N}]))", regex.M)
 _HAN_OPEN = regex.compile(r"(?:^|(?<=[。！？]))([\p{Han}]{2})", regex.M)
-_HAN_INSIDE = regex.compile(r"(?<=[\p{Han}，])([\p{Han}]{2})")
 
 
 def bucket(word: str) -> int:
@@ -79,12 +77,23 @@ class SentenceModel:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((len(FEATURES), BUCKETS), np.int64)
-    patterns = ((0, _OPEN_LINE), (1, _INSIDE), (2, _CLOSE), (3, _GOES_ON), (0, _HAN_OPEN))
+    patterns = ((0, _OPEN_LINE), (1, _INSIDE), (0, _HAN_OPEN))
     for batch in batches:
         joined = "\n".join(t for t in batch.column(0).to_pylist() if t)
         for row, pattern in patterns:
             for word, n in Counter(pattern.findall(joined)).items():
                 total[row, bucket(word)] += n
+        stops: tuple[Counter, Counter] = (Counter(), Counter())
+        for m in _STOP.finditer(joined):
+            at = m.start()
+            before = joined[max(0, at - 25) : at]
+            cut = max(before.rfind(c) for c in " \n«“„\"(")
+            word = before[cut + 1 :]
+            if word and (cut >= 0 or len(before) < 25):
+                stops[joined[at + 1 : at + 2] == " "][word] += 1
+        for row, counter in zip((2, 3), stops):
+            for word, n in counter.items():
+                total[row, bucket(word)] += n
     flat = total.ravel()
     seen = np.flatnonzero(flat)
     yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(flat[seen])], names=["k", "n"])
