@@ -32,7 +32,7 @@ def common_mojibake(c: Column) -> Column:
 
 def whitespace(c: Column) -> Column:
     """No-break spaces to spaces, characters without width away, runs collapsed, lines trimmed."""
-    c = F.regexp_replace(F.translate(c, " ", " "), r"[\x{200B}-\x{200D}\x{FEFF}\f\x0B]", "")
+    c = F.regexp_replace(F.translate(c, "\u00a0", " "), r"[\x{200B}-\x{200D}\x{FEFF}\f\x0B]", "")
     c = F.regexp_replace(c, r"[ \t]+", " ")
     return F.regexp_replace(F.regexp_replace(c, r"(?m) +$", ""), r"(?m)^ +", "")
 
