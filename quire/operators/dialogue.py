@@ -55,7 +55,7 @@ def segments(lines: DataFrame, group: list[str], order: list[str]) -> DataFrame:
 
 def simple_sentences(c: Column) -> Column:
     """Sentences by their closing marks alone."""
-    return F.filter(F.split(F.trim(c), r"(?<=[.!?…»”\")])\s+"), lambda s: s != "")
+    return F.filter(F.split(F.regexp_replace(c, r"^\s+|\s+$", ""), r"(?<=[.!?…»”\")])\s+"), lambda s: s != "")
 
 
 def pack(parts: Column, limit: int, glue: str = " ") -> Column:

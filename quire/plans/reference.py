@@ -220,11 +220,10 @@ def d6_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-SELECT row_id, CAST(len(list_filter(string_split(regexp_replace(trim(text), '([.!?…»”")])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS INTEGER) AS sentences FROM manifest_chunks WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\x{00A0}\x{2000}-\x{3000}\x01]') """)
+SELECT row_id, CAST(len(list_filter(string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?…»”")])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS INTEGER) AS sentences FROM manifest_chunks WHERE text IS NOT NULL""")
 def d10_sentence_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences by closing marks, of the texts with plain spaces only (the two engines trim differently)."""
-    t = table(spark, d, "manifest_chunks").filter("text IS NOT NULL").filter(~F.col("text").rlike(r"[\x{00A0}\x{2000}-\x{3000}\x01]"))
-    return t.select("row_id", F.size(dialogue.simple_sentences(F.col("text"))).alias("sentences"))
+    """Sentences by closing marks alone."""
+    return table(spark, d, "manifest_chunks").filter("text IS NOT NULL").select("row_id", F.size(dialogue.simple_sentences(F.col("text"))).alias("sentences"))
 
 
 @query()
