@@ -71,17 +71,28 @@ def _base_tables() -> tuple[np.ndarray, np.ndarray]:
 _LOWER, _LETTER = _base_tables()
 
 
+#: Code tables of at most this many rows go into the plan as a map; larger ones are joined.
+MAP_ROWS = 5_000
+
+
 def with_label(df: DataFrame, label: str, codes_table: DataFrame) -> DataFrame:
     """Add ``labelled``: the language that the label names, null if it names none."""
-    names = codes_table.select(F.col("label").alias("_label"), F.col("lang").alias("labelled")).dropDuplicates(["_label"])
-    return df.join(names, F.col(label) == F.col("_label"), "left").drop("_label")
+    names = codes_table.filter("label IS NOT NULL AND lang IS NOT NULL").groupBy(F.col("label").alias("_label")).agg(F.min("lang").alias("labelled"))
+    known = names.limit(MAP_ROWS + 1).collect()
+    if len(known) > MAP_ROWS:
+        return df.join(names, F.col(label) == F.col("_label"), "left").drop("_label")
+    pairs = [F.lit(x) for r in known for x in r]
+    return df.withColumn("labelled", F.element_at(F.create_map(*pairs), F.col(label)) if pairs else F.lit(None).cast("string"))
 
 
 def fit_profiles(labelled: DataFrame) -> Profiles:
     """Fit profiles on ``(id, text, labelled)``; rows without a language or a text are left out."""
     rows = labelled.filter("labelled IS NOT NULL AND length(text) >= 25")
-    share = rows.groupBy("labelled").count().select("labelled", F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("count")).alias("share"))
-    drawn = rows.join(share, "labelled").filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("share") * float(1 << 30)).select("labelled", "text")
+    counts = rows.groupBy("labelled").count().collect()  # a row per language
+    share = F.lit(0.0)
+    for lang, n in counts:
+        share = F.when(F.col("labelled") == lang, min(1.0, SAMPLE / n)).otherwise(share)
+    drawn = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * float(1 << 30)).select("labelled", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
