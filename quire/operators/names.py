@@ -208,9 +208,43 @@ def radius_join(left: DataFrame, right: DataFrame, group: list[str], radius: int
     return pairs.select(*group, "lkey", "rkey", "d").distinct()
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 30) -> DataFrame:
-    """``(book_id, name, root)``: the smallest name of each connected component, by minimum labels with
-    pointer jumping; ``edges``: (book_id, a, b)."""
+#: Books of at most this many names and links are united in one task each; larger ones by distributed rounds.
+IN_TASK = 50_000
+
+
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(book_id, name, root)``: the smallest name of each connected component; ``edges``: (book_id, a, b)."""
+    links = edges.select("book_id", "a", "b").unionByName(nodes.select("book_id", F.col("name").alias("a"), F.col("name").alias("b")))
+    links = cut(links)
+    large = links.groupBy("book_id").count().filter(F.col("count") > IN_TASK).select("book_id")
+    if not large.limit(1).count():
+        return links.groupBy("book_id").applyInPandas(_unite, "book_id bigint, name string, root string")
+    few = links.join(large, "book_id", "left_anti").groupBy("book_id").applyInPandas(_unite, "book_id bigint, name string, root string")
+    many = spread_components(links.join(large, "book_id", "left_semi").filter("a <> b"), nodes.join(large, "book_id", "left_semi"))
+    return few.unionByName(many)
+
+
+def _unite(links: pd.DataFrame) -> pd.DataFrame:
+    """Union-find over the links of one book."""
+    up: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        up.setdefault(x, x)
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in zip(links.a, links.b):
+        a, b = find(a), find(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    names = list(up)
+    return pd.DataFrame({"book_id": links.book_id.iloc[0], "name": names, "root": [find(x) for x in names]})
+
+
+def spread_components(edges: DataFrame, nodes: DataFrame, rounds: int = 30) -> DataFrame:
+    """The same by minimum labels with pointer jumping, for books of any size."""
     both = cut(edges.select("book_id", "a", "b").union(edges.select("book_id", F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
     label = nodes.select("book_id", "name", F.col("name").alias("root"))
     for _ in range(rounds):
@@ -265,11 +299,10 @@ def link_names(speakers: DataFrame, profiles: DataFrame, nickname_list: DataFram
     one_error = F.pandas_udf(lambda a, b: pd.Series([_one_error(x, y) for x, y in zip(a, b)]), "boolean")
     keyed = k.filter("key <> ''").select("book_id", "kind", "key").distinct()
     wholes = k.filter("whole AND key <> ''").select("book_id", "kind", "key").distinct()
-    close = cut(radius_join(keyed, wholes, ["book_id", "kind"]))
+    close = radius_join(keyed, wholes, ["book_id", "kind"])
     # what is short must be the same; two edits must be one transposition
     close = close.filter((F.col("d") == 0) | F.col("kind").isin("F", "I", "O", "T", "D", "B") & (F.length("lkey") >= TYPO_LENGTH) & (F.length("rkey") >= TYPO_LENGTH) & ~F.col("lkey").rlike("[\\x{3400}-\\x{9FFF}]"))
-    close = close.filter("d < 2").union(close.filter("d = 2").filter(one_error("lkey", "rkey")))
-    close = cut(close)
+    close = cut(close.filter((F.col("d") < 2) | F.when(F.col("d") == 2, one_error("lkey", "rkey"))))
 
     whole_names = k.filter("whole AND kind IN ('F', 'O')").select("book_id", "kind", "key", "name").distinct()
     hub = whole_names.groupBy("book_id", "kind", "key").agg(F.min("name").alias("hub"))
@@ -280,7 +313,7 @@ def link_names(speakers: DataFrame, profiles: DataFrame, nickname_list: DataFram
         .join(hub.select("book_id", "kind", F.col("key").alias("rkey"), F.col("hub").alias("b")), ["book_id", "kind", "rkey"])
         .select("book_id", "a", "b")
     )
-    edges = cut(star.union(same_key).union(across).filter("a <> b").distinct())
+    edges = star.union(same_key).union(across).filter("a <> b").distinct()
     first = cut(components(edges, nodes))
 
     # parts of names: to the only entity they fit, unless their profile has told already
