@@ -208,43 +208,13 @@ def radius_join(left: DataFrame, right: DataFrame, group: list[str], radius: int
     return pairs.select(*group, "lkey", "rkey", "d").distinct()
 
 
-#: Books of at most this many names and links are united in one task each; larger ones by distributed rounds.
+#: Books of at most this many keys are resolved in one task each; larger ones by distributed rounds.
 IN_TASK = 50_000
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(book_id, name, root)``: the smallest name of each connected component; ``edges``: (book_id, a, b)."""
-    links = edges.select("book_id", "a", "b").unionByName(nodes.select("book_id", F.col("name").alias("a"), F.col("name").alias("b")))
-    links = cut(links)
-    large = links.groupBy("book_id").count().filter(F.col("count") > IN_TASK).select("book_id")
-    if not large.limit(1).count():
-        return links.groupBy("book_id").applyInPandas(_unite, "book_id bigint, name string, root string")
-    few = links.join(large, "book_id", "left_anti").groupBy("book_id").applyInPandas(_unite, "book_id bigint, name string, root string")
-    many = spread_components(links.join(large, "book_id", "left_semi").filter("a <> b"), nodes.join(large, "book_id", "left_semi"))
-    return few.unionByName(many)
-
-
-def _unite(links: pd.DataFrame) -> pd.DataFrame:
-    """Union-find over the links of one book."""
-    up: dict[str, str] = {}
-
-    def find(x: str) -> str:
-        up.setdefault(x, x)
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for a, b in zip(links.a, links.b):
-        a, b = find(a), find(b)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-    names = list(up)
-    return pd.DataFrame({"book_id": links.book_id.iloc[0], "name": names, "root": [find(x) for x in names]})
-
-
-def spread_components(edges: DataFrame, nodes: DataFrame, rounds: int = 30) -> DataFrame:
-    """The same by minimum labels with pointer jumping, for books of any size."""
+def components(edges: DataFrame, nodes: DataFrame, rounds: int = 30) -> DataFrame:
+    """``(book_id, name, root)``: the smallest name of each connected component, by minimum labels with
+    pointer jumping; ``edges``: (book_id, a, b). For books of any size."""
     both = cut(edges.select("book_id", "a", "b").union(edges.select("book_id", F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
     label = nodes.select("book_id", "name", F.col("name").alias("root"))
     for _ in range(rounds):
@@ -292,10 +262,6 @@ def link_names(speakers: DataFrame, profiles: DataFrame, nickname_list: DataFram
             yield pd.DataFrame(rows, columns=["book_id", "name", "kind", "key", "whole"])
 
     k = cut(names.mapInPandas(keys, "book_id bigint, name string, kind string, key string, whole boolean"))
-    nodes = cut(k.select("book_id", "name").distinct())
-    own = members.join(nodes, ["book_id", "name"], "left_semi")
-    star = own.withColumn("a", F.min("name").over(Window.partitionBy("book_id", "profile"))).select("book_id", "a", F.col("name").alias("b"))
-
     one_error = F.pandas_udf(lambda a, b: pd.Series([_one_error(x, y) for x, y in zip(a, b)]), "boolean")
     keyed = k.filter("key <> ''").select("book_id", "kind", "key").distinct()
     wholes = k.filter("whole AND key <> ''").select("book_id", "kind", "key").distinct()
@@ -304,6 +270,100 @@ def link_names(speakers: DataFrame, profiles: DataFrame, nickname_list: DataFram
     close = close.filter((F.col("d") == 0) | F.col("kind").isin("F", "I", "O", "T", "D", "B") & (F.length("lkey") >= TYPO_LENGTH) & (F.length("rkey") >= TYPO_LENGTH) & ~F.col("lkey").rlike("[\\x{3400}-\\x{9FFF}]"))
     close = cut(close.filter((F.col("d") < 2) | F.when(F.col("d") == 2, one_error("lkey", "rkey"))))
 
+    large = k.groupBy("book_id").count().filter(F.col("count") > IN_TASK).select("book_id")
+    profile = members.select("book_id", "name", F.lit("@").alias("kind"), F.col("profile").cast("string").alias("key"), F.lit(False).alias("whole"))
+    told = k.unionByName(profile)
+    if not large.limit(1).count():
+        return told.groupBy("book_id").cogroup(close.groupBy("book_id")).applyInPandas(_resolve, _PAIRS)
+    few = told.join(large, "book_id", "left_anti").groupBy("book_id").cogroup(close.join(large, "book_id", "left_anti").groupBy("book_id")).applyInPandas(_resolve, _PAIRS)
+    return few.unionByName(_link_spread(k.join(large, "book_id", "left_semi"), close.join(large, "book_id", "left_semi"), members.join(large, "book_id", "left_semi")))
+
+
+_PAIRS = "book_id bigint, name_a string, name_b string"
+
+
+def _resolve(told: pd.DataFrame, close: pd.DataFrame) -> pd.DataFrame:
+    """The linked pairs of one book: its keys (and, as kind ``@``, its profiles), and the keys within the radius.
+
+    The same decisions as ``_link_spread`` makes for books of any size.
+    """
+    up: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        up.setdefault(x, x)
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def union(x: str, y: str) -> None:
+        x, y = find(x), find(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+
+    by_key: dict[tuple[str, str], list[str]] = {}
+    parts: dict[str, list[tuple[str, str]]] = {}
+    whole: dict[str, list[tuple[str, str]]] = {}
+    profiles: dict[str, list[str]] = {}
+    for name, kind, key, is_whole in zip(told.name, told.kind, told.key, told.whole):
+        if kind == "@":
+            profiles.setdefault(key, []).append(name)
+            continue
+        find(name)
+        if key and is_whole:
+            whole.setdefault(name, []).append((kind, key))
+            by_key.setdefault((kind, key), []).append(name)
+        elif key:
+            parts.setdefault(name, []).append((kind, key))
+    for names in profiles.values():
+        known = [n for n in names if n in up]
+        for n in known[1:]:
+            union(known[0], n)
+    near: dict[tuple[str, str], list[tuple[str, int]]] = {}
+    for kind, left, right, d in zip(close.kind, close.lkey, close.rkey, close.d):
+        near.setdefault((kind, left), []).append((right, d))
+    for (kind, key), names in by_key.items():
+        if kind in ("F", "O"):
+            for n in names[1:]:
+                union(names[0], n)
+            for right, _ in near.get((kind, key), ()):
+                if (kind, right) in by_key:
+                    union(names[0], by_key[kind, right][0])
+    settled = {find(n) for n in whole}
+    targets = {k: {find(n) for n in names} for k, names in by_key.items()}
+    links, unfit = [], {}
+    for name, keys in parts.items():
+        if find(name) in settled:
+            continue
+        best: dict[str, int] = {}
+        for kind, key in keys:
+            for right, d in near.get((kind, key), ()):
+                for root in targets.get((kind, right), ()):
+                    best[root] = min(d, best.get(root, 9))
+        exact = [r for r, d in best.items() if d == 0]
+        if len(exact) == 1 or not exact and len(best) == 1:
+            links.append((name, exact[0] if exact else next(iter(best))))
+        elif not best:
+            for k in keys:
+                unfit.setdefault(k, []).append(name)
+    for x, y in links:
+        union(x, y)
+    for names in unfit.values():
+        for n in names[1:]:
+            union(names[0], n)
+    groups: dict[str, list[str]] = {}
+    for n in up:
+        groups.setdefault(find(n), []).append(n)
+    rows = [(x, y) for names in groups.values() for i, x in enumerate(sorted(names)) for y in sorted(names)[i + 1 :]]
+    book = told.book_id.iloc[0] if len(told) else None
+    return pd.DataFrame({"book_id": [book] * len(rows), "name_a": [x for x, _ in rows], "name_b": [y for _, y in rows]}).astype({"name_a": object, "name_b": object})
+
+
+def _link_spread(k: DataFrame, close: DataFrame, members: DataFrame) -> DataFrame:
+    """The linked pairs of books of any size, by joins and distributed components."""
+    nodes = cut(k.select("book_id", "name").distinct())
+    own = members.join(nodes, ["book_id", "name"], "left_semi")
+    star = own.withColumn("a", F.min("name").over(Window.partitionBy("book_id", "profile"))).select("book_id", "a", F.col("name").alias("b"))
     whole_names = k.filter("whole AND kind IN ('F', 'O')").select("book_id", "kind", "key", "name").distinct()
     hub = whole_names.groupBy("book_id", "kind", "key").agg(F.min("name").alias("hub"))
     same_key = whole_names.join(hub, ["book_id", "kind", "key"]).select("book_id", F.col("hub").alias("a"), F.col("name").alias("b"))
