@@ -236,7 +236,8 @@ def cut_words(parts: DataFrame, counts: DataFrame) -> DataFrame:
     def odds(*columns: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.column_stack([c.to_numpy(float) for c in columns])))
 
-    sure = F.col("mark").isin("\xad", "¬", "(")
+    # where neither part is a word anywhere, nothing but a cut explains them
+    sure = F.col("mark").isin("\xad", "¬", "(") | (F.col("n_l") == 0) & (F.col("n_r") == 0) & (F.col("n_hyphened") == 0)
     return cuts.withColumn("odds", odds(*[F.col(f).cast("double") for f in features])).filter(sure | (F.col("odds") > 0) & ~((F.col("n_hyphened") > 0) & (F.col("n_joined") == 0))).select("src", "row_id", "at", "joined")
 
 

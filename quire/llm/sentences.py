@@ -189,7 +189,7 @@ def _break_odds(line: str, at: int, end: int, model: SentenceModel) -> float | N
         odds += 1.0
         if plain in ("г", "гг", "в", "вв"):
             odds += 3.0 if re.search(r"\d\s*$", line[:start]) else -6.0
-    elif len(word) > 2:
+    elif len(word) > 1:
         odds += 2.5
     if c in "—–«“„\"'":
         return odds + 2.0
@@ -238,7 +238,7 @@ def _search(line: str, ends: list[int], odds: list[float], model: SentenceModel)
             if inside[j]:
                 score -= 60.0
             if own_reports and not dashed and not any(a <= p and q <= own_reports[0] for p, q in quotes) and not (line[first : first + 1] in "«“\"'"):
-                score -= 15.0
+                score -= 40.0
             # the whole span: a mild prior on its length
             score -= 0.002 * max(0, b - a - 220)
             if score > best[j + 1]:
@@ -251,14 +251,14 @@ def _search(line: str, ends: list[int], odds: list[float], model: SentenceModel)
                 coming = [r for r in reports if r > b]
                 start = next((s for s in speeches if s > b), 1 << 30)
                 if not own_reports and coming and coming[0] <= start and coming[0] <= (ends[j + 2] if j + 2 < n else 1 << 30):
-                    cost = -3.0
+                    cost = -3.0 - max(cost, 0.0)
                 elif own_reports and not resumed and (m := _SPEECH_DASH.match(line, b + 1 if line[b : b + 1] == " " else b)):
                     nxt = j + 1
                     while nxt + 1 < n and inside[nxt]:
                         nxt += 1
                     later = next((s for s in speeches if s > m.end()), 1 << 30)
                     if not any(m.end() < r <= min(later, ends[min(nxt + 1, n - 1)] if nxt + 1 < n else ends[nxt]) for r in reports):
-                        cost, resumed = -6.0, True
+                        cost, resumed = -6.0 - max(cost, 0.0), True
             inner -= cost
             if inner < -45:
                 break
