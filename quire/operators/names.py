@@ -275,8 +275,9 @@ def link_names(speakers: DataFrame, profiles: DataFrame, nickname_list: DataFram
     told = k.unionByName(profile)
     if not large.limit(1).count():
         return told.groupBy("book_id").cogroup(close.groupBy("book_id")).applyInPandas(_resolve, _PAIRS)
-    few = told.join(large, "book_id", "left_anti").groupBy("book_id").cogroup(close.join(large, "book_id", "left_anti").groupBy("book_id")).applyInPandas(_resolve, _PAIRS)
-    return few.unionByName(_link_spread(k.join(large, "book_id", "left_semi"), close.join(large, "book_id", "left_semi"), members.join(large, "book_id", "left_semi")))
+    told_few, close_few = (cut(df.join(large, "book_id", "left_anti")) for df in (told, close))
+    few = told_few.groupBy("book_id").cogroup(close_few.groupBy("book_id")).applyInPandas(_resolve, _PAIRS)
+    return few.unionByName(_link_spread(*[cut(df.join(large, "book_id", "left_semi")) for df in (k, close, members)]))
 
 
 _PAIRS = "book_id bigint, name_a string, name_b string"
