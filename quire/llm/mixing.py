@@ -48,6 +48,7 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFrame
     ``shares``: (source, target_share, planned_share, actual_share, max_repeats, most_copies, n_docs,
     n_copies, n_tokens) of every source; an empty mix has actual shares of 0.
     """
+    sizes = cut(sizes)  # counting the tokens is the dear part
     plan = cut(plan_mix(sizes, targets))
     order = F.xxhash64(F.lit(seed), "doc_id")
     ranged = cut(sizes.withColumn("_h", order).repartitionByRange(F.col("source"), F.col("n_tokens"), F.col("_h"), F.col("doc_id")).withColumn("_part", F.spark_partition_id()))
