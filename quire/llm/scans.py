@@ -123,7 +123,7 @@ def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         emit("title", k, skeleton(bare), bare)
                         continue
                 if edge or src.startswith("pdf_text"):
-                    if first is not None and page_of(bare, first, last) and (n == 1 or edge):
+                    if first is not None and page_of(bare, first, last):
                         emit("number", k)
                         continue
                     rest = bare

@@ -110,3 +110,18 @@ def test_scans(spark):
     assert {(0, "header"), (0, "page_number"), (0, "hyphen"), (100, "misread"), (101, "misread")} <= got and not any(r in (102, 103) for r, _ in got) and (100, "header") not in got
     text = {r.row_id: r.text for r in scans.paragraphs(scans.fields(p, v), b).collect()}
     assert text[0].endswith("Старый плотник сидел на чердаке и читал газету.") and "Безуглин" not in text[0] and "монету" in text[100]
+
+
+def _scan_tables(spark, variants, pages=()):
+    """(pdf_pages, pdf_text_variants, books) of one book, with 60 usual pages of it; ``variants``: (row_id, first_page, page_count, text)."""
+    body = "Разговорчивый гончар потерял старую монету возле реки и пошёл домой."
+    usual = [(i, 1, i + 1, ["О. Безуглин. Дом", body + "\nСтарый плотник сидел на чер-\nдаке и читал газету.", f"— {i + 1} —"], None) for i in range(60)]
+    p = spark.createDataFrame([*usual, *pages], "row_id bigint, book_id bigint, page_number int, page_text array<string>, text_from_images array<string>")
+    v = spark.createDataFrame([(i, 1, first, n, "kind", t) for i, first, n, t in variants], "row_id bigint, book_id bigint, first_page int, page_count int, kind string, text string")
+    return p, v, spark.createDataFrame([(1, "Дом", "О. Безуглин")], "book_id bigint, book_title string, author string")
+
+
+def test_scans_number_inside_a_block(spark):
+    p, v, b = _scan_tables(spark, [(1, 24, 2, "Соседи тогда\nначали шептаться.\n[24]\nСтарый плотник сидел\nи читал газету."), (2, 24, 2, "Соседи тогда\nначали шептаться.\n[31]\nСтарый плотник сидел\nи читал газету.")])
+    numbers = scans.analyse(scans.fields(p, v)).filter("src = 'pdf_text_variants.text' AND kind = 'number'")
+    assert [(r.row_id, r.at) for r in numbers.collect()] == [(1, 2)]
