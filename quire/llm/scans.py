@@ -47,8 +47,8 @@ _BESIDE = regex.compile(r"^(.*?\S)\s{2,}(\S.{0,9}?)\s*$|^\s*(\S.{0,9}?)\s{2,}(\S
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[ʻʼ'’`‘-][\p{L}\p{M}\p{N}]+)*ʻ?")
 _HAN = regex.compile(r"[\p{Han}]{3,}")
 _TERMINAL = regex.compile(r"[.!?…。！？»”’\"'」,;:，；：、]\s*$")
-_CUT = regex.compile(rf"([\p{{L}}\p{{M}}ʻʼ'’-]*[\p{{L}}ʻʼ])([{re.escape(CUT_MARKS)}])[ \t]*$")
-_RIGHT = regex.compile(r"^[ \t]*([\p{Ll}][\p{Ll}\p{M}ʻʼ'’]*(?:-[\p{L}]+)*)")
+_CUT = regex.compile(rf"([\p{{L}}\p{{M}}ʻʼ'’-]*[\p{{L}}ʻʼ])([{re.escape(CUT_MARKS)}])[ \t\f]*$")
+_RIGHT = regex.compile(r"^[ \t\f]*([\p{Ll}][\p{Ll}\p{M}ʻʼ'’]*(?:-[\p{L}]+)*)")
 _FIELDS = "src string, row_id bigint, book_id bigint"
 
 
@@ -95,6 +95,18 @@ def fields(pages: DataFrame, variants: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).filter("size(blocks) > 0")
 
 
+def _words(text: str) -> Iterator[str]:
+    """The words of a text as they are counted: small letters, and three characters at a time of scripts without words."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    for w in _WORD.findall(text):
+        if len(w) > 2 and not w.isdigit() and not regex.match(r"\p{Han}", w):
+            yield regex.sub("[`´‘’ʼ']", "ʻ", w.lower())
+    for run in _HAN.findall(text):
+        for q in range(len(run) - 2):
+            yield run[q : q + 3]
+
+
 def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines that may be furniture, printed numbers, cut words, and the words of each line."""
     for batch in batches:
@@ -104,14 +116,17 @@ def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_blocks = len(blocks)
             after_heading = False
             words: Counter = Counter()
+            # what each line is to a word cut above it: "" passed over, "line" passed over if it is a header, "stop" neither
+            state = ["stop"] * len(lines)
 
             def emit(kind: str, at: int, a: str = "", b: str = "", x: float = 0.0, y: float = 0.0, z: float = 0.0) -> None:
                 rows.append((src, row_id, book, kind, at, a, b, x, y, z))
 
-            skip_first = ""
+            spoken: list[int] = []
             for k, (i, j, n, line) in enumerate(lines):
                 bare = line.strip()
                 if not bare:
+                    state[k] = ""
                     continue
                 edge = j == 0 or j == n - 1
                 if _HEADING.match(bare):
@@ -125,6 +140,7 @@ def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if edge or src.startswith("pdf_text"):
                     if first is not None and page_of(bare, first, last):
                         emit("number", k)
+                        state[k] = ""
                         continue
                     rest = bare
                     m = _BESIDE.match(bare)
@@ -141,6 +157,8 @@ def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             if left and page_of(left.group(1), first, last):
                                 emit("number", k)
                                 rest = left.group(2)
+                        if rest != bare:
+                            state[k] = ""
                     if len(rest) <= 90 and (not _TERMINAL.search(rest) or rest != bare or rest.isupper()):
                         letters = [c for c in rest if c.isalpha()]
                         upper = sum(c.isupper() for c in letters) / max(len(letters), 1)
@@ -148,24 +166,37 @@ def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         where = float(i == 0 and j == 0 or i == n_blocks - 1 and j == n - 1)
                         if letters:
                             emit("line", k, skeleton(rest), rest, alone + 2 * where, upper, float(rest != bare))
+                            if rest == bare:
+                                state[k] = "line"
+                spoken.append(k)
+            heads: dict[int, int] = {}  # length of the right half that a line begins with
+            for k in spoken:
+                line = lines[k][3]
                 body = line
-                if skip_first:
-                    body = regex.sub(r"^[ \t]*[\p{L}\p{M}ʻʼ'’-]+", "", body, count=1)
-                    skip_first = ""
-                m = _CUT.search(line)
-                follow = lines[k + 1][3] if k + 1 < len(lines) else ""
-                if m and (r := _RIGHT.match(follow)) and not _NO_JOIN.search(line):
-                    emit("cut", k, m.group(1) + "\t" + r.group(1), m.group(2))
+                m = None if _NO_JOIN.search(line) else _CUT.search(line)
+                passed: list[int] = []
+                ends = []
+                for t in range(k + 1, len(lines) if m else 0):
+                    follow = lines[t][3]
+                    if state[t] and (r := _RIGHT.match(follow)):
+                        emit("cut", k, "\t".join((m.group(1), r.group(1), " ".join(map(str, passed)))), m.group(2), float(t))
+                        ends.append((t, r))
+                    if state[t] == "stop" or _CUT.search(follow):
+                        break
+                    if state[t] == "line":
+                        passed.append(t)
+                if ends:
                     body = body[: m.start()]
-                    skip_first = r.group(1)
-                if not body.isascii():
-                    body = unicodedata.normalize("NFKC", body)
-                for w in _WORD.findall(body):
-                    if len(w) > 2 and not w.isdigit() and not regex.match(r"\p{Han}", w):
-                        words[(k, regex.sub("[`´‘’ʼ']", "ʻ", w.lower()))] += 1
-                for run in _HAN.findall(body):
-                    for q in range(len(run) - 2):
-                        words[(k, run[q : q + 3])] += 1
+                    # which end is right is told with the headers; the halves of no cut are words again then
+                    for w in _words(m.group(1)):
+                        emit("half", k, w, "", float(k), -1.0)
+                    for t, r in ends:
+                        heads[t] = r.end()
+                        for w in _words(r.group(1)):
+                            emit("half", t, w, "", float(k), float(t))
+                body = body[heads.get(k, 0) :]
+                for w in _words(body):
+                    words[(k, w)] += 1
             for (k, w), c in words.items():
                 emit("word", k, w, "", float(c))
         names = ["src", "row_id", "book_id", "kind", "at", "a", "b", "x", "y", "z"]
@@ -210,11 +241,28 @@ def headers(parts: DataFrame, books: DataFrame) -> DataFrame:
     return told.withColumn("odds", odds(*features)).filter(F.col("d").isNotNull() | lone & (F.col("odds") > 0)).select("src", "row_id", "at").distinct()
 
 
-def cut_words(parts: DataFrame, counts: DataFrame) -> DataFrame:
+def whole_cuts(parts: DataFrame, running: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cuts, words): cuts whose word goes on in the next line that is no furniture, and the words of the halves of all others.
+
+    A cut names the line where its word may go on (``x``) and the lines between that may be headers.
+    """
+    line = ["src", "row_id", "at"]
+    cuts = parts.filter("kind = 'cut'").select(*line, "a", "b", F.col("x").cast("int").alias("end"), F.split(F.split("a", "\t")[2], " ").alias("passed"))
+    heads = running.select("src", "row_id", F.col("at").alias("head"))
+    passed = cuts.select(*line, "end", F.explode("passed").alias("head")).filter("head <> ''").withColumn("head", F.col("head").cast("int"))
+    spoken = passed.join(heads, ["src", "row_id", "head"], "left_anti").select(*line, "end").distinct()
+    cuts = cut(cuts.drop("passed").join(spoken, [*line, "end"], "left_anti").join(heads.withColumnRenamed("head", "end"), ["src", "row_id", "end"], "left_anti"))
+    halves = parts.filter("kind = 'half'").select(*line, F.col("a").alias("word"), F.col("x").cast("int").alias("_at"), F.col("y").cast("int").alias("_end"))
+    taken = cuts.select("src", "row_id", F.col("at").alias("_at"), F.explode(F.array("end", F.lit(-1))).alias("_end"))
+    words = halves.join(taken, ["src", "row_id", "_at", "_end"], "left_anti").join(running, line, "left_anti")
+    return cuts, words.groupBy(*line, "word").agg(F.count(F.lit(1)).cast("int").alias("k"))
+
+
+def cut_words(cuts: DataFrame, counts: DataFrame) -> DataFrame:
     """``(src, row_id, at, joined)`` of line ends where a word is cut by a mark that is not its own."""
     pair = F.split("a", "\t")
     lower = lambda c: F.lower(F.regexp_replace(c, "[`´‘’ʼ']", "ʻ"))
-    cuts = parts.filter("kind = 'cut'").select("src", "row_id", "at", F.col("b").alias("mark"), lower(pair[0]).alias("l"), lower(pair[1]).alias("r"))
+    cuts = cuts.select("src", "row_id", "at", F.col("b").alias("mark"), lower(pair[0]).alias("l"), lower(pair[1]).alias("r"))
     cuts = cuts.withColumns({"joined": F.concat("l", "r"), "hyphened": F.concat_ws("-", "l", "r")})
     vocabulary = counts.select(F.col("word"), F.col("n"))
     asked = cuts.select(F.explode(F.array("l", "r", "joined", "hyphened")).alias("word")).distinct()
@@ -353,9 +401,10 @@ def find_noise(table: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame
     parts = analyse(table)
     numbers = parts.filter("kind = 'number'").select("src", "row_id", "at").distinct()
     running = cut(headers(parts, books))
-    body = parts.filter("kind = 'word'").join(running, ["src", "row_id", "at"], "left_anti").select("src", "row_id", "at", F.col("a").alias("word"), F.col("x").cast("int").alias("k"))
+    ends, halves = whole_cuts(parts, running)
+    body = parts.filter("kind = 'word'").join(running, ["src", "row_id", "at"], "left_anti").select("src", "row_id", "at", F.col("a").alias("word"), F.col("x").cast("int").alias("k")).unionByName(halves)
     counts = cut(body.groupBy("word").agg(F.sum("k").alias("n")))
-    cuts = cut(cut_words(parts, counts))
+    cuts = cut(cut_words(ends, counts))
     whole = body.select("src", "row_id", "at", "word").unionByName(cuts.select("src", "row_id", "at", F.col("joined").alias("word")))
     counts = cut(whole.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     wrong = cut(corrections(counts))

@@ -125,3 +125,12 @@ def test_scans_number_inside_a_block(spark):
     p, v, b = _scan_tables(spark, [(1, 24, 2, "Соседи тогда\nначали шептаться.\n[24]\nСтарый плотник сидел\nи читал газету."), (2, 24, 2, "Соседи тогда\nначали шептаться.\n[31]\nСтарый плотник сидел\nи читал газету.")])
     numbers = scans.analyse(scans.fields(p, v)).filter("src = 'pdf_text_variants.text' AND kind = 'number'")
     assert [(r.row_id, r.at) for r in numbers.collect()] == [(1, 2)]
+
+
+def test_scans_cut_across_furniture(spark):
+    text = "Седой фонарщик вычи-\n[24]\nО. БЕЗУГЛИН. ДОМ\nстил старую монету.\nСтарый плотник сидел на чер-\f\n\nО. БЕЗУГЛИН. ДОМ   25\nдаке и чистил га-\nНи один плотник не сидел у реки тогда\nзету."
+    p, v, b = _scan_tables(spark, [(1, 24, 3, text), *[(i, 24 + i, 1, "О. БЕЗУГЛИН. ДОМ\nСтарый плотник вычистил старую монету.") for i in range(2, 9)]])
+    _, _, cuts, _, _ = scans.find_noise(scans.fields(p, v), b)
+    assert {(r.at, r.joined) for r in cuts.filter("src = 'pdf_text_variants.text'").collect()} == {(0, "вычистил"), (4, "чердаке")}
+    got = {r.row_id: r.text for r in scans.paragraphs(scans.fields(p, v), b).filter("src = 'pdf_text_variants.text'").collect()}
+    assert got[1].startswith("Седой фонарщик вычистил старую монету. Старый плотник сидел на чердаке и чистил га-")
