@@ -3,7 +3,8 @@
 Each field is taken apart into lines. What is furniture and which lines are to be joined is told by
 classifiers over pairs of neighbouring lines; misread words are corrected from the corpus itself:
 candidates for a rare word come from an inverted join over its rarest character q-grams (a prefix
-filter, so no pair within the distance is missed), and a gradient-boosted ranking chooses among them. All three
+filter, so no pair within the distance is missed), and a gradient-boosted ranking chooses among them; where a
+script has no words, three characters with one place open take the place of the grams, with a ranking of their own. All
 models are trained here, on at most ``TRAIN`` rows drawn by hash that the data label themselves: lines equal to a
 title of their book, line ends whose joined or hyphenated form the corpus knows, and frequent words
 with the corpus's own confusions put into them. Counts, candidates and decisions cover all rows.
@@ -45,7 +46,7 @@ _HEADING = regex.compile(rf"^\s*(?:{HEADINGS})\s*[.:]?\s*$")
 _NUMBER = regex.compile(r"^[\s\-–—·•*\[\](){}|~.]*(?:(?:стр|с|page|p|pg|bet|б|бет|pag)\.?\s*|第\s*)?([\dlIіІ|OoОоSБВBЗзgqZ]{1,6}|[ivxlcIVXLC]{1,8})\s*(?:页|頁|-?бет|-?bet|б\.)?[\s\-–—·•*\[\](){}|~.]*$")
 _BESIDE = regex.compile(r"^(.*?\S)\s{2,}(\S.{0,9}?)\s*$|^\s*(\S.{0,9}?)\s{2,}(\S.*?)\s*$")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[ʻʼ'’`‘-][\p{L}\p{M}\p{N}]+)*ʻ?")
-_HAN = regex.compile(r"[\p{Han}]{3,}")
+_HAN = regex.compile(r"\p{Han}+")
 _TERMINAL = regex.compile(r"[.!?…。！？»”’\"'」,;:，；：、]\s*$")
 _CUT = regex.compile(rf"([\p{{L}}\p{{M}}ʻʼ'’-]*[\p{{L}}ʻʼ])([{re.escape(CUT_MARKS)}])[ \t\f]*$")
 _RIGHT = regex.compile(r"^[ \t\f]*([\p{Ll}][\p{Ll}\p{M}ʻʼ'’]*(?:-[\p{L}]+)*)")
@@ -103,6 +104,7 @@ def _words(text: str) -> Iterator[str]:
         if len(w) > 2 and not w.isdigit() and not regex.match(r"\p{Han}", w):
             yield regex.sub("[`´‘’ʼ']", "ʻ", w.lower())
     for run in _HAN.findall(text):
+        run = f"^{run}$"  # so that every character is in the middle once
         for q in range(len(run) - 2):
             yield run[q : q + 3]
 
@@ -311,8 +313,7 @@ def _readable(word: str) -> bool:
 def corrections(counts: DataFrame) -> DataFrame:
     """``(word, right)``: misread words of a table ``(word, n)`` of all words, and what they are to be."""
     words = counts.filter("length(word) >= 3 AND NOT word RLIKE '^[0-9]+$'")
-    total = F.regexp_count(F.col("word"), F.lit(r"[\x{4E00}-\x{9FFF}]")) > 0
-    marked = words.withColumn("han", total)
+    marked = words.withColumn("han", F.col("word").rlike(r"\p{IsHan}"))
     # q-grams of both sides, rarest first; two words within DISTANCE share one of the first Q * DISTANCE + 1
     rare = marked.filter("NOT han AND length(word) >= 4")
     gram = lambda c: F.transform(F.sequence(F.lit(0), F.length(c) - 1), lambda i: F.substring(F.concat(F.lit("^"), c, F.lit("$")), i + 1, Q))
@@ -343,13 +344,43 @@ def corrections(counts: DataFrame) -> DataFrame:
 
     ranked = pairs.withColumn("odds", odds("word", "right", "op_words")).filter((F.col("odds") > 0) & ((F.col("op_words") >= 3) | F.col("word").rlike(r"\p{L}\d|\d\p{L}")))
     best = ranked.groupBy("word").agg(F.max_by("right", F.struct("odds", "n_right", "right")).alias("right"))
-    # scripts without words: the middle of three characters, where the same neighbours nearly always hold another one
-    three = marked.filter("han AND length(word) = 3").select("word", "n", F.concat(F.substring("word", 1, 1), F.substring("word", 3, 1)).alias("frame"), F.substring("word", 2, 1).alias("c"))
-    single = three.groupBy("c").agg(F.sum("n").alias("n_c"))
-    top = three.filter(F.col("n") >= RATIO).groupBy("frame").agg(F.max_by(F.struct("word", "c", "n"), "n").alias("top"))
-    odd = three.join(top, "frame").filter((F.col("c") != F.col("top.c")) & (F.col("n") * RATIO <= F.col("top.n"))).join(single, "c").join(single.select(F.col("c").alias("tc"), F.col("n_c").alias("n_tc")), F.col("top.c") == F.col("tc"))
-    odd = odd.filter(F.col("n_c") * RATIO <= F.col("n_tc")).select("word", F.col("top.word").alias("right"))
-    return best.unionByName(odd)
+    return best.unionByName(_han_corrections(marked.filter("han").select("word", "n")))
+
+
+def _han_corrections(words: DataFrame) -> DataFrame:
+    """``(word, right)`` in scripts without words: three characters of a run, ``^`` and ``$`` standing for its ends.
+
+    Candidates come from a join over the grams that are left with one place open: first, middle or last. A wrong
+    character must be ``RATIO`` times as rare as the right one. The ranking is told by the share of a wrong
+    character's places that one right character explains, which is hidden in half of its training rows.
+    """
+    three = words.filter(F.col("word").rlike(r"^[\^\p{IsHan}]\p{IsHan}[$\p{IsHan}]$"))
+    slots = F.array(*[F.struct(F.lit(i).alias("slot"), F.substring("word", i + 1, 1).alias("c"), F.concat(F.substring("word", 1, i), F.lit("_"), F.substring("word", i + 2, 3)).alias("frame")) for i in range(3)])
+    grams = cut(three.select("word", "n", F.inline(slots)).filter("NOT c IN ('^', '$')"))
+    single = grams.groupBy("c").agg(F.sum("n").alias("n_c"))
+    grams = grams.join(single, "c")
+    left = grams.select("word", F.col("n").alias("n_word"), "slot", "frame", "c", "n_c")
+    right = grams.filter(F.col("n") >= FREQUENT).select(F.col("word").alias("right"), F.col("n").alias("n_right"), "slot", "frame", F.col("c").alias("rc"), F.col("n_c").alias("n_rc"))
+    pairs = left.join(right, ["slot", "frame"]).filter((F.col("c") != F.col("rc")) & (F.col("n_c") * RATIO <= F.col("n_rc")) & (F.col("n_right") >= FREQUENT * F.col("n_word")))
+    pairs = cut(pairs.withColumn("op", F.concat_ws(">", "rc", "c")).drop("frame"))
+    spread = pairs.groupBy("op", "c").agg(F.countDistinct("right").alias("op_words"), F.countDistinct("slot").alias("slots"), (F.sum("n_word") / F.first("n_c")).alias("share")).filter("op_words >= 3")
+    spread = spread.join(spread.groupBy("c").agg(F.max("share").alias("top")), "c").drop("c")
+    features = ["op_words", "slots", "share", "char_ratio", "word_ratio", "slot", "at_end"]
+    told = pairs.join(spread, "op").withColumns({"op_words": F.log1p("op_words"), "char_ratio": F.log(F.col("n_rc") / F.col("n_c")), "word_ratio": F.log(F.col("n_right") / F.col("n_word")), "at_end": F.col("word").rlike(r"[\^$]")})
+    told = cut(told.select("word", "right", "n_right", "top", *[F.col(f).cast("double") for f in features]))
+    seeds = told.withColumn("label", F.when(F.col("share") < F.when(F.col("top") >= 1 - 1 / FREQUENT, F.col("top")).otherwise(0.5), 0).when(F.col("share") >= 1 - 1 / FREQUENT, 1)).filter("label IS NOT NULL")
+    n = max(seeds.count(), 1)
+    sample = seeds.filter(F.pmod(F.xxhash64("word", "right"), F.lit(1 << 20)) < F.lit((1 << 20) * min(1.0, TRAIN / n))).orderBy("word", "right").select(*features, "label").toPandas()
+    x, y = sample[features].to_numpy(float), sample.label.to_numpy(float)
+    blind = x.copy()
+    blind[:, 2] = 0.5
+    model = boost.fit(np.vstack([x, blind]), np.concatenate([y, y]))
+
+    @F.pandas_udf("double")
+    def odds(*columns: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.column_stack([c.to_numpy(float) for c in columns])))
+
+    return told.withColumn("odds", odds(*features)).filter("odds > 0").groupBy("word").agg(F.max_by("right", F.struct("odds", "share", "n_right", "right")).alias("right"))
 
 
 def _features(word: str, right: str, op_words: int) -> tuple[float, ...]:
@@ -439,12 +470,15 @@ def paragraphs(table: DataFrame, books: DataFrame) -> DataFrame:
                 gone = set() if gone is None else set(gone)
                 joined = set() if joined is None else set(joined)
                 fixes = dict(fixes) if fixes is not None else {}
+                han = [(_run_pattern(w), r.strip("^$")) for w, r in fixes.items() if regex.search(r"\p{Han}", w)]
                 done: list[str] = []
                 glue = True
                 for k, (_, j, _, line) in enumerate(rows_of_lines(list(blocks))):
                     if k in gone or not line.strip():
                         continue
                     line = line.strip()
+                    for pattern, right in han:
+                        line = pattern.sub(right, line)
                     if j == 0 and not glue or not done:
                         done.append("")
                     heading = bool(_HEADING.match(line))
@@ -456,15 +490,17 @@ def paragraphs(table: DataFrame, books: DataFrame) -> DataFrame:
                 text = "\n\n".join(d.strip() for d in done if d.strip())
                 if fixes:
                     text = _WORD.sub(lambda m: _case(m.group(), fixes.get(m.group().lower())), text)
-                    for w, r in fixes.items():
-                        if regex.match(r"\p{Han}", w):
-                            text = text.replace(w, r)
                 texts.append(text)
             yield pd.DataFrame({"src": pdf.src, "row_id": pdf.row_id, "text": texts})
 
     return rows.mapInPandas(rebuild, "src string, row_id bigint, text string")
 
 
+def _run_pattern(word: str) -> regex.Pattern:
+    """Three characters of a run; ``^`` and ``$`` match at its ends only."""
+    return regex.compile((r"(?<!\p{Han})" if word[0] == "^" else "") + regex.escape(word.strip("^$")) + (r"(?!\p{Han})" if word[-1] == "$" else ""))
+
+
 def _case(word: str, right: str | None) -> str:
     if right is None:
         return word

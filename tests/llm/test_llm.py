@@ -134,3 +134,12 @@ def test_scans_cut_across_furniture(spark):
     assert {(r.at, r.joined) for r in cuts.filter("src = 'pdf_text_variants.text'").collect()} == {(0, "вычистил"), (4, "чердаке")}
     got = {r.row_id: r.text for r in scans.paragraphs(scans.fields(p, v), b).filter("src = 'pdf_text_variants.text'").collect()}
     assert got[1].startswith("Седой фонарщик вычистил старую монету. Старый плотник сидел на чердаке и чистил га-")
+
+
+def test_scans_misread_at_the_ends_of_a_run(spark):
+    whole = {"老木匠": 400, "木匠在": 300, "^木匠": 120, "匠在家": 90, "制的木": 90, "的木$": 90, "用木制": 90, "铁匠在": 90, "^铁匠": 60, "木制的": 200, "匠人$": 80, "^木$": 60, "在家$": 80, "老铁匠": 60}
+    rows = [*whole.items(), ("^朩匠", 2), ("朩匠在", 3), ("老朩匠", 2), ("制的朩", 1), ("的朩$", 1), ("朩制的", 3), ("用朩制", 1), ("^朩$", 1), ("木匠几", 1), ("^金匠", 1)]
+    got = {r.word: r.right for r in scans.corrections(spark.createDataFrame(rows, "word string, n long")).collect()}
+    assert got == {w: w.replace("朩", "木") for w, _ in rows if "朩" in w}
+    assert set(scans._words("朩匠，木")) == {"^朩匠", "朩匠$", "^木$"}
+    assert scans._run_pattern("匠在$").sub("匠站", "木匠在家，木匠在。") == "木匠在家，木匠站。"
