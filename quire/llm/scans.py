@@ -302,6 +302,17 @@ def edit_operation(right: str, wrong: str) -> str:
     return f"{right[i:len(right) - j]}>{wrong[i:len(wrong) - j]}"
 
 
+def single_operations(right: str, wrong: str) -> list[str]:
+    """The substitutions that make ``wrong`` of ``right``: one, which may change the length, or up to ``DISTANCE``
+    of one character each; none where something is only added or left out."""
+    if len(right) == len(wrong):
+        ops = [f"{a}>{b}" for a, b in zip(right, wrong) if a != b]
+        # words of fewer than four letters need not share a gram with one of two differences
+        return ops if len(ops) <= (DISTANCE if len(wrong) > 3 else 1) else []
+    op = edit_operation(right, wrong)
+    return [op] if len(op) <= 4 and not op.startswith(">") and not op.endswith(">") else []
+
+
 _LATIN, _CYRILLIC = regex.compile(r"[\p{Latin}]"), regex.compile(r"[\p{Cyrillic}]")
 
 
@@ -315,7 +326,7 @@ def corrections(counts: DataFrame) -> DataFrame:
     words = counts.filter("length(word) >= 3 AND NOT word RLIKE '^[0-9]+$'")
     marked = words.withColumn("han", F.col("word").rlike(r"\p{IsHan}"))
     # q-grams of both sides, rarest first; two words within DISTANCE share one of the first Q * DISTANCE + 1
-    rare = marked.filter("NOT han AND length(word) >= 4")
+    rare = marked.filter("NOT han")
     gram = lambda c: F.transform(F.sequence(F.lit(0), F.length(c) - 1), lambda i: F.substring(F.concat(F.lit("^"), c, F.lit("$")), i + 1, Q))
     grams = rare.select("word", "n", F.explode(F.array_distinct(gram(F.col("word")))).alias("g"))
     weight = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
@@ -325,11 +336,14 @@ def corrections(counts: DataFrame) -> DataFrame:
     right = prefix.filter(F.col("n") >= FREQUENT).select(F.col("word").alias("right"), F.col("n").alias("n_right"), "g", F.length("word").alias("lr"))
     found = left.join(right, "g").filter((F.abs(F.col("lw") - F.col("lr")) <= 1) & (F.col("n_right") >= RATIO * F.col("n_word")) & (F.col("word") != F.col("right")))
     pairs = found.select("word", "right", "n_word", "n_right").distinct().filter(F.levenshtein("word", "right", DISTANCE) > 0)
-    operation = F.udf(edit_operation, "string")
+    operation = F.udf(single_operations, "array<string>")
     fine = F.udf(_readable, "boolean")
-    pairs = pairs.filter(fine("word")).withColumn("op", operation("right", "word")).filter((F.length("op") <= 4) & ~F.col("op").startswith(">") & ~F.col("op").endswith(">"))
-    spread = pairs.groupBy("op").agg(F.countDistinct("right").alias("op_words"))
-    pairs = cut(pairs.join(spread, "op"))
+    pairs = cut(pairs.filter(fine("word")).withColumn("ops", operation("right", "word")).filter(F.size("ops") > 0))
+    spread = cut(pairs.filter(F.size("ops") == 1).groupBy(F.col("ops")[0].alias("op")).agg(F.countDistinct("right").alias("op_words")))
+    # every operation of a word needs its own support; the weakest counts
+    pairs = pairs.withColumns({"op": F.col("ops")[0], "op_2": F.get("ops", F.lit(1))}).join(spread, "op").join(spread.select(F.col("op").alias("op_2"), F.col("op_words").alias("op_words_2")), "op_2", "left")
+    pairs = pairs.withColumn("op_words", F.when(F.col("op_2").isNull(), F.col("op_words")).otherwise(F.least("op_words", F.coalesce("op_words_2", F.lit(1)))))
+    pairs = pairs.filter((F.col("op_words") >= 3) | F.col("word").rlike(r"\p{L}\d|\d\p{L}")).select("word", "right", "n_right", "op_words")
     # the corpus's own confusions: operations between a rare and a frequent word that many words share
     operations = {r.op: r.op_words for r in spread.filter("op_words >= 3").orderBy(F.desc("op_words"), "op").limit(400).toLocalIterator()}
     n = max(rare.filter(F.col("n") >= FREQUENT).count(), 1)
@@ -342,7 +356,7 @@ def corrections(counts: DataFrame) -> DataFrame:
             return pd.Series([], dtype=float)
         return pd.Series(model.score(np.array([_features(w, r, o) for w, r, o in zip(word, right, op_words)], float)))
 
-    ranked = pairs.withColumn("odds", odds("word", "right", "op_words")).filter((F.col("odds") > 0) & ((F.col("op_words") >= 3) | F.col("word").rlike(r"\p{L}\d|\d\p{L}")))
+    ranked = pairs.withColumn("odds", odds("word", "right", "op_words")).filter("odds > 0")
     best = ranked.groupBy("word").agg(F.max_by("right", F.struct("odds", "n_right", "right")).alias("right"))
     return best.unionByName(_han_corrections(marked.filter("han").select("word", "n")))
 
@@ -384,11 +398,11 @@ def _han_corrections(words: DataFrame) -> DataFrame:
 
 
 def _features(word: str, right: str, op_words: int) -> tuple[float, ...]:
-    op = edit_operation(right, word)
-    a, _, b = op.partition(">")
+    ops = single_operations(right, word) or [edit_operation(right, word)]
+    a, _, b = ops[0].partition(">")
     at = next((i for i, (x, y) in enumerate(zip(word, right)) if x != y), min(len(word), len(right)))
     inner_digit = float(bool(regex.search(r"\p{L}\d|\d\p{L}", word)))
-    return (np.log1p(float(op_words)), inner_digit, float(len(word)), at / max(len(word), 1), float(len(a)), float(len(b)), float(b.isdigit()), float(at == 0), float("-" in word))
+    return (np.log1p(float(op_words)), inner_digit, float(len(word)), at / max(len(word), 1), float(len(a)), float(len(b)), float(b.isdigit()), float(at == 0), float("-" in word), float(len(ops)))
 
 
 def _ranker(vocabulary: list[str], operations: dict[str, int]) -> boost.Boosted:
@@ -407,6 +421,14 @@ def _ranker(vocabulary: list[str], operations: dict[str, int]) -> boost.Boosted:
             if wrong not in known:
                 x.append(_features(wrong, word, n))
                 y.append(1.0)
+            # and a second one in every other word, where it has room
+            again = [(c, d, m, q) for c, d, m in strong for q in range(len(word)) if len(c) == len(d) == len(a) == len(b) == 1 and word[q] == c and q != i]
+            if len(word) > 3 and again and rng.random() < 0.5:
+                c, d, m, q = rng.choices(again, [m for _, _, m, _ in again])[0]
+                twice = wrong[:q] + d + wrong[q + 1 :]
+                if twice not in known:
+                    x.append(_features(twice, word, min(n, m)))
+                    y.append(1.0)
     shapes: dict[str, list[str]] = {}
     for word in vocabulary:
         for i in range(len(word)):
@@ -416,6 +438,17 @@ def _ranker(vocabulary: list[str], operations: dict[str, int]) -> boost.Boosted:
             for p, q in ((w, r), (r, w)):
                 x.append(_features(p, q, operations.get(edit_operation(q, p), 1)))
                 y.append(0.0)
+    doubles: dict[str, list[str]] = {}
+    for word in vocabulary[::4]:
+        for i in range(len(word)):
+            for j in range(i + 1, len(word)):
+                doubles.setdefault(word[:i] + "*" + word[i + 1 : j] + "*" + word[j + 1 :], []).append(word)
+    for group in doubles.values():
+        for w, r in zip(group, group[1:]):
+            for p, q in ((w, r), (r, w)):
+                if len(ops := single_operations(q, p)) == 2:
+                    x.append(_features(p, q, min(operations.get(o, 1) for o in ops)))
+                    y.append(0.0)
     # a letter that the ranking has only seen once or twice replaced is no confusion
     for word in vocabulary[::2]:
         i = rng.randrange(len(word))
@@ -424,7 +457,7 @@ def _ranker(vocabulary: list[str], operations: dict[str, int]) -> boost.Boosted:
             wrong = word[:i] + c + word[i + 1 :]
             x.append(_features(wrong, word, min(2, operations.get(edit_operation(word, wrong), 1))))
             y.append(0.0)
-    return boost.fit(np.array(x, float).reshape(len(x), 9), np.array(y, float))
+    return boost.fit(np.array(x, float).reshape(len(x), 10), np.array(y, float))
 
 
 def find_noise(table: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:

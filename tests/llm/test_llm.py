@@ -143,3 +143,12 @@ def test_scans_misread_at_the_ends_of_a_run(spark):
     assert got == {w: w.replace("朩", "木") for w, _ in rows if "朩" in w}
     assert set(scans._words("朩匠，木")) == {"^朩匠", "朩匠$", "^木$"}
     assert scans._run_pattern("匠在$").sub("匠站", "木匠在家，木匠在。") == "木匠在家，木匠站。"
+
+
+def test_scans_two_misread_letters(spark):
+    assert scans.single_operations("qishloʻida", "q1shl0ʻida") == ["i>1", "o>0"] and scans.single_operations("modern", "modem") == ["rn>m"] and scans.single_operations("дом", "дома") == []
+    names = ["kolosim", "tropino", "miloson", "vikolor", "solidor", "gimnota", "pilotin", "dorivom", "sinodol", "rotivok", "fitolog", "lopinor"]
+    rows = [(w, 400) for w in [*names, "boy", "sun", "hut"]] + [(w.replace("o", "0", 1), 2) for w in names] + [(w.replace("i", "1", 1), 2) for w in names]
+    rows += [("t0rilov", 1), ("torilov", 300), ("k0l0sim", 1), ("m1l0son", 1), ("b0y", 1), ("katsune", 1), ("kafsuni", 300)]
+    got = {r.word: r.right for r in scans.corrections(spark.createDataFrame(rows, "word string, n long")).collect()}
+    assert {w: got.get(w) for w in ("k0l0sim", "m1l0son", "b0y", "katsune")} == {"k0l0sim": "kolosim", "m1l0son": "miloson", "b0y": "boy", "katsune": None}
