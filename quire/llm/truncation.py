@@ -53,11 +53,12 @@ def open_structures(text: str) -> tuple[int, bool]:
 
 
 def _structure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Open structures of the whole text, which goes no further."""
     for batch in batches:
-        found = [open_structures(t or "") for t in batch.column("last_block").to_pylist()]
-        broken = [bool(_BROKEN_END.search(t or "")) for t in batch.column("last_block").to_pylist()]
-        columns = [batch.column(i) for i in range(batch.num_columns)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([n for n, _ in found], pa.int32()), pa.array(broken, pa.bool_())], names=[*batch.schema.names, "open", "broken"])
+        found = [open_structures(t or "") for t in batch.column("left").to_pylist()]
+        kept = [name for name in batch.schema.names if name != "left"]
+        columns = [batch.column(name) for name in kept]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([n for n, _ in found], pa.int32()), pa.array([b for _, b in found], pa.bool_())], names=[*kept, "open", "broken"])
 
 
 def _tail(line: Column) -> Column:
@@ -177,8 +178,8 @@ def find_truncated(docs: DataFrame) -> DataFrame:
             "entry": entry,
             "entry_done": F.col("line").rlike(r"\.{3,}\s*\d+$"),
         }
-    ).drop("text", "left", "lines", "n_blocks")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema)
+    ).drop("text", "lines", "n_blocks")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema if f.name != "left")
     d = d.mapInArrow(_structure, f"{schema}, open int, broken boolean")
     d = cut(d)
     asked = d.filter("kind <> 'prose' AND tail <> ''").select("tail").distinct()
@@ -191,9 +192,9 @@ def find_truncated(docs: DataFrame) -> DataFrame:
         .when(F.col("at_limit"), "length limit")
         .when(F.col("loose") & (F.col("kind") != "line"), "open end")
         .when(F.col("kind") == "prose", F.when(F.col("open") > 0, "open quotation or bracket").otherwise("no closing mark"))
-        .when(F.col("kind") == "line", F.when(~full, "unfinished line"))
-        .when(F.col("kind") == "signature", F.when(~full & (F.col("open") > 0), "unfinished line"))
-        .when(F.col("kind") == "name", F.when(F.coalesce("opens_prose", F.lit(False)), "no closing mark"))
+        .when(F.col("kind") == "line", F.when(~full, "unfinished line").when(F.col("open") > 0, "open quotation or bracket"))
+        .when(F.col("kind") == "signature", F.when(F.col("open") > 0, "open quotation or bracket"))
+        .when(F.col("kind") == "name", F.when(F.coalesce("opens_prose", F.lit(False)), "no closing mark").when(F.col("open") > 0, "open quotation or bracket"))
     )
     return d.withColumn("reason", reason).filter("reason IS NOT NULL").select("doc_id", "source", "at_limit", "reason")
 

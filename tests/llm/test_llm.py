@@ -152,3 +152,10 @@ def test_scans_two_misread_letters(spark):
     rows += [("t0rilov", 1), ("torilov", 300), ("k0l0sim", 1), ("m1l0son", 1), ("b0y", 1), ("katsune", 1), ("kafsuni", 300)]
     got = {r.word: r.right for r in scans.corrections(spark.createDataFrame(rows, "word string, n long")).collect()}
     assert {w: got.get(w) for w in ("k0l0sim", "m1l0son", "b0y", "katsune")} == {"k0l0sim": "kolosim", "m1l0son": "miloson", "b0y": "boy", "katsune": None}
+
+
+def test_truncation_open_quotation_before_a_signature(spark):
+    rows = [(i, t, "good") for i, t in enumerate(f"{t} {t}" for t in RU + EN for _ in range(3))]
+    rows += [(100, f"“{EN[0]} {EN[1]}\n\nYour Friend,\nJosephine Tambl", "good"), (101, f"“{EN[0]}” {EN[1]}\n\nYour Friend,\nJosephine Tamblewick", "good")]
+    got = {r.doc_id: r.reason for r in truncation.find_truncated(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert got == {100: "open quotation or bracket"}
