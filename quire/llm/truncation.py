@@ -29,6 +29,9 @@ _BARE = r"(?:\.{3}|…|—|–|-)\s*$"
 _BREAK = r"^\s*(?:[*＊#~—–\-]\s*){2,}$"
 #: A source's texts pile up at a length if at least this share (and ``PILE_MIN`` texts) have it.
 PILE, PILE_MIN = 0.01, 3
+#: Texts cut at a word's end pile up over a word's length; that takes a larger share. A pile is so many times as dense as
+#: the lengths before it, and has so many times the texts beyond it.
+WORD, WORD_PILE, DENSER, BEYOND = 16, 0.05, 4, 10
 #: A bare ending is a source's mark if it is this many times as frequent there as in the middle one of all sources.
 MARK_RATIO, MARK_SHARE = 3.0, 0.015
 
@@ -68,31 +71,43 @@ def _tail(line: Column) -> Column:
     return F.when(han != "", han).otherwise(F.lower(F.regexp_extract(line, r"([\p{L}\p{M}\p{N}ʻʼ’'-]+)[^\p{L}\p{N}]*$", 1)))
 
 
+def _bare_length() -> Column:
+    """The length of a text without the mark of a cut."""
+    return F.length(F.regexp_replace(F.regexp_replace("text", _BRACKETED, ""), rf"\s*{_BARE}", ""))
+
+
+def _pile(sizes: DataFrame, measure: str, width: int, share: float, name: str) -> DataFrame:
+    """(source, ``name``): the length up to which, over ``width`` lengths, a source's texts pile up; sizes: (source, measure, size, texts)."""
+    of = Window.partitionBy("source")
+    by = of.orderBy("size")
+    texts = lambda a, b: F.coalesce(F.sum("texts").over(by.rangeBetween(a, b)), F.lit(0))
+    s = sizes.filter(F.col("measure") == measure).select("source", "size", F.sum("texts").over(of).alias("n"), texts(1 - width, 0).alias("inside"), texts(1 - width - WORD, -width).alias("before"), texts(1, Window.unboundedFollowing).alias("beyond"))
+    s = s.filter((F.col("inside") >= PILE_MIN) & (F.col("inside") >= share * F.col("n")) & (F.col("inside") * WORD >= DENSER * width * F.col("before")) & (F.col("inside") >= BEYOND * F.col("beyond")))
+    return s.groupBy("source").agg(F.max_by("size", F.struct("inside", -F.col("size"))).alias(name))
+
+
 def source_baselines(docs: DataFrame) -> DataFrame:
-    """(source, n_docs, char_limit, byte_limit, mark_dots, mark_ellipsis, mark_dash) of all documents."""
-    t = docs.select(F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.substring(F.rtrim("text"), -3, 3).alias("end")).filter("chars > 0")
-    tops = t.groupBy("source").agg(F.max("chars").alias("top_chars"), F.max("bytes").alias("top_bytes"))
-    counted = (
-        t.join(tops, "source")
-        .groupBy("source")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max("top_chars").alias("top_chars"),
-            F.max("top_bytes").alias("top_bytes"),
-            F.count_if(F.col("chars") == F.col("top_chars")).alias("at_chars"),
-            F.count_if(F.col("bytes") >= F.col("top_bytes") - 3).alias("at_bytes"),
-            F.count_if(F.col("end") == "...").alias("dots"),
-            F.count_if(F.col("end").endswith("…") & ~F.col("end").endswith("……")).alias("ellipsis"),
-            F.count_if(F.col("end").rlike("[^—\\s]—$")).alias("dash"),
-        )
+    """(source, n_docs, char_limit, byte_limit, at_words, mark_dots, mark_ellipsis, mark_dash) of all documents.
+
+    ``at_words``: the source cuts at a word's end, and ``char_limit`` is the length without the mark it adds.
+    """
+    t = docs.select(F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), _bare_length().alias("bare"), F.substring(F.rtrim("text"), -3, 3).alias("end")).filter("chars > 0")
+    counted = t.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("end") == "...").alias("dots"),
+        F.count_if(F.col("end").endswith("…") & ~F.col("end").endswith("……")).alias("ellipsis"),
+        F.count_if(F.col("end").rlike("[^—\\s]—$")).alias("dash"),
     )
+    sizes = cut(t.select("source", F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("size")) for m in ("chars", "bytes", "bare")]))).groupBy("source", "measure", "size").agg(F.count(F.lit(1)).alias("texts")))
+    piles = [_pile(sizes, "chars", 1, PILE, "exact"), _pile(sizes, "bare", WORD, WORD_PILE, "words"), _pile(sizes, "bytes", 4, PILE, "byte_limit")]
+    for pile in piles:
+        counted = counted.join(F.broadcast(pile), "source", "left")
     every = Window.partitionBy(F.lit(1))  # a row per source
-    piled = lambda at: (F.col(at) >= PILE_MIN) & (F.col(at) >= PILE * F.col("n"))
     for mark in ("dots", "ellipsis", "dash"):
         share = F.col(mark) / F.col("n")
         counted = counted.withColumn(f"mark_{mark}", (share >= MARK_SHARE) & (share >= MARK_RATIO * F.median(share).over(every)))
     return counted.select(
-        "source", F.col("n").alias("n_docs"), F.when(piled("at_chars"), F.col("top_chars")).alias("char_limit"), F.when(piled("at_bytes"), F.col("top_bytes")).alias("byte_limit"), "mark_dots", "mark_ellipsis", "mark_dash"
+        "source", F.col("n").alias("n_docs"), F.coalesce("exact", "words").alias("char_limit"), "byte_limit", (F.col("exact").isNull() & F.col("words").isNotNull()).alias("at_words"), "mark_dots", "mark_ellipsis", "mark_dash"
     )
 
 
@@ -146,7 +161,8 @@ def find_truncated(docs: DataFrame) -> DataFrame:
     ending = F.regexp_extract(F.rtrim("text"), r"(\.{3}|…|(?<=\S)—)$", 1)
     last_line = F.element_at(F.split(F.rtrim("text"), "\n"), -1)
     speech_breaks_off = last_line.rlike(r"^\s*[—–-]\s*(?:\S+\s+){0,3}\S+[—–]$") | last_line.rlike(_BREAK)
-    limit = (F.length("text") == F.col("char_limit")) | (F.octet_length("text") >= F.col("byte_limit") - 3)
+    limit = F.when(F.col("at_words"), _bare_length().between(F.col("char_limit") - WORD + 1, F.col("char_limit"))).otherwise(F.length("text") == F.col("char_limit"))
+    limit = limit | F.octet_length("text").between(F.col("byte_limit") - 3, F.col("byte_limit"))
     limit = F.coalesce(limit, F.lit(False))
     own = (
         F.when(ending == "...", F.col("mark_dots"))

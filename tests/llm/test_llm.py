@@ -159,3 +159,13 @@ def test_truncation_open_quotation_before_a_signature(spark):
     rows += [(100, f"“{EN[0]} {EN[1]}\n\nYour Friend,\nJosephine Tambl", "good"), (101, f"“{EN[0]}” {EN[1]}\n\nYour Friend,\nJosephine Tamblewick", "good")]
     got = {r.doc_id: r.reason for r in truncation.find_truncated(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
     assert got == {100: "open quotation or bracket"}
+
+
+def test_truncation_limit_below_the_longest_text(spark):
+    long = " ".join(EN * 20)
+    rows = [(i, long[i : i + 300].rsplit(" ", 1)[0] + (" [...]" if i % 2 else ""), "words") for i in range(40)] + [(100, long[:900] + " The end.", "words")]
+    rows += [(200 + i, long[i : i + 120], "cutter") for i in range(12)] + [(300, long[:900] + " The end.", "cutter")] + [(400 + i, long[: 100 + 37 * i] + " The end.", "even") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    base = {r.source: r for r in truncation.source_baselines(docs).collect()}
+    assert base["words"].at_words and 296 <= base["words"].char_limit <= 300 and base["cutter"].char_limit == 120 and not base["cutter"].at_words and base["even"].char_limit is None
+    assert all(r.at_limit for r in truncation.find_truncated(docs).filter("source <> 'even' AND doc_id < 100").collect())
