@@ -12,6 +12,7 @@ a part of a name is linked where only one entity of the book can be meant.
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -212,12 +213,13 @@ def radius_join(left: DataFrame, right: DataFrame, group: list[str], radius: int
 IN_TASK = 50_000
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame, rounds: int | None = None) -> DataFrame:
     """``(book_id, name, root)``: the smallest name of each connected component, by minimum labels with
-    pointer jumping; ``edges``: (book_id, a, b). For books of any size."""
+    pointer jumping; ``edges``: (book_id, a, b). For books of any size. It goes on until no label changes;
+    where ``rounds`` are not enough for that it is an error."""
     both = cut(edges.select("book_id", "a", "b").union(edges.select("book_id", F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
     label = nodes.select("book_id", "name", F.col("name").alias("root"))
-    for _ in range(rounds):
+    for done in itertools.count(1):
         offered = both.join(label.select("book_id", F.col("name").alias("b"), "root"), ["book_id", "b"]).groupBy("book_id", F.col("a").alias("name")).agg(F.min("root").alias("_offer"))
         step = label.join(offered, ["book_id", "name"], "left").select("book_id", "name", "root", F.least("root", F.coalesce("_offer", "root")).alias("_new"))
         jump = step.select("book_id", F.col("name").alias("_new"), F.col("_new").alias("_far"))
@@ -225,8 +227,9 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 30) -> DataFram
         changed = step.filter("root <> _next").limit(1).count()
         label = step.select("book_id", "name", F.col("_next").alias("root"))
         if not changed:
-            break
-    return label
+            return label
+        if done == rounds:
+            raise RuntimeError(f"components have not settled in {rounds} rounds")
 
 
 def spellings(speakers: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,6 @@
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators.names import _one_error, components, link_names, radius_join
@@ -51,3 +52,11 @@ def test_links_and_dirty_values(spark, monkeypatch):
     # the way for large books gives the same
     monkeypatch.setattr("quire.operators.names.IN_TASK", 0)
     assert {tuple(r) for r in link_names(s, p, n).collect()} == want
+
+
+def test_components_settle_or_fail(spark):
+    edges = spark.createDataFrame([(1, f"n{i:02d}", f"n{i + 1:02d}") for i in range(40)], "book_id bigint, a string, b string")
+    nodes = spark.createDataFrame([(1, f"n{i:02d}") for i in range(41)], "book_id bigint, name string")
+    assert {r.root for r in components(edges, nodes).collect()} == {"n00"}
+    with pytest.raises(RuntimeError):
+        components(edges, nodes, rounds=2)
