@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, encoding, language, lookalike, mixing, scans, sentences, truncation
+from quire.llm.names import link_names, spelling_pairs
 from quire.llm.pairs import PairModel, fit_pairs
+from quire.llm.splitting import split_oversized, with_profile
 from quire.sources.tables import table
 
 
@@ -57,6 +59,26 @@ def p2_unified(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.find_forms(_marked(spark, d), _pair_model(spark, d)).select("src", "row_id", "unified")
 
 
+# 3: oversized texts
+
+
+def oversized_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """One row per oversized text of manifest_chunks and chunk_specs, with its pieces."""
+    rows = _texts(spark, d, "manifest_chunks", "chunk_specs", columns=("chunker", "boundary_after"))
+    rows = with_profile(rows, table(spark, d, "chunk_profiles"))
+    return split_oversized(rows, ["src", "row_id"], F.col("text"), F.col("max_chunk_chars"), F.col("overlap_chars"), F.col("boundary_after"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows longer than the limit of their chunker: those the splitter cuts into several pieces."""
+    return oversized_pieces(spark, d).filter(F.size("pieces") > 1).select("src", "row_id")
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces themselves."""
+    return oversized_pieces(spark, d).select("src", "row_id", F.inline("pieces"))
+
+
 # 4: sentences
 
 
@@ -74,6 +96,27 @@ def p4_sentences(spark: SparkSession, d: str) -> DataFrame:
     return spans.select("src", "row_id", "start_char", "end_char", F.substring("text", F.col("start_char") + 1, F.col("end_char") - F.col("start_char")).alias("sentence"))
 
 
+# 5: spellings of names
+
+
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    return link_names(
+        table(spark, d, "manifest_chunks").select("book_id", "speaker"),
+        table(spark, d, "character_profiles").select("book_id", "profile_id", "display_name", "aliases"),
+        table(spark, d, "nickname_list"),
+    )
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of different spellings of one entity of a book."""
+    return spelling_pairs(_linked(spark, d))
+
+
+def p5_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The entity of every spelling."""
+    return _linked(spark, d)
+
+
 # 6: wrong encodings
 
 
@@ -155,7 +198,15 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_rates(table(spark, d, "documents").select("doc_id", "text", "source"), _cut(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_unified, p4_found, p4_sentences, p6_found, p6_restored, p7_found, p7_languages, p8_ids, p9_copies, p9_shares, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_unified, p3_found, p3_pieces, p4_found, p4_sentences, p5_found, p5_entities, p6_found, p6_restored, p7_found, p7_languages, p8_ids, p9_copies, p9_shares, p10_found, p10_rates)}
+
+_OVER = """SELECT 'manifest_chunks' AS src, row_id, text, chunker FROM manifest_chunks
+UNION ALL SELECT 'chunk_specs', row_id, text, chunker FROM chunk_specs"""
 
-#: None of these can be said in SQL over whole tables; tests compare them with brute force, round trips and held-out accuracy.
-ORACLES: dict[str, str] = {}
+#: The others can't be said in SQL over whole tables; tests compare them with brute force, round trips and held-out accuracy.
+ORACLES = {
+    "p3_found": f"""
+SELECT t.src, t.row_id FROM ({_OVER}) t
+JOIN chunk_profiles p ON p.chunker = CASE WHEN trim(coalesce(t.chunker, '')) = '' THEN 'default' ELSE trim(t.chunker) END
+WHERE length(t.text) > p.max_chunk_chars""",
+}

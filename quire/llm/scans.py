@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import boost
-from quire.operators.names import radius_join
+from quire.llm.names import radius_join
 from quire.session import cut
 
 TRAIN = 20_000
