@@ -4,9 +4,16 @@ A text is cut into words by the vocabulary's own pattern, and a word into pieces
 neighbouring bytes are never neighbours inside any vocabulary entry, since no merge can span such a
 place. What remains to be merged are the distinct pieces. Each partition keeps a table of the pieces
 met so far; new ones go to DuckDB, where token-position rows are joined to the merge table, the pair
-of minimum rank of each piece is contracted, leftmost first, until no pair is left, and an ordered
-aggregation returns the ids. The table of pieces is emptied when it reaches ``KEPT_PIECES``, so the
-memory of a partition does not grow with its input.
+of minimum rank of each piece is contracted wherever it stands, from the left, until no pair is left, and an
+ordered aggregation returns the ids. (A merge makes only pairs of higher rank, so to contract all places of the
+minimum pair at once is the same as one by one.) The recursion keeps the newest row of each position only, so its memory
+is that of its input, and groups of pieces are held to ``LETTERS`` bytes. The table of pieces is emptied when it reaches
+``KEPT_BYTES``, so the memory of a partition does not grow with its input.
+
+A piece longer than ``BLOCK`` bytes is encoded in overlapping blocks. A sequence of tokens is the encoding of its bytes if
+and only if every two neighbours are the encoding of theirs; so where two blocks have a token in common, the left one's
+tokens up to it and the right one's after it are the exact ids. Pieces whose blocks share no token take
+larger blocks, at last one for the whole piece.
 
 The vocabulary is read from the path given; by default that of the installed ``public_tokenizers``.
 """
@@ -23,25 +30,35 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 
-KEPT_PIECES = 400_000
+#: Bytes of words and pieces that a partition remembers, and bytes of pieces that DuckDB gets at once.
+KEPT_BYTES, LETTERS = 6_000_000, 200_000
+#: Bytes of a block of a long piece, a quarter of which it shares with the next. A multiple of three and of powers of two, so
+#: blocks of a repeated character mostly fall in step.
+BLOCK = 768
+#: Words longer than this are not remembered.
+LONG_WORD = 64
 
-#: One contraction round per recursion step. ``w`` piece, ``p`` position, ``t`` token, ``k`` round.
+#: One contraction round per recursion step. ``w`` piece, ``p`` position, ``t`` token, -1 where it went into its left neighbour.
 _MERGE = """
-WITH RECURSIVE r AS (
-  SELECT w, p, t, 0 AS k FROM start
+WITH RECURSIVE r(w, p, t) USING KEY (w, p) AS (
+  SELECT w, p, t FROM start
   UNION ALL
-  (WITH n AS (
-     SELECT w, p, t, k, lead(p) OVER x AS q, lead(t) OVER x AS u, lag(p) OVER x AS o FROM r WINDOW x AS (PARTITION BY w ORDER BY p)
+  (WITH live AS (
+     SELECT w, p, t FROM recurring.r WHERE t >= 0 AND w IN (SELECT w FROM r)
+   ), n AS (
+     SELECT w, p, t, lead(p) OVER x AS q, lead(t) OVER x AS u, row_number() OVER x AS i FROM live WINDOW x AS (PARTITION BY w ORDER BY p)
    ), c AS (
-     SELECT n.w, n.p, n.q, n.o, n.t, n.k, m.rank, m.t AS made FROM n LEFT JOIN merges m ON m.a = n.t AND m.b = n.u
+     SELECT n.w, n.p, n.q, n.i, m.t AS made, m.rank FROM n JOIN merges m ON m.a = n.t AND m.b = n.u
    ), b AS (
-     SELECT w, min((rank::BIGINT << 32) | p) AS best FROM c WHERE rank IS NOT NULL GROUP BY w
+     SELECT w, p, q, i, made FROM c QUALIFY rank = min(rank) OVER (PARTITION BY w)
+   ), g AS (
+     SELECT w, p, q, i, made, i - row_number() OVER (PARTITION BY w ORDER BY i) AS run FROM b
+   ), k AS (
+     SELECT w, p, q, made FROM g QUALIFY row_number() OVER (PARTITION BY w, run ORDER BY i) % 2 = 1
    )
-   SELECT c.w, c.p, CASE WHEN c.p = (b.best & 4294967295) THEN c.made ELSE c.t END, c.k + 1
-   FROM c JOIN b ON b.w = c.w
-   WHERE c.o IS NULL OR c.o <> (b.best & 4294967295))
-), last AS (SELECT w, max(k) AS k FROM r GROUP BY w)
-SELECT r.w, list(r.t ORDER BY r.p) AS ids FROM r JOIN last ON r.w = last.w AND r.k = last.k GROUP BY r.w ORDER BY r.w
+   SELECT w, p, made FROM k UNION ALL SELECT w, q, -1 FROM k)
+)
+SELECT w, list(t ORDER BY p) AS ids FROM r WHERE t >= 0 GROUP BY w ORDER BY w
 """
 
 
@@ -70,31 +87,34 @@ def byte_letters() -> dict[str, int]:
 class Encoder:
     """Byte-level BPE by DuckDB; ``encode(texts)`` gives a list of ids per text."""
 
-    def __init__(self, path: str, kept: int = KEPT_PIECES) -> None:
+    def __init__(self, path: str, kept: int = KEPT_BYTES) -> None:
         letters = byte_letters()
         model = json.load(open(path, encoding="utf-8"))["model"]
         to_bytes = lambda token: bytes(letters[c] for c in token)
         vocab = {k: v for k, v in model["vocab"].items() if all(c in letters for c in k)}
-        self.byte_id = [0] * 256
+        byte_id = np.zeros(256, np.int32)
+        self.length = np.zeros(max(vocab.values()) + 1, np.int64)
         joined = np.zeros((256, 256), bool)
         for token, i in vocab.items():
             b = to_bytes(token)
+            self.length[i] = len(b)
             if len(b) == 1:
-                self.byte_id[b[0]] = i
+                byte_id[b[0]] = i
             for x, y in zip(b, b[1:]):
                 joined[x, y] = True
+        self.byte_id = byte_id
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         merges = pa.table({"a": pa.array([vocab[a] for a, _ in pairs], pa.int32()), "b": pa.array([vocab[b] for _, b in pairs], pa.int32()), "rank": pa.array(range(len(pairs)), pa.int32()), "t": pa.array([vocab[a + b] for a, b in pairs], pa.int32())})
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         self.db.register("merge_rows", merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
         self.db.unregister("merge_rows")
-        # One alternation of two-byte classes tells where a word may be cut: after x where (x, next) never occurs inside an entry.
+        # where a word may be cut: between x and y where no entry has them side by side
         self.joined = joined
         self.words = regex.compile(word_pattern())
         self.pieces: dict[bytes, list[int]] = {}
         self.word_ids: dict[str, list[int]] = {}
-        self.kept = kept
+        self.kept, self.size = kept, 0
 
     def _split(self, word: bytes) -> list[bytes]:
         if len(word) < 2:
@@ -106,37 +126,78 @@ class Encoder:
         ends = [0, *cuts.tolist(), len(word)]
         return [word[a:b] for a, b in zip(ends, ends[1:])]
 
-    def _merge(self, new: list[bytes], letters_at_once: int = 60_000) -> None:
-        """Encode pieces in groups of bounded size, so DuckDB's rows stay few."""
-        at = 0
-        while at < len(new):
+    def _contract(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each piece, by DuckDB in groups of bounded size."""
+        out: list[list[int]] = []
+        while len(out) < len(pieces):
             group, size = [], 0
-            while at < len(new) and (not group or size + len(new[at]) ** 2 <= letters_at_once * 20):
-                size += len(new[at]) ** 2
-                group.append(new[at])
-                at += 1
+            for piece in pieces[len(out) :]:
+                if group and size + len(piece) > LETTERS:
+                    break
+                group.append(piece)
+                size += len(piece)
             n = np.fromiter(map(len, group), np.int64, len(group))
-            w = np.repeat(np.arange(len(group), dtype=np.int64), n)
-            p = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
-            t = np.array(self.byte_id, np.int32)[np.frombuffer(b"".join(group), np.uint8)]
-            start = pa.table({"w": w, "p": p, "t": t})
-            self.db.register("start", start)
+            w = np.repeat(np.arange(len(group), dtype=np.int32), n)
+            p = (np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            t = self.byte_id[np.frombuffer(b"".join(group), np.uint8)]
+            self.db.register("start", pa.table({"w": w, "p": p, "t": t}))
             rows = self.db.execute(_MERGE).fetchall()
             self.db.unregister("start")
-            for i, ids in rows:
-                self.pieces[group[i]] = ids
+            out += [ids for _, ids in rows]
+        return out
+
+    def _stitch(self, blocks: list[tuple[int, list[int]]]) -> list[int] | None:
+        """The ids of a piece of the (start, ids) of its blocks; None where two neighbours have no token in common."""
+        start, ids = blocks[0]
+        done: list[int] = []
+        for nxt, new in blocks[1:]:
+            begins = start + np.concatenate(([0], np.cumsum(self.length[ids])))
+            begins_new = nxt + np.concatenate(([0], np.cumsum(self.length[new])))
+            at = {x: i for i, x in enumerate(begins[:-1].tolist())}
+            # a token is common to both if it begins and ends at the same bytes
+            common = next(((at[x], j) for j, x in enumerate(begins_new[:-1].tolist()) if x in at and begins[at[x] + 1] == begins_new[j + 1]), None)
+            if common is None:
+                return None
+            done += ids[: common[0]]
+            start, ids = int(begins_new[common[1]]), new[common[1] :]
+        return done + ids
+
+    def _long(self, pieces: list[bytes]) -> dict[bytes, list[int]]:
+        """The ids of pieces of more than ``BLOCK`` bytes."""
+        done: dict[bytes, list[int]] = {}
+        size = BLOCK
+        while len(done) < len(pieces):
+            step = size * 3 // 4
+            blocks = {p: [(a, p[a : a + size]) for a in range(0, max(len(p) - size, 0) + step, step)] for p in pieces if p not in done}
+            distinct = list({b for parts in blocks.values() for _, b in parts})
+            ids = dict(zip(distinct, self._contract(distinct)))
+            for p, parts in blocks.items():
+                whole = self._stitch([(a, ids[b]) for a, b in parts])
+                if whole is not None:
+                    done[p] = whole
+            size *= 4
+        return done
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         found = [self.words.findall(t) if t else [] for t in texts]
-        if len(self.pieces) + len(self.word_ids) > self.kept:
-            self.pieces, self.word_ids = {}, {}
-        fresh = {w for ws in found for w in ws}.difference(self.word_ids)
-        parts = {w: self._split(w.encode("utf-8")) for w in fresh}
-        self._merge(list({p for ps in parts.values() for p in ps}.difference(self.pieces)))
+        if self.size > self.kept:
+            self.pieces, self.word_ids, self.size = {}, {}, 0
+        known = self.word_ids
+        parts = {w: self._split(w.encode("utf-8")) for w in {w for ws in found for w in ws}.difference(known)}
+        new = {p for ps in parts.values() for p in ps}.difference(self.pieces)
+        short = [p for p in new if len(p) <= BLOCK]
+        self.pieces.update(zip(short, self._contract(short)))
+        long = self._long([p for p in new if len(p) > BLOCK])
+        self.size += sum(map(len, short))
+        once: dict[str, list[int]] = {}
         for w, ps in parts.items():
-            self.word_ids[w] = [i for p in ps for i in self.pieces[p]]
-        ids = self.word_ids
-        return [[i for w in ws for i in ids[w]] for ws in found]
+            ids = [i for p in ps for i in (self.pieces[p] if len(p) <= BLOCK else long[p])]
+            if len(w) <= LONG_WORD:
+                known[w] = ids
+                self.size += len(w)
+            else:
+                once[w] = ids
+        return [[i for w in ws for i in (known[w] if w in known else once[w])] for ws in found]
 
 
 @lru_cache(maxsize=1)
