@@ -184,18 +184,18 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 # 10: cut texts
 
 
-def _cut(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.find_truncated(table(spark, d, "documents").select("doc_id", "text", "source"))
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text", "source")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose text was cut."""
-    return _cut(spark, d).select("doc_id")
+    return truncation.find_truncated(_documents(spark, d)).select("doc_id")
 
 
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     """Each source's rate of cuts."""
-    return truncation.truncation_rates(table(spark, d, "documents").select("doc_id", "text", "source"), _cut(spark, d))
+    return truncation.truncation_rates(_documents(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_unified, p3_found, p3_pieces, p4_found, p4_sentences, p5_found, p5_entities, p6_found, p6_restored, p7_found, p7_languages, p8_ids, p9_copies, p9_shares, p10_found, p10_rates)}
