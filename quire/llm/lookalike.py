@@ -1,11 +1,13 @@
 """One consistent form for text that looks the same but is written with different characters.
 
 Strings and code points are the nodes of a union-find structure: compatibility forms, decomposed
-letters, radicals, spaces and look-alikes of other scripts are united with what they look like, and the
-classes are transitive (full-width ａ, Latin a, Cyrillic а and Greek α are one). A class has one member per
-script; which of them stands in a word is decided by frequency: the script of most of the word's
-letters that have no twin, else the spelling whose neighbours the corpus knows best. The texts are
-rewritten greedily, leftmost longest, with an automaton over all variants (Aho-Corasick).
+letters, radicals, spaces, apostrophes and look-alikes of other scripts are united with what they look like, and the
+classes are transitive (full-width ａ, Latin a, Cyrillic а and Greek α are one). In a class each script has one
+representative, the member that the corpus uses most, each count being weighed by how usual its form (plain, full-width,
+decomposed ...) is in the whole corpus. Which script's representative stands in a word is decided by frequency, too: the
+script of most of the word's letters that have no twin, else the spelling whose neighbours the corpus knows best. The
+texts are rewritten greedily, leftmost longest, with an automaton over all members that are no
+representatives (Aho-Corasick).
 
 Rows are first sifted as vectors of code points, so only rows that hold a variant reach the automaton.
 """
@@ -14,7 +16,6 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -41,6 +42,8 @@ TWINS = (
 #: Marks that stand for the turned comma of oʻ and gʻ.
 APOSTROPHES = "'`´‘’ʼʹʽˈ′ˊ"
 TURNED_COMMA = "ʻ"
+#: Those among them that are no quotation marks.
+_NO_QUOTES = "`´ʼʹʽˈ′ˊ"
 #: Endings after o' and g' that make an English word of it.
 _ENGLISH = regex.compile(r"(?:s|d|ll|re|ve|t|m|er|clock)?\b(?!\p{L})", regex.I)
 
@@ -65,20 +68,23 @@ class UnionFind:
 
 
 def script_of(c: str) -> str:
-    name = unicodedata.name(c, "")
-    for s in ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "CJK", "KANGXI"):
+    name = unicodedata.name(c, "").removeprefix("FULLWIDTH ").replace("KANGXI", "CJK")
+    for s in ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "CJK"):
         if name.startswith(s):
             return s
     return ""
 
 
 class Classes:
-    """The look-alike classes and the tables made from them."""
+    """The look-alike classes of a corpus and the tables made from them.
 
-    def __init__(self) -> None:
+    ``plain``: the representative of every member that is none itself, with ``kind`` for what makes it differ;
+    ``scripts``: of a letter of a class with several scripts, the representative in each.
+    """
+
+    def __init__(self, model: PairModel) -> None:
         sets = UnionFind()
         self.kind: dict[str, int] = {}
-        self.plain: dict[str, str] = {}
         for cp in range(0x80, 0x30000):
             c = chr(cp)
             category = unicodedata.category(c)
@@ -109,35 +115,59 @@ class Classes:
                     base = unicodedata.normalize("NFC", parts[:-1])
                     if len(base) == 1:
                         self._add(sets, base + parts[-1], c, COMBINING)
-        self.scripts: dict[str, dict[str, str]] = {}
         for row in TWINS:
-            members = {script_of(c): c for c in row if c != "."}
-            first = next(iter(members.values()))
-            for c in members.values():
-                sets.union(c, first)
-            for c in members.values():
-                self.scripts[c] = members
-        for c in APOSTROPHES:
-            sets.union(c, TURNED_COMMA)
+            members = [c for c in row if c != "."]
+            for c in members:
+                sets.union(c, members[0])
+        for letter in "oOgG":
+            for mark in APOSTROPHES:
+                self._add(sets, letter + mark, letter + TURNED_COMMA, LOOKALIKE)
+        classes: dict[str, list[str]] = {}
+        for member in list(sets.up):
+            classes.setdefault(sets.find(member), []).append(member)
+        count = {m: model.count(m) for ms in classes.values() for m in ms}
+        usual: dict[int, float] = {}
+        for m, n in count.items():
+            usual[self.kind.get(m, 0)] = usual.get(self.kind.get(m, 0), 1.0) + n
+        weight = lambda m: ((count[m] + 0.5) * usual[self.kind.get(m, 0)], m)
+        self.plain: dict[str, str] = {}
+        self.scripts: dict[str, dict[str, str]] = {}
+        self.turned: dict[str, str] = {}
+        for members in classes.values():
+            by_script: dict[str, list[str]] = {}
+            for m in members:
+                by_script.setdefault(script_of(m[0]) if m else "", []).append(m)
+            best = {s: max(ms, key=weight) for s, ms in by_script.items()}
+            for s, ms in by_script.items():
+                for m in ms:
+                    if m != best[s] and m not in ("", " "):
+                        self.plain[m] = best[s]
+                        self.kind.setdefault(m, self.kind.get(best[s], 0) or LOOKALIKE)
+            if len(best) > 1:
+                self.scripts.update({m: best for m in members if len(m) == 1})
+        # what an apostrophe is depends on what stands around it, so these are no words of the automaton
+        for m in [m for m in self.plain if m[0] in "oOgG" and m[1:] in (*APOSTROPHES, TURNED_COMMA)]:
+            self.turned[m] = self.plain.pop(m)
         self.sets = sets
         self.automaton = ahocorasick.Automaton()
         for variant, plain in self.plain.items():
             self.automaton.add_word(variant, (variant, plain, self.kind[variant]))
         self.automaton.make_automaton()
+        self.kinds, self.letters = self._tables()
 
     def _add(self, sets: UnionFind, variant: str, plain: str, kind: int) -> None:
         if variant == plain or variant in self.kind:
             return
+        sets.find(variant), sets.find(plain)
         sets.union(variant, plain)
         self.kind[variant] = kind
-        self.plain[variant] = plain
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+    def _tables(self) -> tuple[np.ndarray, np.ndarray]:
         """Per code point: the kind of variant it is alone (or may begin, for combining marks), and a letter's script:
         1 Latin, 2 Cyrillic, 4 Greek or Armenian, with 8 added if it has no twin."""
         kind = np.zeros(GAP + 1, np.uint8)
-        for variant, k in self.kind.items():
-            kind[ord(variant) if len(variant) == 1 else ord(variant[-1])] |= k
+        for variant in self.plain:
+            kind[ord(variant) if len(variant) == 1 else ord(variant[-1])] |= self.kind[variant]
         script = np.zeros(GAP + 1, np.uint8)
         bits = {"LATIN": 1, "CYRILLIC": 2, "GREEK": 4, "ARMENIAN": 4}
         for cp in range(0x41, 0x600):
@@ -147,14 +177,12 @@ class Classes:
         return kind, script
 
 
-@lru_cache(maxsize=1)
-def classes() -> Classes:
-    return Classes()
-
-
-@lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    return classes().tables()
+def classes(model: PairModel) -> Classes:
+    """The classes of a model's corpus, made once per process."""
+    made = getattr(model, "_classes", None)
+    if made is None:
+        made = model._classes = Classes(model)
+    return made
 
 
 _LETTERS = regex.compile(r"[\p{Latin}\p{Cyrillic}\p{Greek}\p{Armenian}]+")
@@ -169,12 +197,12 @@ def _spaces_right(text: str, at: int) -> bool:
     return i == 0 or text[i - 1] == "\n"
 
 
-def _rewrite(text: str) -> tuple[str, int]:
+def _rewrite(text: str, k: Classes) -> tuple[str, int]:
     """Replace all variants, leftmost longest; returns the text and the kinds met."""
     found = 0
     out, at = [], 0
     matches: dict[int, tuple[int, str, int]] = {}
-    for end, (variant, plain, kind) in classes().automaton.iter(text):
+    for end, (variant, plain, kind) in k.automaton.iter(text):
         start = end + 1 - len(variant)
         if start not in matches or matches[start][0] <= end:
             matches[start] = (end + 1, plain, kind)
@@ -192,25 +220,25 @@ def _rewrite(text: str) -> tuple[str, int]:
     return ("".join(out) + text[at:], found) if found else (text, 0)
 
 
-def _word_script(word: str) -> tuple[dict[str, int], set[str]]:
+def _word_script(word: str, k: Classes) -> tuple[dict[str, int], set[str]]:
     """Letters without a twin per script, and all scripts of the word."""
     own: dict[str, int] = {}
     all_scripts: set[str] = set()
     for c in word:
         s = script_of(c)
         all_scripts.add(s)
-        if c not in classes().scripts:
+        if c not in k.scripts:
             own[s] = own.get(s, 0) + 1
     return own, all_scripts
 
 
-def _spell(word: str, script: str) -> str | None:
+def _spell(word: str, script: str, k: Classes) -> str | None:
     """The word with all letters of one script, if each has one there."""
     out = []
     for c in word:
         if script_of(c) == script:
             out.append(c)
-        elif (twin := classes().scripts.get(c, {}).get(script)) is not None:
+        elif (twin := k.scripts.get(c, {}).get(script)) is not None:
             out.append(twin)
         else:
             return None
@@ -223,9 +251,10 @@ PURE_GAIN = 14.0
 
 def unify(text: str, model: PairModel) -> tuple[str, int]:
     """The consistent form of a text and the kinds of variants in it (bits of ``FORMS``)."""
-    text, found = _rewrite(text)
+    k = classes(model)
+    text, found = _rewrite(text, k)
     words = list(_LETTERS.finditer(text))
-    scripts = [(_word_script(w.group())) for w in words]
+    scripts = [_word_script(w.group(), k) for w in words]
     out, at = [], 0
     for i, (w, (own, every)) in enumerate(zip(words, scripts)):
         word = w.group()
@@ -236,7 +265,7 @@ def unify(text: str, model: PairModel) -> tuple[str, int]:
             if not beside or next(iter(every)) in beside:
                 continue
         left, right = text[max(0, w.start() - 1) : w.start()], text[w.end() : w.end() + 1]
-        spellings = {s: x for s in ("LATIN", "CYRILLIC", "GREEK") if (x := _spell(word, s)) is not None}
+        spellings = {s: x for s in ("LATIN", "CYRILLIC", "GREEK") if (x := _spell(word, s, k)) is not None}
         if len(every) > 1 and own:
             spellings = {s: x for s, x in spellings.items() if s in own} or spellings
         if not spellings:
@@ -250,24 +279,30 @@ def unify(text: str, model: PairModel) -> tuple[str, int]:
         out += [text[at : w.start()], new]
         at = w.end()
     text = "".join(out) + text[at:]
-    new = _TURNED.sub(lambda m: m.group() if _ENGLISH.fullmatch(m.group(1)) and m.group(1) else TURNED_COMMA if m.group(1) or m.group() in "`´ʼʹʽˈ′ˊ" or TURNED_COMMA in text else m.group(), text)
+
+    def turn(m: regex.Match) -> str:
+        """The apostrophe after o or g as the class has it, where it makes no English word."""
+        own = k.turned.get(text[m.start() - 1] + m.group(), "")[1:]
+        english = m.group(1) and _ENGLISH.fullmatch(m.group(1))
+        sure = m.group(1) or m.group() in _NO_QUOTES or TURNED_COMMA in text
+        return own if own and sure and not english else m.group()
+
+    new = _TURNED.sub(turn, text)
     return (new, found | LOOKALIKE) if new != text else (text, found)
 
 
-def holds_variants(texts: list[str | None]) -> np.ndarray:
+def holds_variants(texts: list[str | None], k: Classes) -> np.ndarray:
     """Rows of a batch that may hold a variant."""
     c = codes(texts)
     mark = np.zeros(len(c), bool)
     if not len(c):
         return mark
-    kind, script = _tables()
-    k = kind[c.cp]
-    odd = k != 0
+    odd = k.kinds[c.cp] != 0
     # an ideographic space at the start of a line and a soft hyphen at its end are right
     before = np.concatenate(([GAP], c.cp[:-1]))
     odd &= ~((c.cp == 0x3000) & ((before == GAP) | (before == 0x0A)))
     mark[c.row[odd]] = True
-    s = script[c.cp]
+    s = k.letters[c.cp]
     letter = s & 7
     clash = (letter[:-1] != 0) & (letter[1:] != 0) & (letter[:-1] != letter[1:])
     mark[c.row[:-1][clash]] = True
@@ -305,7 +340,7 @@ def unify_forms(df: DataFrame, keys: list[str], text: str, model: PairModel, ski
             column = batch.column(len(keys)).to_pylist()
             rows, forms, unified = [], [], []
             for a, b in batched(column):
-                some = np.flatnonzero(holds_variants(column[a:b])).tolist()
+                some = np.flatnonzero(holds_variants(column[a:b], classes(shared.value))).tolist()
                 if skip_wrong:
                     wrong = set(wrong_rows([column[a + i] for i in some], shared.value))
                     some = [i for k, i in enumerate(some) if k not in wrong]

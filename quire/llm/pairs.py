@@ -43,11 +43,24 @@ def _count_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 @dataclass
 class PairModel:
     """``symbol``: of each code point; ``score``: of each pair of symbols, in bits; ``usual``: the score that
-    a pair of the corpus reaches on average."""
+    a pair of the corpus reaches on average; ``points``: how often each code point occurs; ``first``, ``second``: the share of
+    each symbol among the first and second places of the ``total`` pairs."""
 
     symbol: np.ndarray
     score: np.ndarray
     usual: float
+    points: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    total: float
+
+    def count(self, text: str) -> float:
+        """How often a code point occurs, or at most how often a longer string does, by its rarest pair."""
+        if len(text) < 2:
+            return float(self.points[ord(text)]) if text else self.total
+        s = self.symbol[[ord(c) for c in text]]
+        joint = (self.score[s[:-1], s[1:]] + np.log2(self.first[s[:-1]]) + np.log2(self.second[s[1:]])) / 3
+        return float(max(2.0 ** joint.min() * self.total - 0.25, 0.0))
 
     def of(self, text: str) -> np.ndarray:
         """Scores of the adjacent pairs of a text, a line feed standing before and after it."""
@@ -70,6 +83,8 @@ def fit_pairs(texts: DataFrame) -> PairModel:
     points = texts.mapInArrow(_count_points, "cp int, n bigint").groupBy("cp").agg(F.sum("n").alias("n")).toPandas().sort_values(["n", "cp"], ascending=[False, True])
     symbol = (OWN + (np.arange(GAP + 1) >> 8) % BINS).astype(np.uint16)
     own = points.cp.to_numpy()[:OWN]
+    often = np.zeros(GAP + 1, np.float32)
+    often[points.cp.to_numpy()] = points.n.to_numpy()
     symbol[own] = np.arange(len(own), dtype=np.uint16)
     symbol[0x31:0x3A] = symbol[0x30]
     symbol[GAP] = symbol[0x0A]
@@ -95,4 +110,4 @@ def fit_pairs(texts: DataFrame) -> PairModel:
     first, second = (n.sum(1) + 1) / total, (n.sum(0) + 1) / total
     score = 3 * np.log2(np.maximum((n + 0.25) / total, 1e-9)) - np.log2(first)[:, None] - np.log2(second)[None, :]
     usual = float((score * n).sum() / total)
-    return PairModel(symbol, score.astype(np.float32), usual)
+    return PairModel(symbol, score.astype(np.float32), usual, often, first, second, total)

@@ -95,7 +95,7 @@ def test_truncation(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     got = {r.doc_id for r in truncation.find_truncated(df).collect()}
     assert {100, 101, 102} <= got and not got & {103, 104, 105, 106, *range(len(whole))} and {r for r in range(200, 212)} <= got
-    rates = {r.source: r for r in truncation.truncation_rates(df, truncation.find_truncated(df)).collect()}
+    rates = {r.source: r for r in truncation.truncation_rates(df).collect()}
     assert rates["cutter"].char_limit == 120 and rates["cutter"].n_cut == 12
 
 
@@ -166,6 +166,80 @@ def test_truncation_limit_below_the_longest_text(spark):
     rows = [(i, long[i : i + 300].rsplit(" ", 1)[0] + (" [...]" if i % 2 else ""), "words") for i in range(40)] + [(100, long[:900] + " The end.", "words")]
     rows += [(200 + i, long[i : i + 120], "cutter") for i in range(12)] + [(300, long[:900] + " The end.", "cutter")] + [(400 + i, long[: 100 + 37 * i] + " The end.", "even") for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    base = {r.source: r for r in truncation.source_baselines(docs).collect()}
+    base = {r.source: r for r in truncation.source_baselines(truncation.read_ends(docs)).collect()}
     assert base["words"].at_words and 296 <= base["words"].char_limit <= 300 and base["cutter"].char_limit == 120 and not base["cutter"].at_words and base["even"].char_limit is None
     assert all(r.at_limit for r in truncation.find_truncated(docs).filter("source <> 'even' AND doc_id < 100").collect())
+
+
+def test_stack_automaton():
+    open_of = lambda t: (truncation.read(t).stack, truncation.read(t).sentence)
+    assert open_of("Он сказал: «Да (нет). И (") == (["«", "("], True) and open_of("Он сказал: «Да (нет)».") == ([], False)
+    assert open_of('She said "no') == (['"'], True) and open_of('She said "no."') == ([], False)
+    assert open_of("<div><p>text") == (["div", "p"], True) and open_of("<div><p>text</p><br></div>") == ([], False)
+    assert open_of("„Ja“ sagte er.") == ([], False) and open_of("") == ([], False)
+    assert truncation.read("a &am").broken and truncation.read("x \\u04").broken and not truncation.read("a &amp; b.").broken
+    assert truncation.read("Open line\n\nClosed line.\n\nLast").chars_open == 9
+
+
+def test_truncation_decides_by_the_stack(spark, monkeypatch):
+    rows = [(i, t, "good") for i, t in enumerate(f"{t} {t}" for t in RU + EN for _ in range(3))] + [(100, RU[0][:40], "good"), (101, f"{EN[0]} ({EN[1][:20]}", "good")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {r.doc_id for r in truncation.find_truncated(df).collect()} == {100, 101}
+    ends = truncation.read_ends(df)
+    none = ends.withColumn("sentence", F.lit(False)).withColumn("open", F.lit(0))
+    assert truncation.find_truncated(df, none).count() == 0
+
+
+def test_truncation_is_no_sign_where_it_is_usual(spark):
+    open_prose = "the potter came home\n\nthe miller slept all day\n\nnobody saw the silver box at the river"
+    rows = [(i, open_prose, "telegraph") for i in range(30)] + [(100 + i, f"{t} {t}\n\n{t}", "prose") for i, t in enumerate(EN * 4)] + [(200, f"{EN[0]}\n\nThe miller sle", "prose"), (300, "the potter came home\n\nthe miller ran and ra", "telegraph")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    rates = {r.source: r for r in truncation.truncation_rates(df).collect()}
+    assert rates["telegraph"].open_prose == 1.0 and rates["prose"].open_prose == 0.0
+    assert {200, 300} <= {r.doc_id for r in truncation.find_truncated(df).collect()}
+
+
+def test_bpe_of_very_long_pieces():
+    import random
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.vocabulary_path())
+    t.encode_special_tokens = True
+    rng = random.Random(3)
+    n = 1_000_000
+    texts = ["a" * n, "=" * n, "中" * n, "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n // 4)), "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60_000)), "abcab" * 40_000, "the quick" * 3_000, "ab" * 5_000 + "=" * 3_001]
+    encoder = bpe.Encoder(bpe.vocabulary_path())
+    for text in texts:
+        assert encoder.encode([text])[0] == t.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_blocks_of_any_size(monkeypatch):
+    import random
+
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr("quire.llm.bpe.BLOCK", 24)
+    t = Tokenizer.from_file(bpe.vocabulary_path())
+    rng = random.Random(4)
+    encoder = bpe.Encoder(bpe.vocabulary_path())
+    texts = ["".join(rng.choices(rng.choice(["ab", "etaoinshr", "абвгдеж", "=-", "aaab"]), k=rng.randint(1, 400))) for _ in range(150)]
+    assert encoder.encode(texts) == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_lookalike_classes_are_transitive(pairs):
+    k = lookalike.Classes(pairs)
+    assert len({k.sets.find(c) for c in "ａaаα"}) == 1 and k.sets.find("a") != k.sets.find("o")
+    assert k.scripts["ａ"]["CYRILLIC"] == "а" and k.plain["ａ"] == "a" and lookalike.unify("стａрый плотник", pairs)[0] == "старый плотник"
+    assert k.turned["o'"] == "oʻ"
+
+
+def test_lookalikes_come_from_the_union_find(pairs, monkeypatch):
+    monkeypatch.setattr(lookalike.UnionFind, "union", lambda self, a, b: None)
+    k = lookalike.Classes(pairs)
+    assert not k.plain and not k.scripts and not k.turned and not k.kinds.any()
+
+
+def test_the_corpus_chooses_the_representative(spark):
+    wide = fit_pairs(spark.createDataFrame([("ｂｏｘ ｂｏｘ ｂｏｏｋ " * 400,), ("b",)], "text string"))
+    assert lookalike.Classes(wide).plain["b"] == "ｂ"
