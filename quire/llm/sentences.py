@@ -8,7 +8,8 @@ structure: quotations must be balanced within it, and speech stays with the clau
 also when it resumes after that clause. A line break always ends a sentence.
 
 The counts are kept in ``BUCKETS`` hashed counters per feature, so what the tasks are given has a fixed
-size. Lines whose candidates all lie far from any doubt need no search; the others get the program.
+size. Every line with more than one candidate goes through the program. A span is given up only where no continuation
+of it can win (see ``_search``), so long lines cost little more than their length.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,7 +44,6 @@ REPORTS_LATIN = re.compile(r"\b(?:wanted to know|said|asked|cried|muttered|whisp
 _OPENERS, _CLOSERS = "«“„「『", "»”“」』"
 _MATCH = {"«": "»", "“": "”", "„": "“", "「": "」", "『": "』"}
 _TERM = re.compile(r"[.!?…。！？]+[\"'”’»」』)\]]*")
-_NEED_SEARCH = re.compile(r"[«“„「『\"—–]|(?<!\w)'")
 _REPORT_DASH = regex.compile(r"[,!?…»”.\"]\s*[—–-]\s+(?=\p{Ll})")
 _SPEECH_DASH = regex.compile(r"(?:^|(?<=[.!?…»”\"。]\s))\s*[—–-]\s+(?=[\p{Lu}\p{N}«“?!…])")
 _WORD_AFTER = regex.compile(r"[\s—–«“„\"'「『(\[-]*([\p{L}\p{M}\p{N}ʻʼ'’-]+)")
@@ -196,18 +197,43 @@ def _break_odds(line: str, at: int, end: int, model: SentenceModel) -> float | N
     return odds + (model.odds_open(follower) if follower else 0.0)
 
 
+#: What a clause that reports speech costs outside a span of speech, and the most that a span of speech can win at one place.
+UNREPORTED, REWARD = 40.0, 26.0
+
+
+def _next(places: list[int], after: int) -> int:
+    i = bisect_right(places, after)
+    return places[i] if i < len(places) else 1 << 30
+
+
+def _quoted_between(quotes: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether a whole quotation lies between two places; the spans are sorted and apart."""
+    i = bisect_left(quotes, (a, a))
+    return i < len(quotes) and quotes[i][1] <= b
+
+
 def _search(line: str, ends: list[int], odds: list[float], model: SentenceModel) -> list[int]:
-    """The chosen ends: dynamic programming over spans between candidates."""
+    """The chosen ends: dynamic programming over spans between candidates.
+
+    A span that has passed candidates with positive odds of ``passed`` in all is given up where cutting it at
+    all of them is sure to score more: that gains twice the odds and no longer span, and loses at most ``UNREPORTED`` for each
+    part with a reporting clause (those so far and one to come) and the three rewards that a span of speech can have.
+    """
     quotes = _quoted(line)
     reports = [m.end() for m in _REPORT_DASH.finditer(line)]
     speeches = [m.end() for m in _SPEECH_DASH.finditer(line)]
-    inside = [any(a < e < b for a, b in quotes) for e in ends]
-    closes_quote = [any(e == b for _, b in quotes) for e in ends]
+    inside, closes_quote = [False] * len(ends), [False] * len(ends)
+    opened = {b: a for a, b in quotes}
+    for a, b in quotes:
+        for i in range(bisect_right(ends, a), bisect_left(ends, b)):
+            inside[i] = True
+    for i, e in enumerate(ends):
+        closes_quote[i] = e in opened
     # after quoted speech the clause that reports it belongs to it
     for i, e in enumerate(ends[:-1]):
         if not closes_quote[i]:
             continue
-        a = next(a for a, b in quotes if b == e)
+        a = opened[e]
         before = line[:a].rstrip()
         until = ends[i + 1]
         clause = line[e:until]
@@ -225,7 +251,7 @@ def _search(line: str, ends: list[int], odds: list[float], model: SentenceModel)
         if best[i] <= -1e17:
             continue
         a = ends[i - 1] if i else 0
-        inner = 0.0
+        inner = passed = 0.0
         first = a
         while first < len(line) and line[first].isspace():
             first += 1
@@ -233,12 +259,12 @@ def _search(line: str, ends: list[int], odds: list[float], model: SentenceModel)
         resumed = False
         for j in range(i, n):
             b = ends[j]
-            own_reports = [r for r in reports if a < r <= b]
+            own_reports = reports[bisect_right(reports, a) : bisect_right(reports, b)]
             score = best[i] + inner + (odds[j] if odds[j] < 90 else 20.0)
             if inside[j]:
                 score -= 60.0
-            if own_reports and not dashed and not any(a <= p and q <= own_reports[0] for p, q in quotes) and not (line[first : first + 1] in "«“\"'"):
-                score -= 40.0
+            if own_reports and not dashed and not _quoted_between(quotes, a, own_reports[0]) and not (line[first : first + 1] in "«“\"'"):
+                score -= UNREPORTED
             # the whole span: a mild prior on its length
             score -= 0.002 * max(0, b - a - 220)
             if score > best[j + 1]:
@@ -248,19 +274,20 @@ def _search(line: str, ends: list[int], odds: list[float], model: SentenceModel)
             if inside[j] or odds[j] <= -50:
                 cost = 0.0
             elif dashed:
-                coming = [r for r in reports if r > b]
-                start = next((s for s in speeches if s > b), 1 << 30)
-                if not own_reports and coming and coming[0] <= start and coming[0] <= (ends[j + 2] if j + 2 < n else 1 << 30):
+                coming = _next(reports, b)
+                start = _next(speeches, b)
+                if not own_reports and coming < 1 << 30 and coming <= start and coming <= (ends[j + 2] if j + 2 < n else 1 << 30):
                     cost = -3.0 - max(cost, 0.0)
                 elif own_reports and not resumed and (m := _SPEECH_DASH.match(line, b + 1 if line[b : b + 1] == " " else b)):
                     nxt = j + 1
                     while nxt + 1 < n and inside[nxt]:
                         nxt += 1
-                    later = next((s for s in speeches if s > m.end()), 1 << 30)
+                    later = _next(speeches, m.end())
                     if not any(m.end() < r <= min(later, ends[min(nxt + 1, n - 1)] if nxt + 1 < n else ends[nxt]) for r in reports):
                         cost, resumed = -6.0 - max(cost, 0.0), True
             inner -= cost
-            if inner < -45:
+            passed += max(cost, 0.0)
+            if 2 * passed > UNREPORTED * (len(own_reports) + 1) + 3 * REWARD:
                 break
     out, k = [], n
     while k > 0:
@@ -274,14 +301,13 @@ def sentence_ends(text: str, model: SentenceModel) -> list[tuple[int, int]]:
     spans: list[tuple[int, int]] = []
     for piece in _LINES.finditer(text):
         line, offset = piece.group(), piece.start()
-        ends, odds, hard = [], [], False
+        ends, odds = [], []
         for m in _TERM.finditer(line):
             o = _break_odds(line, m.start(), m.end(), model)
             if o is None:
                 continue
             ends.append(m.end())
             odds.append(o)
-            hard |= -8.0 < o < 8.0
         stop = len(line.rstrip())
         if not stop:
             continue
@@ -289,10 +315,7 @@ def sentence_ends(text: str, model: SentenceModel) -> list[tuple[int, int]]:
             ends.append(stop)
             odds.append(99.0)
         if len(ends) > 1:
-            if hard or _NEED_SEARCH.search(line):
-                ends = _search(line, ends, odds, model)
-            else:
-                ends = [e for e, o in zip(ends, odds) if o > 0]
+            ends = _search(line, ends, odds, model)
         start = 0
         for e in ends:
             a = start
