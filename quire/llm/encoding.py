@@ -2,10 +2,11 @@
 
 Every pair of neighbouring characters is scored by corpus mutual information (``pairs``). The
 maximum-scoring segments of improbability are the suspect runs of a text; only rows that have one go
-further. Inside its runs, widened to whole words, inverse mappings are tried: encode with the wrong
-encoding, decode with the right one, up to ``ROUNDS`` times for text that was mangled repeatedly. A
-mapping is accepted if the restored run scores clearly better. Runs that hold replacement characters
-or consist of question marks have lost bytes: they are found, too, and restored as far as it goes.
+further. Inside its runs, widened to whole words, and nowhere else, inverse mappings are tried: encode with the wrong
+encoding, decode with the right one, again until nothing changes for text that was mangled repeatedly. A
+mapping is accepted if the restored run scores clearly better, so that ends. Pairs with a character that stands for lost
+bytes (U+FFFD, question marks in a row or inside a word) are improbable by themselves, so such places
+are in segments, too; runs in which they make up words have lost bytes and are restored as far as it goes.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ LETTERS = 4
 STRANGE = -6.5
 #: Mean distance below the usual score at which restored text counts as clean.
 CLEAN = -3.0
-ROUNDS = 3
+#: Bits of a pair with a replacement character or with a question mark before a small letter, and of two question marks or one after a space.
+HOLE, ASKED = 9.0, 4.0
 
 _LOST = regex.compile(r"�|\?{5,}|(?:^|(?<=[\s«“\"(]))\?+[,.:;!]*(?: +[—–-]?\?+[,.:;!]*)+(?=$|[\s»”\")])")
 _LOST_LETTER = regex.compile(r"\p{Ll}\?\p{Ll}")
@@ -147,6 +149,27 @@ def _inverse(run: str, left: str, right: str, model: PairModel, strong: bool, wo
     return best
 
 
+def _weights(cp: np.ndarray, model: PairModel) -> np.ndarray:
+    """Bits of improbability of each pair of neighbouring code points."""
+    w = model.usual - SLACK - model.pairs(cp)
+    a, b = cp[:-1], cp[1:]
+    ask = b == 0x3F
+    w[ask & ((a == 0x3F) | (a == 0x20))] = np.maximum(w[ask & ((a == 0x3F) | (a == 0x20))], ASKED)
+    hole = ((a == 0xFFFD) | (b == 0xFFFD)) | (a == 0x3F) & _SMALL[b]
+    w[hole] = np.maximum(w[hole], HOLE)
+    return w
+
+
+def _small_letters() -> np.ndarray:
+    small = np.zeros(GAP + 1, bool)
+    for cp in range(0x61, 0x600):
+        small[cp] = chr(cp).islower()
+    return small
+
+
+_SMALL = _small_letters()
+
+
 def _segments(weights: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (half-open, over pairs) with their bits, from left to right.
 
@@ -180,9 +203,7 @@ def _runs(text: str, model: PairModel) -> list[tuple[int, int, float, bool]]:
     """Suspect runs of characters with their bits, and whether they hold what may be a UTF-8 sequence;
     widened to whole words (to whole clauses in scripts without spaces), near ones of a line joined."""
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
-    s = model.symbol[np.concatenate(([0x0A], cp, [0x0A]))]
-    weights = model.usual - SLACK - model.score[s[:-1], s[1:]]
-    found = _segments(weights)
+    found = _segments(_weights(np.concatenate(([0x0A], cp, [0x0A])), model))
     if not found:
         return []
     more = _MORE[cp]
@@ -201,7 +222,7 @@ def _runs(text: str, model: PairModel) -> list[tuple[int, int, float, bool]]:
             spans[-1][1], spans[-1][2] = max(b, spans[-1][1]), spans[-1][2] + bits
         else:
             spans.append([a, b, bits])
-    return [(a, b, bits, bool(signed[a:b].any())) for a, b, bits in spans if a < b and not text[a:b].isascii()]
+    return [(a, b, bits, bool(signed[a:b].any())) for a, b, bits in spans if a < b and (not text[a:b].isascii() or "?" in text[a:b])]
 
 
 def _worth(model: PairModel, run: str) -> bool:
@@ -212,13 +233,17 @@ def _worth(model: PairModel, run: str) -> bool:
 
 def repair(text: str, model: PairModel, only_find: bool = False) -> tuple[bool, bool, str]:
     """(was decoded wrongly, has lost bytes, restored text); with ``only_find`` it ends at the first finding."""
-    lost = bool(_LOST.search(text)) or len(_LOST_LETTER.findall(text)) >= 2
-    found = lost
-    if text.isascii() or found and only_find:
-        return found, lost, text
-    for _ in range(ROUNDS):
+    found = lost = False
+    while True:
         changed = False
         runs = _runs(text, model)
+        if not lost:
+            holes = sum(len(_LOST_LETTER.findall(text, a, b)) for a, b, *_ in runs)
+            lost = holes >= 2 or any(_LOST.search(text, a, b) for a, b, *_ in runs)
+            found |= lost
+        if found and only_find:
+            return found, lost, text
+        runs = [r for r in runs if not text[r[0] : r[1]].isascii()]
         line_bits: dict[int, float] = {}
         for a, _, bits, _ in runs:
             line = text.rfind("\n", 0, a)
@@ -237,10 +262,6 @@ def repair(text: str, model: PairModel, only_find: bool = False) -> tuple[bool,
             spans = {(a, b)}
             if words is not None:
                 spans = set(words)
-            x, y = text.rfind("\n", 0, a) + 1, text.find("\n", b)
-            y = len(text) if y < 0 else y
-            if strong and y - x <= 4 * (b - a) + 80:
-                spans.add((x, y))
             if _HAN.search(text, a, b):
                 spans.update(m.span() for m in _NO_HAN.finditer(text, a, b))
             tries = [(m[0], m[1], p, q) for p, q in spans if (m := _inverse(text[p:q], text[max(0, p - 1) : p], text[q : q + 1], model, strong))]
@@ -285,14 +306,14 @@ _TWO, _THREE, _MORE = _utf8_classes()
 
 
 def suspects(texts: list[str | None], model: PairModel) -> np.ndarray:
-    """Rows of a batch that need a look: with a segment of at least ``STRONG`` bits, with one of at least
-    ``WEAK`` bits and characters that are together a UTF-8 sequence in some encoding, or with lost bytes.
+    """Rows of a batch that need a look: with a segment of at least ``STRONG`` bits, or with one of at least
+    ``WEAK`` bits and characters that are together a UTF-8 sequence in some encoding or may stand for lost bytes.
     """
     c = codes(texts)
     mark = np.zeros(len(c), bool)
     if not len(c):
         return mark
-    weights = model.usual - SLACK - model.pairs(c.cp)
+    weights = _weights(c.cp, model)
     # Kadane's recurrence for all rows at once: totals drop far at each row's start, so no minimum reaches across rows.
     first = c.start - 1
     total = np.concatenate(([0.0], np.cumsum(weights, dtype=np.float64)))
@@ -304,12 +325,10 @@ def suspects(texts: list[str | None], model: PairModel) -> np.ndarray:
     three = (_THREE[c.cp[:-2]] & more[1:-1] & more[2:]) != 0
     mark[c.row[:-1][two]] = True
     mark[c.row[:-2][three]] = True
-    found = (best >= STRONG) | (mark & (best >= WEAK))
     ask = c.cp == 0x3F
-    found[c.row[c.cp == 0xFFFD]] = True
-    found[c.row[:-1][ask[:-1] & ask[1:]]] = True
-    found[c.row[1:-1][ask[1:-1] & (c.cp[:-2] > 0x60) & (c.cp[2:] > 0x60) & (c.cp[2:] < GAP) & (c.cp[:-2] < GAP)]] = True
-    return found
+    mark[c.row[c.cp == 0xFFFD]] = True
+    mark[c.row[:-1][ask[:-1] & (ask[1:] | _SMALL[c.cp[1:]])]] = True
+    return (best >= STRONG) | (mark & (best >= WEAK))
 
 
 def wrong_rows(texts: list[str | None], model: PairModel) -> list[int]:
