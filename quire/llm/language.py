@@ -1,7 +1,8 @@
 """The language of every text and of every segment of a mixed text, by rank-order profiles.
 
-A profile is the list of a language's most frequent character trigrams in order of frequency. A piece
-of text is compared with it by the out-of-place distance: for each of its own trigrams, ranked the same
+A profile is the list of a language's most frequent character n-grams in order of frequency: trigrams of letters, and
+single characters of the Han script, which weigh as much as ``HAN_WEIGHT`` trigrams. A piece
+of text is compared with it by the out-of-place distance: for each of its own n-grams, ranked the same
 way, how far its rank lies from the rank in the profile (``PROFILE`` if the profile lacks it). The
 language with the smallest mean distance wins; the confidence tells how far the next one is off.
 
@@ -32,8 +33,12 @@ from quire.llm.sentences import SentenceModel, sentence_ends
 PROFILE = 1500
 #: Labelled rows per language that profiles are fitted on.
 SAMPLE = 3000
-#: Languages written without spaces are told by their script; a Han character weighs as much as this many letters.
+#: A script belongs to a language if it makes at least this share of its sample.
+OWN_SCRIPT = 0.1
+#: A Han character weighs as much as this many letters.
 HAN_WEIGHT = 4
+#: Rank tables have a place for each code of three letters, then one for each Han character (those of the higher planes share places).
+HAN_BASE, HAN_CODES = 1 << 21, 1 << 16
 #: Pieces of fewer letters say nothing on their own against their neighbours.
 SHORT = 12
 MIN_LETTERS, MIN_LETTERS_HAN, MIN_DIFFERENT = 25, 10, 9
@@ -71,18 +76,10 @@ def _base_tables() -> tuple[np.ndarray, np.ndarray]:
 _LOWER, _LETTER = _base_tables()
 
 
-#: Code tables of at most this many rows go into the plan as a map; larger ones are joined.
-MAP_ROWS = 5_000
-
-
 def with_label(df: DataFrame, label: str, codes_table: DataFrame) -> DataFrame:
     """Add ``labelled``: the language that the label names, null if it names none."""
     names = codes_table.filter("label IS NOT NULL AND lang IS NOT NULL").groupBy(F.col("label").alias("_label")).agg(F.min("lang").alias("labelled"))
-    known = names.limit(MAP_ROWS + 1).collect()
-    if len(known) > MAP_ROWS:
-        return df.join(names, F.col(label) == F.col("_label"), "left").drop("_label")
-    pairs = [F.lit(x) for r in known for x in r]
-    return df.withColumn("labelled", F.element_at(F.create_map(*pairs), F.col(label)) if pairs else F.lit(None).cast("string"))
+    return df.join(names, F.col(label) == F.col("_label"), "left").drop("_label")
 
 
 def fit_profiles(labelled: DataFrame) -> Profiles:
@@ -104,13 +101,14 @@ def fit_profiles(labelled: DataFrame) -> Profiles:
                 grams = np.stack([low[:-2], low[1:-1], low[2:]], 1)
                 grams = grams[(grams != 0x20).any(1)]
                 counts.setdefault(lang, Counter()).update(map(tuple, grams.tolist()))
+                counts[lang].update((x,) for x in c.cp[_LETTER[c.cp] == 2].tolist())
         flat = [(lang, "".join(map(chr, g)), n) for lang, cs in counts.items() for g, n in cs.items()]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.string()), pa.array([x[2] for x in flat], pa.int64())], names=["lang", "gram", "n"])
 
     grams: pd.DataFrame = drawn.mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     letters: Counter = Counter()
     for gram, n in zip(grams.gram, grams.n):
-        if gram[1] != " ":
+        if gram[1:2].strip():
             letters[gram[1]] += n
     letter = np.where(_LETTER == 1, 127, 0).astype(np.uint8)
     for i, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:126]):
@@ -118,12 +116,19 @@ def fit_profiles(labelled: DataFrame) -> Profiles:
     # capitals have the code of their small letter
     letter = np.where(_LETTER == 1, letter[_LOWER], 0).astype(np.uint8)
     languages = sorted(set(grams.lang)) or ["und"]
-    rank = np.full((len(languages), 1 << 21), PROFILE, np.int16)
+    rank = np.full((len(languages), HAN_BASE + HAN_CODES), PROFILE, np.int16)
+    # what texts of several languages bring in from another script is no part of a profile
+    script = grams.gram.map(lambda g: 2 if len(g) == 1 else int(max(g) >= "\u0370"))
+    size = grams.n * np.where(script == 2, HAN_WEIGHT, 1)
+    grams = grams[size.groupby([grams.lang, script]).transform("sum") >= OWN_SCRIPT * size.groupby(grams.lang).transform("sum")] if len(grams) else grams
     for i, lang in enumerate(languages):
         own = grams[grams.lang == lang].sort_values(["n", "gram"], ascending=[False, True]).head(PROFILE)
         for r, g in enumerate(own.gram):
-            a, b, c = (int(letter[ord(x)]) for x in g)
-            rank[i, a << 14 | b << 7 | c] = min(rank[i, a << 14 | b << 7 | c], r)
+            if len(g) == 1:
+                code = HAN_BASE | ord(g) & (HAN_CODES - 1)
+            else:
+                code = int(letter[ord(g[0])]) << 14 | int(letter[ord(g[1])]) << 7 | int(letter[ord(g[2])])
+            rank[i, code] = min(rank[i, code], r)
     return Profiles(languages, letter, rank)
 
 
@@ -135,15 +140,16 @@ def _distances(cp: np.ndarray, unit: np.ndarray, n_units: int, p: Profiles) -> t
     gram = code[:-2] << 14 | code[1:-1] << 7 | code[2:]
     # white space, stops and gaps are all 0, so a unit's first and last trigram reach over its edge
     keep = gram != 0
-    u = unit[1:-1][keep].astype(np.int64)
-    key = np.sort(u << 21 | gram[keep])
+    han = np.flatnonzero(kind == 2)
+    key = np.sort(np.concatenate((unit[1:-1][keep].astype(np.int64) << 22 | gram[keep], unit[han].astype(np.int64) << 22 | HAN_BASE | cp[han] & (HAN_CODES - 1))))
     distance = np.full((len(p.languages), n_units), float(PROFILE))
     if not len(key):
         return distance, letters
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     count = np.diff(np.append(first, len(key)))
     key = key[first]
-    u, gram = key >> 21, key & ((1 << 21) - 1)
+    u, gram = key >> 22, key & ((1 << 22) - 1)
+    weight = np.where(gram >= HAN_BASE, float(HAN_WEIGHT), 1.0)
     # rank within the unit: trigrams of equal count share their middle rank
     order = np.argsort((u << 20) - np.minimum(count, (1 << 20) - 1), kind="stable")
     su, sc = u[order], count[order]
@@ -153,41 +159,36 @@ def _distances(cp: np.ndarray, unit: np.ndarray, n_units: int, p: Profiles) -> t
     width = np.diff(np.append(tie, len(su)))
     own = np.empty(len(su))
     own[order] = np.repeat(place[tie] + (width - 1) / 2, width)
-    n = np.bincount(u, minlength=n_units)
+    n = np.bincount(u, weights=weight, minlength=n_units)
     for i in range(len(p.languages)):
         r = p.rank[i][gram]
-        out = np.where(r < PROFILE, np.abs(r - own), PROFILE)
+        out = np.where(r < PROFILE, np.minimum(np.abs(r - own), PROFILE), PROFILE) * weight
         distance[i] = np.bincount(u, weights=out, minlength=n_units) / np.maximum(n, 1)
     distance[:, n == 0] = PROFILE
     return distance, letters
 
 
 def classify(cp: np.ndarray, unit: np.ndarray, n_units: int, p: Profiles) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(language index, confidence, letters) of each unit; -1 where a unit has no letter. Han text is the
-    language of that script ("zh" if there is one), told by its characters."""
+    """(language index, confidence, letters) of each unit; -1 where a unit has no letter."""
     distance, letters = _distances(cp, unit, n_units, p)
-    han = p.languages.index("zh") if "zh" in p.languages else -1
-    if han >= 0:
-        distance[han] = PROFILE * 2
     best = distance.argmin(0)
     part = np.partition(distance, min(1, len(distance) - 1), axis=0)
     confidence = (part[min(1, len(part) - 1)] - part[0]) / np.maximum(part[min(1, len(part) - 1)], 1e-9)
-    if han >= 0:
-        is_han = letters[1] * HAN_WEIGHT > letters[0]
-        best = np.where(is_han, han, best)
-        confidence = np.where(is_han, letters[1] * HAN_WEIGHT / np.maximum(letters[1] * HAN_WEIGHT + letters[0], 1), confidence)
     total = letters.sum(0)
     return np.where(total > 0, best, -1), np.clip(np.where(total > 0, confidence, 0.0), 0, 1), total
 
 
 def _smooth(lang: np.ndarray, confidence: np.ndarray, letters: np.ndarray, script: np.ndarray) -> np.ndarray:
-    """Short or doubtful pieces take the language of the nearest sure piece of their script."""
-    sure = (lang >= 0) & ((letters >= SHORT) & (confidence >= 0.08) | (letters >= 2 * SHORT))
+    """Short or doubtful pieces take the language of the nearest sure piece of their script, of two the one before."""
+    weigh = np.where(script == 2, letters * HAN_WEIGHT, letters)
+    sure = (lang >= 0) & ((weigh >= SHORT) & (confidence >= 0.08) | (weigh >= 2 * SHORT))
     out = lang.copy()
-    for i in np.flatnonzero((lang >= 0) & ~sure):
-        near = [j for j in np.flatnonzero(sure) if script[j] == script[i]]
-        if near:
-            out[i] = lang[min(near, key=lambda j: (abs(j - i), j))]
+    for s in np.unique(script[(lang >= 0) & ~sure]):
+        ask, near = np.flatnonzero((lang >= 0) & ~sure & (script == s)), np.flatnonzero(sure & (script == s))
+        if len(near):
+            at = np.searchsorted(near, ask)
+            before, after = near[np.maximum(at - 1, 0)], near[np.minimum(at, len(near) - 1)]
+            out[ask] = lang[np.where((at > 0) & ((ask - before <= after - ask) | (at == len(near))), before, after)]
     return out
 
 
@@ -245,7 +246,6 @@ def _label_batch(texts: list[str | None], p: Profiles, model: SentenceModel) ->
     main = np.where(total > 0, per.argmax(1), -1)
     out = []
     mixed = ((per > 0).sum(1) > 1)
-    sure = np.bincount(row_of[has], weights=((confidence[has] < 0.1) & (letters[has] >= SHORT)), minlength=len(c)) == 0
     for i in range(len(c)):
         text = texts[i] or ""
         if not total[i]:
