@@ -33,3 +33,27 @@ def script_ratio(c: Column, language: Column) -> Column:
     head = F.substring(c, 1, 10_000)
     letters = F.regexp_count(head, F.lit(r"\p{L}"))
     return F.coalesce(script_chars(head, language) / F.nullif(letters, F.lit(0)), F.lit(0.0))
+
+
+def readable_ratio(c: Column, language: Column) -> Column:
+    """Share of runs of the language's script that have three characters or more; 0 without a run."""
+    out = F.lit(0.0)
+    for code, pattern in SCRIPTS.items():
+        runs = F.regexp_count(c, F.lit(pattern + "+"))
+        out = F.when(language == code, F.coalesce(F.regexp_count(c, F.lit(pattern + "{3,}")) / F.nullif(runs, F.lit(0)), F.lit(0.0))).otherwise(out)
+    return out
+
+
+def unreadable(c: Column, language: Column) -> Column:
+    """Whether a text hardly has letters of its language."""
+    return script_ratio(c, language) < 0.3
+
+
+def cyrillic_ratio(c: Column) -> Column:
+    """Share of Cyrillic among all letters; 0 without letters."""
+    return F.coalesce(F.regexp_count(c, F.lit(r"[\x{0400}-\x{04FF}]")) / F.nullif(F.regexp_count(c, F.lit(r"\p{L}")), F.lit(0)), F.lit(0.0))
+
+
+def readable_cyrillic(c: Column) -> Column:
+    """Share of Cyrillic words of four letters or more among all Cyrillic words; 0 without one."""
+    return F.coalesce(F.regexp_count(c, F.lit("[а-яёА-ЯЁ]{4,}")) / F.nullif(F.regexp_count(c, F.lit("[а-яёА-ЯЁ]+")), F.lit(0)), F.lit(0.0))

@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions import russian
+
 Stage = Callable[[Column], Column]
 
 #: Frequent sequences of doubly decoded text and what they stand for, in order of application.
@@ -19,6 +21,13 @@ MOJIBAKE = (("АЂ", "А"), ("Ãƒ", "А"), ("вЂ“", "—"), ("вЂ”", "—
 #: Phrases of library boilerplate.
 BOILERPLATE = ("скачали книгу", "бесплатной электронной библиотеке", "все книги автора", "эта же книга в других форматах", "приятного чтения", "книга подготовлена", "литературного агентства", "royallib", "sesame")
 _URL = r"(?i)\b(?:https?://|www\.)\S+"
+#: A line without any of these is no boilerplate.
+_HINT = "(?iu)https?://|www\\.|" + "|".join(BOILERPLATE) + "|спасибо,\\s+что\\s+скачали"
+
+
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` worked out once, however often ``use`` names it."""
+    return F.transform(F.array(c), use)[0]
 
 
 def encoding_artifacts(c: Column) -> Column:
@@ -34,7 +43,7 @@ def whitespace(c: Column) -> Column:
     """No-break spaces to spaces, characters without width away, runs collapsed, lines trimmed."""
     c = F.regexp_replace(F.translate(c, "\u00a0", " "), r"[\x{200B}-\x{200D}\x{FEFF}\f\x0B]", "")
     c = F.regexp_replace(c, r"[ \t]+", " ")
-    return F.regexp_replace(F.regexp_replace(c, r"(?m) +$", ""), r"(?m)^ +", "")
+    return F.regexp_replace(F.regexp_replace(c, r"(?md) +$", ""), r"(?md)^ +", "")
 
 
 def broken_lines(c: Column) -> Column:
@@ -49,7 +58,7 @@ def hyphenated_words(c: Column) -> Column:
 
 def page_numbers(c: Column) -> Column:
     """Remove lines of one to four digits, with the white space around them."""
-    return F.regexp_replace(c, r"(?m)^\s*\d{1,4}\s*$", "")
+    return F.regexp_replace(c, r"(?md)^\s*\d{1,4}\s*$", "")
 
 
 def quotes(c: Column) -> Column:
@@ -82,7 +91,7 @@ def empty_lines(c: Column) -> Column:
 
 
 def indents(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?m)^[ \t]+", "")
+    return F.regexp_replace(c, r"(?md)^[ \t]+", "")
 
 
 def square_brackets(c: Column) -> Column:
@@ -95,26 +104,71 @@ def parenthesis_hyphens(c: Column) -> Column:
     return F.regexp_replace(c, r"(?<=[0-9A-Za-z\x{0400}-\x{04FF}])\((?=[0-9A-Za-z\x{0400}-\x{04FF}])", "-")
 
 
+def is_boilerplate(line: Column) -> Column:
+    """An address with a phrase, two phrases, or mostly an address. Other lines cost one search."""
+    low = F.lower(line)
+    hits = reduce(lambda a, b: a + b, [low.contains(p).cast("int") for p in BOILERPLATE])
+    plain = F.regexp_replace(F.trim(low), r"\s+", " ")
+    url = F.length(plain) - F.length(F.regexp_replace(plain, _URL, ""))
+    return F.when(low.rlike(_HINT), (url > 0) & (hits > 0) | (hits >= 2) | (url > 0.35 * F.length(plain))).otherwise(False)
+
+
 def boilerplate(c: Column) -> Column:
-    """Drop lines of library boilerplate: an address with a phrase, two phrases, or mostly address."""
+    """Drop lines of library boilerplate, and a greeting that opens a line. Texts without a sign of it are only trimmed."""
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    greeting = r"(?iu)^(?:приятного\s+чтения|спасибо,\s+что\s+скачали\s+книгу)[.!…:;,\s]*"
+    lines = F.filter(F.split(c, r"\r\n|[\n\r]"), lambda x: ~is_boilerplate(x))
+    kept = F.filter(F.transform(lines, lambda x: F.struct((strip(x) == "").alias("blank"), strip(F.regexp_replace(strip(x), greeting, "")).alias("line"))), lambda x: x["blank"] | (x["line"] != "") & ~is_boilerplate(x["line"]))
+    clean = strip(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
+    return F.when(c.rlike(_HINT), clean).otherwise(strip(F.array_join(F.transform(F.split(c, r"\r\n|[\n\r]"), strip), "\n")))
+
 
-    def is_boilerplate(line: Column) -> Column:
-        low = F.regexp_replace(F.lower(F.trim(line)), r"\s+", " ")
-        hits = reduce(lambda a, b: a + b, [low.contains(p).cast("int") for p in BOILERPLATE])
-        rest = F.regexp_replace(low, _URL, "")
-        url = low.rlike(_URL)
-        return url & (hits > 0) | (hits >= 2) | url & ((F.length(low) - F.length(rest)) / F.greatest(F.length(low), F.lit(1)) > 0.35)
+#: Named entities of markup.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&mdash;", "—"), ("&ndash;", "–"), ("&laquo;", "«"), ("&raquo;", "»"), ("&hellip;", "…"), ("&amp;", "&"))
 
-    return F.trim(F.array_join(F.transform(F.filter(F.split(c, "\n"), lambda x: ~is_boilerplate(x)), F.trim), "\n"))
+
+def unescape(c: Column) -> Column:
+    """Named entities, and numeric ones below 65536, as characters."""
+    parts = F.split(c, "(?=&#)|(?<=;)")
+    number = lambda x: F.coalesce(F.conv(F.nullif(F.regexp_extract(x, "^&#[xX]([0-9a-fA-F]{1,4});$", 1), F.lit("")), 16, 10), F.nullif(F.regexp_extract(x, "^&#([0-9]{1,5});$", 1), F.lit(""))).cast("int")
+    letter = lambda x: F.decode(F.unhex(F.lpad(F.hex(number(x)), 4, "0")), "UTF-16BE")
+    numeric = F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^&#") & number(x).between(1, 0xD7FF), letter(x)).otherwise(x)), "")
+    return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), ENTITIES, F.when(c.contains("&#"), numeric).otherwise(c))
 
 
 def markup(c: Column) -> Column:
     """Strip speech markup, where there is some."""
-    out = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")), c)
-    out = F.regexp_replace(out, r"(?i)<break\b[^>]*/?>|</?s\b[^>]*>|</?(?:speak|p)\b[^>]*>", "\n")
+    out = F.regexp_replace(unescape(c), r"(?i)<break\b[^>]*/?>|</?s\b[^>]*>|</?(?:speak|p)\b[^>]*>", "\n")
     return F.when(c.rlike(r"(?i)</?(?:speak|s)\b"), F.regexp_replace(out, r"<[^>\n]{1,200}>", " ")).otherwise(c)
 
 
+def inline_footnotes(c: Column) -> Column:
+    """Short lines of a note number and a small letter, and bracketed note numbers, out."""
+    lines = F.filter(F.split(c, "\n"), lambda x: ~((F.length(F.regexp_replace(x, r"^\s+|\s+$", "")) < 100) & x.rlike(r"^\s*\d{1,2}\s+[а-яё]")))
+    return square_brackets(F.when(c.rlike(r"(?m)^\s*\d{1,2}\s+[а-яё]"), F.array_join(lines, "\n")).otherwise(c))
+
+
+def repeated_headers(c: Column, times: int = 3) -> Column:
+    """Lines that stand ``times`` times or more in a text, as they are or but for their numbers, out; headings stay.
+
+    Repetitions are found as neighbours in the sorted lines, so the cost is that of sorting.
+    """
+    from quire.operators.structure import is_heading
+
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    mask = lambda x: F.regexp_replace(x, r"\d+", "#")
+
+    def often(values: Column) -> Column:
+        far = lambda v: F.filter(F.transform(v, lambda x, i: F.when(F.get(v, i + times - 1) == x, x)), lambda x: x.isNotNull())
+        return bound(F.array_sort(values), lambda v: F.array_distinct(far(v)))
+
+    lines = F.split(c, "\n")
+    counted = F.filter(F.transform(lines, strip), lambda x: (x != "") & (F.length(x) < 100) & ~is_heading(x))
+    repeated = bound(counted, lambda v: F.struct(often(v).alias("same"), often(F.transform(F.filter(v, lambda x: x.rlike(r"\d")), mask)).alias("masked")))
+    kept = bound(repeated, lambda r: F.filter(lines, lambda x: is_heading(strip(x)) | ~(F.array_contains(r["same"], strip(x)) | F.array_contains(r["masked"], mask(strip(x))))))
+    return F.when(F.size(lines) >= times, F.array_join(kept, "\n")).otherwise(c)
+
+
 def spoken_punctuation(c: Column) -> Column:
     """Marks as speech wants them: dashes between clauses to commas, an ellipsis before a capital to a stop."""
     c = F.regexp_replace(c, r",\s*—\s*(?=[а-яё\d])", ", ")
@@ -131,10 +185,31 @@ def html_to_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"&#\d+;", ""), r"\n{3,}", "\n\n"))
 
 
-def asr_text(c: Column) -> Column:
-    """Text for comparison with a transcript: small letters, digits and marks only, ё as е."""
-    c = F.translate(F.lower(c), "ё", "е")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{N}\p{M}\s]", " "), r"\s+", " "))
+def asr_text(c: Column, replacements: dict[str, str] | None = None, yo: bool = True, digits: bool = False) -> Column:
+    """Text for comparison with a transcript: small letters, digits and marks only; ё as е, digits of all scripts as ASCII ones."""
+    c = F.lower(c)
+    for old, new in (replacements or {}).items():
+        c = F.replace(c, F.lit(old.lower()), F.lit(new.lower()))
+    if yo:
+        c = F.translate(c, "ё", "е")
+    if digits:
+        c = F.translate(c, "٠١٢٣٤٥٦٧٨٩０１２３４５６７８９", "01234567890123456789")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{N}\p{M}\s]", " "), r"\s+", " "), "^ | $", "")
+
+
+def without_space(c: Column) -> Column:
+    """A text's characters without white space: two texts that only differ in layout have the same."""
+    return F.regexp_replace(c, r"\s+", "")
+
+
+def without_marks(c: Column) -> Column:
+    """Without white space and punctuation."""
+    return F.regexp_replace(c, r"[\s\p{P}]+", "")
+
+
+def letters_only(c: Column) -> Column:
+    """Small letters and digits only."""
+    return F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
 
 
 def truncate(c: Column, limit: int) -> Column:
@@ -149,20 +224,38 @@ def text_hash(c: Column) -> Column:
     return F.substring(F.sha2(c, 256), 1, 16)
 
 
+#: The order of stages matters; the Russian ones come from ``russian``.
 NEUTRAL: list[tuple[str, Stage]] = [
-    ("encoding_artifacts", encoding_artifacts), ("markup", markup), ("whitespace", whitespace), ("page_numbers", page_numbers), ("empty_lines", empty_lines), ("indents", indents),
-    ("dashes", dashes), ("ellipsis", ellipsis), ("repeated_commas", repeated_commas),
+    ("encoding_artifacts", encoding_artifacts), ("common_mojibake", common_mojibake), ("markup", markup), ("whitespace", whitespace), ("hyphenated_words", hyphenated_words), ("split_words", russian.split_words),
+    ("broken_lines", broken_lines), ("page_numbers", page_numbers), ("boilerplate", boilerplate), ("inline_footnotes", inline_footnotes), ("repeated_headers", repeated_headers), ("empty_lines", empty_lines),
+    ("indents", indents), ("dashes", dashes), ("ellipsis", ellipsis), ("repeated_commas", repeated_commas), ("parenthesis_hyphens", parenthesis_hyphens), ("punctuation_spacing", punctuation_spacing),
 ]
+_FIRST, _LAST = 3, 13
 RUSSIAN: list[tuple[str, Stage]] = [
-    ("encoding_artifacts", encoding_artifacts), ("common_mojibake", common_mojibake), ("markup", markup), ("whitespace", whitespace), ("hyphenated_words", hyphenated_words), ("parenthesis_hyphens", parenthesis_hyphens),
-    ("broken_lines", broken_lines), ("boilerplate", boilerplate), ("page_numbers", page_numbers), ("square_brackets", square_brackets), ("empty_lines", empty_lines), ("indents", indents), ("quotes", quotes),
-    ("dashes", dashes), ("ellipsis", ellipsis), ("repeated_commas", repeated_commas), ("punctuation_spacing", punctuation_spacing),
+    *NEUTRAL[:_FIRST], ("mixed_script", russian.mixed_script), ("ocr_artifacts", russian.ocr_artifacts), *NEUTRAL[_FIRST:6], ("particle_hyphens", russian.particle_hyphens), *NEUTRAL[6:_LAST], ("quotes", quotes), *NEUTRAL[_LAST:],
+    ("abbreviations", russian.abbreviations), ("numbers", russian.numbers), ("contextual_vse", russian.contextual_vse),
 ]
 
 
 def pipeline(c: Column, stages: list[tuple[str, Stage]]) -> Column:
-    """All stages, in order. A null text stays null."""
-    return reduce(lambda x, stage: stage[1](x), stages, c)
+    """All stages as one expression, each bound once. A null text stays null."""
+    return reduce(lambda x, stage: bound(x, stage[1]), stages, c)
+
+
+def normalized(df: DataFrame, text: str, stages: list[tuple[str, Stage]], tracked: bool = False) -> DataFrame:
+    """``df`` with ``text`` normalised; ``tracked`` adds ``changed``, the names of the stages that changed it.
+
+    Each stage is a projection over the one before: the optimiser merges those that name their input once and keeps the
+    others apart, so no stage is worked out twice.
+    """
+    changed = []
+    for i, (name, stage) in enumerate(stages):
+        df = df.withColumn(f"_s{i}", stage(F.col(f"_s{i - 1}" if i else text)))
+        changed.append(F.when(F.col(f"_s{i}") != F.col(f"_s{i - 1}" if i else text), F.lit(name)))
+    last = F.col(f"_s{len(stages) - 1}" if stages else text)
+    if tracked:
+        df = df.withColumn("changed", F.filter(F.array(*changed), lambda x: x.isNotNull()))
+    return df.withColumn(text, last).drop(*[f"_s{i}" for i in range(len(stages))])
 
 
 def for_language(language: str) -> list[tuple[str, Stage]]:

@@ -6,114 +6,15 @@ from documents, an event log from events.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import language, metrics, normalize
+from quire.functions import metrics, normalize
 from quire.operators import analytics, dialogue, manifest, review, structure
+from quire.plans.registry import ORACLES, QUERIES, query
 from quire.sources.tables import table
 from quire.streaming import events
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with its SQL if it has one."""
-
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _stage(name: str, sql: str) -> None:
-    """A normalisation stage over all chunk texts."""
-
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        stage = getattr(normalize, name)
-        return table(spark, d, "manifest_chunks").select("row_id", stage(F.col("text")).alias("text"))
-
-    run.__name__ = f"n_{name}"
-    query(f"SELECT row_id, {sql} AS text FROM manifest_chunks")(run)
-
-
-_stage("encoding_artifacts", r"regexp_replace(text, '[\x{FFFD}\x{FEFF}\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')")
-_stage("common_mojibake", "replace(replace(replace(replace(replace(replace(text, 'АЂ', 'А'), 'Ãƒ', 'А'), 'вЂ“', '—'), 'вЂ”', '—'), 'вЂœ', '«'), 'вЂў', '»')")
-_stage("whitespace", r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[\x{200B}-\x{200D}\x{FEFF}\x0C\x0B]', '', 'g'), '[ \t]+', ' ', 'g'), '(?m) +$', '', 'g'), '(?m)^ +', '', 'g')")
-_stage("broken_lines", r"regexp_replace(text, '([а-яё,])\n([а-яё])', '\1 \2', 'g')")
-_stage("ellipsis", r"regexp_replace(text, '\.{3,}', '…', 'g')")
-_stage("repeated_commas", "regexp_replace(text, ',{2,}', ',', 'g')")
-_stage("dashes", r"replace(regexp_replace(regexp_replace(text, '\s--\s', ' — ', 'g'), '\s–\s', ' — ', 'g'), '--', '—')")
-_stage("punctuation_spacing", r"regexp_replace(regexp_replace(regexp_replace(text, '\s+([,.:;!?])', '\1', 'g'), '([,.:;!?])([а-яёА-ЯЁa-zA-Z])', '\1 \2', 'g'), ' {2,}', ' ', 'g')")
-_stage("empty_lines", r"regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g')")
-_stage("indents", r"regexp_replace(text, '(?m)^[ \t]+', '', 'g')")
-_stage("square_brackets", r"regexp_replace(text, '\[\d{1,2}\]', '', 'g')")
-_stage("text_hash", "substr(sha256(text), 1, 16)")
-_stage("count_words", r"CASE WHEN text IS NULL THEN NULL ELSE len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) END")
-
-
-@query()
-def n_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """All Russian stages in one projection."""
-    return table(spark, d, "manifest_chunks").select("row_id", normalize.pipeline(F.col("text"), normalize.RUSSIAN).alias("text"))
-
-
-@query()
-def n_quotes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "manifest_chunks").select("row_id", normalize.quotes(F.col("text")).alias("text"))
-
-
-@query()
-def n_changed_stages(spark: SparkSession, d: str) -> DataFrame:
-    """How many texts each stage of the pipeline changes."""
-    rows = table(spark, d, "manifest_chunks").select("text").filter("text IS NOT NULL")
-    changed = []
-    c = F.col("text")
-    for name, stage in normalize.NEUTRAL:
-        after = stage(c)
-        changed.append(F.when(c != after, F.lit(name)))
-        c = after
-    return rows.select(F.explode(F.filter(F.array(*changed), lambda x: x.isNotNull())).alias("stage")).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("""
-SELECT row_id, substr(text, 1, 119) || '…' AS preview FROM manifest_chunks WHERE length(text) > 120
-UNION ALL SELECT row_id, text FROM manifest_chunks WHERE text IS NULL OR length(text) <= 120""")
-def n_truncate(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "manifest_chunks").select("row_id", normalize.truncate(F.col("text"), 120).alias("preview"))
-
-
-_BOOK_LANGUAGE = """CASE
- WHEN raw IN ('ru','rus','russian') OR base IN ('ru','rus','russian') AND raw NOT IN ('en','eng','english','zh','chi','chi-sim','chinese','kk','kaz','kazakh','kz','uz','uzb','uzbek') THEN 'ru'
- WHEN raw IN ('en','eng','english') OR base IN ('en','eng','english') THEN 'en'
- WHEN raw IN ('zh','chi','chi-sim','chinese') OR base IN ('zh','chi','chinese') THEN 'zh'
- WHEN raw IN ('kk','kaz','kazakh','kz') OR base IN ('kk','kaz','kazakh','kz') THEN 'kk'
- WHEN raw IN ('uz','uzb','uzbek') OR base IN ('uz','uzb','uzbek') THEN 'uz' ELSE 'ru' END"""
-
-
-@query(f"""
-SELECT lang, count(*) AS n FROM (SELECT {_BOOK_LANGUAGE} AS lang FROM (
- SELECT raw, split_part(raw, '-', 1) AS base FROM (SELECT lower(replace(trim(coalesce(language, '')), '_', '-')) AS raw FROM manifest_chunks)))
-GROUP BY lang""")
-def l1_language_codes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "manifest_chunks").groupBy(language.book_language(F.col("language")).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(r"""
-SELECT row_id, len(regexp_extract_all(text, '[\x{0400}-\x{04FF}]')) AS cyrillic, len(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{024F}]')) AS latin,
- len(regexp_extract_all(text, '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]')) AS han FROM manifest_chunks WHERE text IS NOT NULL""")
-def l2_script_counts(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "manifest_chunks").filter("text IS NOT NULL")
-    return t.select("row_id", language.script_chars(F.col("text"), F.lit("ru")).cast("bigint").alias("cyrillic"), language.script_chars(F.col("text"), F.lit("en")).cast("bigint").alias("latin"), language.script_chars(F.col("text"), F.lit("zh")).cast("bigint").alias("han"))
-
-
 # Structure
 
 _LINES = """SELECT book_id, page_number, row_id, block, line FROM (
