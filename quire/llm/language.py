@@ -262,12 +262,13 @@ def _label_batch(texts: list[str | None], p: Profiles, model: SentenceModel) ->
     return out
 
 
-def label_languages(df: DataFrame, keys: list[str], text: str, label: str, codes_table: DataFrame, profiles: Profiles, model: SentenceModel, pairs: PairModel) -> DataFrame:
+def label_languages(df: DataFrame, keys: list[str], text: str, label: str, codes_table: DataFrame, profiles: Profiles, model: SentenceModel, pairs: PairModel, cases: bool = False) -> DataFrame:
     """``(*keys, labelled, lang, confidence, label_counts, mangled, segments)`` of every row whose text has a letter.
 
     ``mangled``: whether the text was decoded with a wrong encoding. ``label_counts``: whether the text is long and varied enough for its label to be judged. ``segments``
     is an array of (start_char, end_char, lang, confidence), empty for a text in one language. Rows with
-    a null, empty or letterless text give none; a label that no row of the code table has counts as null.
+    a null, empty or letterless text give none; a label that no row of the code table has counts as null. With ``cases`` only
+    rows with a missing or wrong label or with segments are given, so only those are looked at for wrong decodings.
     """
     part = with_label(df, label, codes_table).select(*keys, "labelled", F.col(text).alias("_text")).filter(F.length("_text") > 0)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema if f.name in keys)
@@ -279,18 +280,22 @@ def label_languages(df: DataFrame, keys: list[str], text: str, label: str, codes
         p, m, pair_model = shared.value
         for batch in batches:
             column = batch.column(len(keys) + 1).to_pylist()
-            wrong = set(wrong_rows(column, pair_model))
+            labels = batch.column(len(keys)).to_pylist()
             rows, langs, conf, counts, segs = [], [], [], [], []
             for a, b in batched(column):
                 for i, (best, cf, letters, _, runs) in enumerate(_label_batch(column[a:b], p, m)):
                     if best < 0:
                         continue
                     name = p.languages[best]
+                    judged = letters >= (MIN_LETTERS_HAN if name == "zh" else MIN_LETTERS) and len(set(column[a + i])) >= MIN_DIFFERENT
+                    if cases and not runs and not (judged and labels[a + i] != name):
+                        continue
                     rows.append(a + i)
                     langs.append(name)
                     conf.append(cf)
-                    counts.append(letters >= (MIN_LETTERS_HAN if name == "zh" else MIN_LETTERS) and len(set(column[a + i])) >= MIN_DIFFERENT)
+                    counts.append(judged)
                     segs.append([(x, y, p.languages[one], c) for x, y, one, c in runs])
+            wrong = {rows[k] for k in wrong_rows([column[i] for i in rows], pair_model)}
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i).take(take) for i in range(len(keys) + 1)), pa.array(langs, pa.string()), pa.array(conf, pa.float64()), pa.array(counts, pa.bool_()), pa.array([i in wrong for i in rows], pa.bool_()), pa.array([[dict(zip(("start_char", "end_char", "lang", "confidence"), s)) for s in ss] for ss in segs], kind)],

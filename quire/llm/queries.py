@@ -133,17 +133,17 @@ def p6_restored(spark: SparkSession, d: str) -> DataFrame:
 # 7: languages
 
 
-def _languages(spark: SparkSession, d: str) -> DataFrame:
+def _languages(spark: SparkSession, d: str, cases: bool = False) -> DataFrame:
     codes = table(spark, d, "language_codes")
     rows = _texts(spark, d, "manifest_chunks", "chunk_specs", columns=("language",))
     named = language.with_label(rows, "language", codes).select(F.struct("src", "row_id").alias("id"), "text", "labelled")
     model = sentences.fit_sentences(rows.select("text"))
-    return language.label_languages(rows, ["src", "row_id"], "text", "language", codes, language.fit_profiles(named), model, _pair_model(spark, d))
+    return language.label_languages(rows, ["src", "row_id"], "text", "language", codes, language.fit_profiles(named), model, _pair_model(spark, d), cases)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """The main language where the label lacks or errs (segment 0), and the segments of mixed texts."""
-    rows = _languages(spark, d)
+    rows = _languages(spark, d, cases=True)
     judged = F.col("label_counts") & (F.col("labelled").isNull() | (F.col("labelled") != F.col("lang")))
     main = F.when(judged, F.array(F.struct(F.lit(0).alias("seg_no"), F.col("lang").alias("lang")))).otherwise(F.array().cast("array<struct<seg_no:int,lang:string>>"))
     segments = F.transform("segments", lambda s, i: F.struct((i + 1).alias("seg_no"), s["lang"].alias("lang")))
