@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import metrics, normalize
 from quire.operators import analytics, dialogue, manifest, review, structure
-from quire.plans.registry import ORACLES, QUERIES, query
+from quire.plans.registry import TEXTS, query, texts
 from quire.sources.tables import table
 from quire.streaming import events
 
@@ -72,11 +72,15 @@ _PAGE = """SELECT row_id, book_id, coalesce(list_sum(list_transform(page_text, l
 
 
 @query(f"""
-SELECT row_id, CASE WHEN chars >= 40 OR tables > 0 THEN CASE WHEN images > 0 THEN 'hybrid' ELSE 'programmatic' END WHEN images > 0 THEN 'scanned' ELSE 'unknown' END AS page_class FROM ({_PAGE})""")
+SELECT row_id, CASE WHEN layer AND full THEN 'scanned_with_ocr' WHEN NOT layer AND (images > 0 OR full) THEN 'scanned' WHEN layer AND images > 0 THEN 'hybrid' WHEN layer THEN 'programmatic' ELSE 'unknown' END AS page_class
+FROM (SELECT *, chars >= 40 OR tables > 0 AS layer, images / greatest(images + blocks, 1) >= 0.65 AS full FROM (SELECT *, coalesce(len(page_text), 0) AS blocks FROM ({_PAGE}) JOIN (SELECT row_id, page_text FROM pdf_pages) USING (row_id)))""")
 def s10_page_class(spark: SparkSession, d: str) -> DataFrame:
+    """The class of every page; the share of blocks that come from images stands for the share of its area."""
     chars = F.aggregate(F.coalesce("page_text", F.array().cast("array<string>")), F.lit(0), lambda a, x: a + F.coalesce(F.length(x), F.lit(0)))
     size = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>")))
-    return _pages(spark, d).select("row_id", structure.page_class(chars, size("text_from_tables"), F.lit(0.0), size("text_from_images")).alias("page_class"))
+    images = size("text_from_images")
+    ratio = images / F.greatest(images + size("page_text"), F.lit(1))
+    return _pages(spark, d).select("row_id", structure.page_class(chars, size("text_from_tables"), ratio, images).alias("page_class"))
 
 
 @query("""
@@ -164,8 +168,9 @@ def m8_renumber(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT role, CASE role WHEN 'male' THEN 'men' WHEN 'female' THEN 'women' ELSE 'narrator' END AS label, count(*) AS n FROM (SELECT coalesce(CASE WHEN starts_with(voice_id, 'narrator') THEN 'narrator' WHEN starts_with(voice_id, 'male') THEN 'male' WHEN starts_with(voice_id, 'female') THEN 'female' END,
- CASE WHEN voice IN ('male', 'female', 'narrator') THEN voice END, 'narrator') AS role FROM manifest_chunks) GROUP BY role""")
+SELECT role, CASE role WHEN 'male' THEN 'men' WHEN 'female' THEN 'women' ELSE 'narrator' END AS label, count(*) AS n FROM (SELECT coalesce(
+ CASE WHEN starts_with(v, 'male_') OR v IN ('male', 'men') THEN 'male' WHEN starts_with(v, 'female_') OR v IN ('female', 'women') THEN 'female' WHEN starts_with(v, 'narrator_') OR v = 'narrator' THEN 'narrator' END,
+ CASE WHEN voice IN ('male', 'female', 'narrator', 'unknown') THEN voice END, 'narrator') AS role FROM (SELECT lower(trim(coalesce(voice_id, ''))) AS v, voice FROM manifest_chunks)) GROUP BY role""")
 def m3_voice_roles(spark: SparkSession, d: str) -> DataFrame:
     role = manifest.role_for_voice(F.col("voice_id"), F.col("voice"))
     return _chunks(spark, d).select(role.alias("role")).withColumn("label", manifest.voice_label(F.col("role"))).groupBy("role", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -177,35 +182,84 @@ def m10_pending(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT row_id, (42 + (CAST(chapter_index AS BIGINT) + 1) * 10007 + (chunk_index + 1) * 101 + att * 7919) % 2147483647 AS seed,
+SELECT row_id, CASE WHEN att > 0 THEN (42 + (CAST(chapter_index AS BIGINT) + 1) * 10007 + (chunk_index + 1) * 101 + att * 7919) % 2147483647 ELSE 42 END AS seed,
  CASE WHEN att >= 2 THEN 0.525 ELSE 0.7 END::DOUBLE AS temperature, CASE WHEN att >= 2 THEN 1.25 ELSE 1.1 END::DOUBLE AS repetition_penalty
-FROM (SELECT *, coalesce(len(rejected_audio_files), 0) AS att FROM manifest_chunks WHERE coalesce(failed, false))""")
+FROM (SELECT *, coalesce(len(rejected_audio_files), 0) AS att FROM manifest_chunks)""")
 def m12_retry_options(spark: SparkSession, d: str) -> DataFrame:
+    """Options of the next synthesis of every chunk, by how often its audio was rejected."""
     attempt = F.size(F.coalesce("rejected_audio_files", F.array().cast("array<string>")))
     options = manifest.generation_options(F.col("chapter_index").cast("bigint"), F.col("chunk_index"), attempt)
-    return _chunks(spark, d).filter(F.coalesce("failed", F.lit(False))).select("row_id", *[c.alias(n) for n, c in options.items()])
+    return _chunks(spark, d).select("row_id", *[c.alias(n) for n, c in options.items()])
 
 
 @query("""
-SELECT book_id, chapter_index, count(*) AS total, count(*) FILTER (qa_status = 'passed') AS passed, count(*) FILTER (qa_status = 'warning') AS warning, count(*) FILTER (qa_status = 'failed') AS failed,
- count(*) FILTER (coalesce(qa_status, '') NOT IN ('passed', 'warning', 'failed')) AS unchecked FROM manifest_chunks WHERE NOT coalesce(deleted, false) GROUP BY book_id, chapter_index""")
+SELECT book_id, chapter_index, count(*) AS total, count(*) FILTER (s = 'passed') AS passed, count(*) FILTER (s = 'warning') AS warning, count(*) FILTER (s IN ('failed', 'error')) AS failed,
+ count(*) FILTER (s NOT IN ('passed', 'warning', 'failed', 'error')) AS unchecked FROM (SELECT *, lower(trim(coalesce(qa_status, ''))) AS s FROM manifest_chunks) WHERE NOT coalesce(deleted, false) GROUP BY book_id, chapter_index""")
 def m16_quality_summary(spark: SparkSession, d: str) -> DataFrame:
     return manifest.quality_summary(_chunks(spark, d))
 
 
 @query("""
+WITH c AS (SELECT * FROM manifest_chunks WHERE NOT coalesce(deleted, false) AND coalesce(synthesized, false) AND coalesce(audio_file, '') <> '')
 SELECT row_id, pause_before_ms, sum(pause_before_ms + duration_ms) OVER w - duration_ms AS start_ms FROM (
  SELECT *, CAST(length(coalesce(text, '')) * 60 AS BIGINT) AS duration_ms, CASE WHEN row_number() OVER w = 1 THEN 0 ELSE greatest(CASE WHEN lag(voice_label) OVER w = voice_label THEN 300 ELSE 600 END, coalesce(lag(pause_after_ms) OVER w, 0)) END AS pause_before_ms
- FROM manifest_chunks WINDOW w AS (PARTITION BY book_id, chapter_index ORDER BY chunk_index, row_id)) WINDOW w AS (PARTITION BY book_id, chapter_index ORDER BY chunk_index, row_id)""")
+ FROM c WINDOW w AS (PARTITION BY book_id, chapter_index ORDER BY chunk_index, row_id)) WINDOW w AS (PARTITION BY book_id, chapter_index ORDER BY chunk_index, row_id)""")
 def m17_timeline(spark: SparkSession, d: str) -> DataFrame:
-    """Starts of chunks in their chapter's audio, at 60 ms a character."""
+    """Starts of the synthesised chunks in their chapter's audio, at 60 ms a character."""
     return manifest.timeline(_chunks(spark, d), F.length(F.coalesce("text", F.lit(""))).cast("bigint") * 60).select("row_id", "pause_before_ms", "start_ms")
 
 
-@query("SELECT row_id, book_id, chapter_index, chunk_index, text FROM manifest_chunks")
+@query("SELECT * FROM manifest_chunks")
 def m2_nested_and_back(spark: SparkSession, d: str) -> DataFrame:
-    """Nest the manifest into books and take it apart again."""
-    return manifest.flatten(manifest.nest(_chunks(spark, d))).select("row_id", "book_id", "chapter_index", "chunk_index", "text")
+    """Nest the chapters of the manifest and take them apart again: no field is lost."""
+    return manifest.flatten(manifest.nest(_chunks(spark, d)))
+
+
+@query("SELECT book_id, chapter_index, CAST(count(*) AS INTEGER) AS chunks, arg_min(text, (chunk_index, row_id)) AS first_text FROM manifest_chunks GROUP BY book_id, chapter_index")
+def m1_nested(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.nest(_chunks(spark, d)).select("book_id", "chapter_index", F.size("chunks").alias("chunks"), F.col("chunks")[0]["fields"]["text"].alias("first_text"))
+
+
+_ROLE = "CASE l WHEN 'men' THEN 'male' WHEN 'women' THEN 'female' WHEN 'narrator' THEN 'narrator' ELSE CASE WHEN starts_with(v, 'male_') OR v IN ('male', 'men') THEN 'male' WHEN starts_with(v, 'female_') OR v IN ('female', 'women') THEN 'female' ELSE 'narrator' END END"
+_VOICED = f"""(SELECT *, {_ROLE} AS role FROM (SELECT *, lower(trim(coalesce(voice_label, ''))) AS l, lower(trim(coalesce(voice_id, ''))) AS v, trim(coalesce(speaker, '')) AS name, lower(trim(coalesce(section_kind, ''))) AS part,
+ CASE WHEN lower(trim(coalesce(emotion, ''))) IN ('', 'neutral', 'calm') THEN '' ELSE trim(emotion) END AS feeling FROM manifest_chunks))"""
+
+
+@query(f"""
+SELECT key, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter([CASE WHEN name <> '' AND feeling <> '' THEN 'speaker:' || name || '|emotion:' || feeling END, CASE WHEN name <> '' THEN 'speaker:' || name END,
+ CASE WHEN part <> '' THEN 'section:' || part END, role, CASE WHEN l <> '' THEN l END, '__all__'], lambda k: k IS NOT NULL AND k <> ''))) AS key FROM {_VOICED}) GROUP BY key""")
+def m13_voice_keys(spark: SparkSession, d: str) -> DataFrame:
+    """How often each key of a voice override is asked for."""
+    c = F.col
+    keys = manifest.voice_keys(c("speaker"), c("emotion"), c("section_kind"), manifest.canonical_role(c("voice_label"), c("voice_id")), c("voice_label"))
+    return _chunks(spark, d).select(F.explode(keys).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+WITH o AS (SELECT 'speaker:' || speaker AS key, max(voice_id) AS voice, 2 AS p FROM manifest_chunks WHERE trim(coalesce(speaker, '')) <> '' AND speaker = trim(speaker) GROUP BY speaker HAVING count(*) >= 3)
+SELECT c.row_id, coalesce(o.voice, 'narrator_calm') AS voice FROM {_VOICED} c LEFT JOIN o ON c.name <> '' AND o.key = 'speaker:' || c.name""")
+def m13_voice_overrides(spark: SparkSession, d: str) -> DataFrame:
+    """The voice of every chunk: that of its speaker where the speaker has one, else the one for all."""
+    named = _chunks(spark, d).filter("trim(speaker) <> '' AND speaker = trim(speaker)").groupBy("speaker").agg(F.max("voice_id").alias("voice"), F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    overrides = named.select(F.concat(F.lit("speaker:"), "speaker").alias("key"), "voice").unionByName(spark.createDataFrame([("__all__", "narrator_calm")], "key string, voice string"))
+    return manifest.resolve_voices(_chunks(spark, d), overrides, ["row_id"])
+
+
+@query("""
+SELECT row_id, CASE WHEN 'failed' IN (s) OR s = 'error' THEN 'failed' WHEN s = 'warning' THEN 'warning' WHEN s = 'passed' THEN 'passed' ELSE 'unchecked' END AS status FROM (SELECT row_id, lower(coalesce(qa_status, '')) AS s FROM manifest_chunks)""")
+def m15_worst_status(spark: SparkSession, d: str) -> DataFrame:
+    return _chunks(spark, d).select("row_id", manifest.worst_status(F.array("qa_status")).alias("status"))
+
+
+@query("SELECT row_id, coalesce(voice_label, 'narrator') AS voice_label, coalesce(boundary_after, '') AS boundary_after, coalesce(pause_after_ms, 0) AS pause_after_ms, coalesce(deleted, false) AS deleted, 2 AS schema_version FROM manifest_chunks")
+def m9_migrated(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.migrate(_chunks(spark, d), F.lit(1)).select("row_id", "voice_label", "boundary_after", "pause_after_ms", "deleted", "schema_version")
+
+
+@query()
+def m11_retry_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Where over-long chunks would be cut for another try."""
+    return _chunks(spark, d).select("row_id", manifest.retry_offset(F.col("text")).alias("split_at")).filter("split_at IS NOT NULL")
 
 
 @query("""
@@ -233,12 +287,19 @@ def m7_merge(spark: SparkSession, d: str) -> DataFrame:
     return manifest.merge_with_next(_chunks(spark, d), _chunks(spark, d).filter(F.length("text") < 12).select("row_id")).select("row_id", "chunk_index", "text")
 
 
-@query("""
-SELECT speaker, CAST(('0x' || substr(sha1(lower(speaker)), 1, 8))::BIGINT % 8 AS BIGINT) AS voice FROM (SELECT DISTINCT speaker FROM manifest_chunks WHERE trim(coalesce(speaker, '')) <> '')""")
+def _voice_sql() -> str:
+    """The voice of a chunk of ``_VOICED``, as SQL."""
+    number = "('0x' || substr(sha1(lower(role || ':' || name)), 1, 8))::BIGINT"
+    felt = lambda r: "CASE lower(feeling) " + " ".join(f"WHEN '{e}' THEN '{v}'" for e, v in manifest.EMOTION_VOICES[r].items()) + " END"
+    by_role = " ".join(f"WHEN '{r}' THEN coalesce(" + (f"CASE WHEN name <> '' THEN {list(v)!r}[{number} % {len(v)} + 1] END, " if r != "narrator" else "") + f"{felt(r)}, '{v[0]}')" for r, v in manifest.VOICES.items())
+    return f"CASE WHEN part IN ('annotation', 'epigraph') THEN 'narrator_wise' ELSE CASE role {by_role} END END"
+
+
+@query(f"SELECT row_id, {_voice_sql()} AS voice FROM {_VOICED}")
 def m14_auto_voice(spark: SparkSession, d: str) -> DataFrame:
-    """A stable voice out of eight for every speaker."""
-    names = _chunks(spark, d).filter(F.trim(F.coalesce("speaker", F.lit(""))) != "").select("speaker").distinct()
-    return names.select("speaker", (F.conv(F.substring(F.sha1(F.lower("speaker")), 1, 8), 16, 10).cast("bigint") % 8).alias("voice"))
+    """A stable voice for every chunk."""
+    c = F.col
+    return _chunks(spark, d).select("row_id", manifest.auto_voice(manifest.canonical_role(c("voice_label"), c("voice_id")), c("speaker"), c("emotion"), c("section_kind")).alias("voice"))
 
 
 # Analytics
@@ -352,42 +413,116 @@ def a3_alias_lookup(spark: SparkSession, d: str) -> DataFrame:
 # Metrics, review, identity
 
 
-@query(r"""
-SELECT row_id, a.n_words, CAST(round(a.overlap, 6) AS DOUBLE) AS overlap FROM (SELECT row_id, len(w1) AS n_words, CASE WHEN len(w1) = 0 THEN 1.0 ELSE len(list_intersect(w1, w2)) / len(w1) END AS overlap FROM (
- SELECT row_id, list_distinct(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS w1, list_distinct(list_filter(regexp_split_to_array(replace(text, 'о', 'o'), '\s+'), lambda x: x <> '')) AS w2 FROM chunk_specs WHERE text IS NOT NULL)) a""")
-def q2_word_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Words a transcript with one misread letter would share with its text."""
-    t = table(spark, d, "chunk_specs").filter("text IS NOT NULL")
-    w = F.array_distinct(metrics.words(F.col("text")))
-    return t.select("row_id", F.size(w).cast("bigint").alias("n_words"), F.round(metrics.word_overlap(F.col("text"), F.translate("text", "о", "o")), 6).alias("overlap"))
+@query()
+def q2_matching_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Every text against itself with what a normalisation changes, aligned by words."""
+    t = texts(spark, d).filter("text IS NOT NULL").select("src", "row_id", normalize.asr_text(F.col("text")).alias("a"), normalize.asr_text(F.regexp_replace("text", r"\\d+|«[^»]*»", "")).alias("b"))
+    return t.select("src", "row_id", metrics.aligned(F.col("a"), F.col("b")).alias("x")).select("src", "row_id", F.round("x.matched_ratio", 6).alias("matched"), F.round("x.repeated_score", 6).alias("repeated"), F.size("x.missing_spans").alias("missing"), F.size("x.extra_spans").alias("extra"))
+
+
+@query()
+def q4_transcripts(spark: SparkSession, d: str) -> DataFrame:
+    """Every text scored against the latest other delivery of its chunk, as if that were a transcript."""
+    c = table(spark, d, "manifest_chunks").filter("text IS NOT NULL").select("book_id", "chapter_index", "chunk_index", "row_id", normalize.asr_text(F.col("text")).alias("a"), "character_confidence")
+    other = c.select("book_id", "chapter_index", "chunk_index", F.col("row_id").alias("other"), F.col("a").alias("b"))
+    pairs = c.join(other, ["book_id", "chapter_index", "chunk_index"]).filter("row_id < other").withColumn("x", metrics.aligned(F.col("a"), F.col("b")))
+    issues = metrics.transcript_issues(F.col("a"), F.col("b"), F.col("x"), metrics.char_error_rate(F.col("a"), F.col("b")), F.lit("ru"), F.lit(""), F.col("character_confidence"))
+    return pairs.select("row_id", "other", issues.alias("issues")).withColumn("status", metrics.transcript_status(F.col("issues")))
+
+
+@query()
+def q5_corrections(spark: SparkSession, d: str) -> DataFrame:
+    """Whether what the neutral stages make of a text is a mere correction of it."""
+    t = table(spark, d, "chunk_specs").filter("text IS NOT NULL").select("row_id", "text", F.col("text").alias("clean"))
+    return normalize.normalized(t, "clean", normalize.NEUTRAL).select("row_id", metrics.validated(F.col("text"), F.col("clean")).alias("v")).select("row_id", F.col("v.issues").alias("issues"))
+
+
+@query()
+def q6_titles(spark: SparkSession, d: str) -> DataFrame:
+    """The same for titles."""
+    t = table(spark, d, "books").select("book_id", "book_title", normalize.dashes(normalize.quotes(F.col("book_title"))).alias("clean")).filter("book_title IS NOT NULL")
+    return t.select("book_id", metrics.validated(F.col("book_title"), F.col("clean"), title=True)["issues"].alias("issues"))
 
 
 @query()
 def q1_error_rates(spark: SparkSession, d: str) -> DataFrame:
-    """Word and character error rates of the normalised against the raw text."""
-    t = table(spark, d, "chunk_specs").filter("text IS NOT NULL")
-    raw, clean = F.col("text"), normalize.asr_text(F.col("text"))
-    return t.select("row_id", F.round(metrics.word_error_rate(raw, clean), 6).alias("wer"), F.round(metrics.char_error_rate(raw, clean), 6).alias("cer"))
+    """Word and character error rates of the normalised against the raw text, of all texts."""
+    t = texts(spark, d).filter("text IS NOT NULL").select("src", "row_id", F.col("text").alias("raw"), normalize.asr_text(F.col("text")).alias("clean"))
+    return t.select("src", "row_id", F.round(metrics.word_error_rate(F.col("raw"), F.col("clean")), 6).alias("wer"), F.round(metrics.char_error_rate(F.col("raw"), F.col("clean")), 6).alias("cer"))
 
 
-@query(r"""
-SELECT kind, count(*) AS texts, sum(n)::BIGINT AS n FROM (
- SELECT 'space_before_mark' AS kind, len(regexp_extract_all(text, '\s+[,.;:!?]')) AS n FROM manifest_chunks UNION ALL SELECT 'too_many_marks', len(regexp_extract_all(text, '[!?]{3,}')) FROM manifest_chunks
- UNION ALL SELECT 'mixed_script', len(regexp_extract_all(text, '[а-яёА-ЯЁ][a-zA-Z]|[a-zA-Z][а-яёА-ЯЁ]')) FROM manifest_chunks UNION ALL SELECT 'digit_in_word', len(regexp_extract_all(text, '[а-яёА-ЯЁ][0-9][а-яёА-ЯЁ]')) FROM manifest_chunks) WHERE n > 0 GROUP BY kind""")
+#: The same patterns without look-around: what stood there is taken as well, which changes no count of matches apart.
+_ISSUES = {
+    "missing_space": "[а-яёА-ЯЁ][,.:;][а-яёА-ЯЁ]", "repeated_comma": ",{2,}", "two_dots": r"\.{2}(?:[^.]|$)", "space_before_mark": r"\s[,.:;!?]", "too_many_marks": "[!?]{3,}", "mixed_script": "[а-яёА-ЯЁ][a-zA-Z]|[a-zA-Z][а-яёА-ЯЁ]",
+    "digit_in_word": r"(?:^|[^\p{L}\p{N}-])[0-9]*[а-яёА-ЯЁ]+[036][а-яёА-ЯЁ]+", "long_run": "(?i)[бвгджзклмнпрстфхцчшщ]{5,}|[аеёиоуыэюя]{5,}",
+}
+
+
+@query("SELECT kind, count(*) AS texts, sum(n)::BIGINT AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, len(regexp_extract_all(text, '{p}')) AS n FROM {TEXTS}" for k, p in _ISSUES.items()) + ") WHERE n > 0 GROUP BY kind")
 def r1_issue_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Texts and places per kind of issue, for the kinds that SQL can say."""
-    found = review.issues(_chunks(spark, d), ["row_id"]).filter(F.col("kind").isin("space_before_mark", "too_many_marks", "mixed_script", "digit_in_word"))
-    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"))
+    """Texts and places per kind of issue, of all kinds and texts."""
+    return review.issues(texts(spark, d), ["src", "row_id"]).groupBy("kind").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"))
+
+
+@query(r"""
+SELECT src, row_id, CAST(i AS INTEGER) AS ord, right(array_to_string(list_transform(range(i), lambda j: gaps[j + 1] || hits[j + 1]), '') || gaps[i + 1], 40) AS before, hits[i + 1] AS original,
+ left(gaps[i + 2] || array_to_string(list_transform(range(i + 1, len(hits)), lambda j: hits[j + 1] || gaps[j + 2]), ''), 40) AS after
+FROM (SELECT *, unnest(range(len(hits))) AS i FROM (SELECT src, row_id, regexp_extract_all(text, '\s[,.:;!?]') AS hits, string_split_regex(text, '\s[,.:;!?]') AS gaps FROM """ + TEXTS + r""" WHERE regexp_matches(text, '\s[,.:;!?]')))""")
+def r2_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    """Every space before a mark, with its context."""
+    return review.occurrences(texts(spark, d), ["src", "row_id"], "space_before_mark")
 
 
 @query()
-def r2_issues(spark: SparkSession, d: str) -> DataFrame:
-    return review.issues(_chunks(spark, d), ["row_id"])
+def r3_yo_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Words that the corpus writes with ё elsewhere."""
+    from quire.operators import paragraphs
+
+    t = _chunks(spark, d).select("row_id", "text")
+    return paragraphs.words_to_replace(t, [], ["row_id"], "text", paragraphs.yo_dictionary(t.select("text"), ratio=1))
 
 
-@query("SELECT book_id, 'text_' || substr(sha1(coalesce(book_title, '')), 1, 16) AS stable_id FROM books")
+@query(r"""
+SELECT DISTINCT w AS token, regexp_matches(core, '^[А-Яа-яЁё][А-Яа-яЁё0-9]+[А-Яа-яЁё]$') AND regexp_matches(core, '^[^0-9]*[0-9][^0-9]*(?:[0-9][^0-9]*)?$') AND NOT regexp_matches(core, '[0-9]{2}') AND core <> upper(core) AS safe
+FROM (SELECT w, replace(w, '-', '') AS core FROM (SELECT unnest(regexp_extract_all(text, '[А-Яа-яЁё0-9-]*[А-Яа-яЁё][0-9][А-Яа-яЁё0-9-]*')) AS w FROM """ + TEXTS + "))")
+def r8_safe_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Which words with digits in them may be corrected everywhere."""
+    words = texts(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit("([А-Яа-яЁё0-9-]*[А-Яа-яЁё][0-9][А-Яа-яЁё0-9-]*)"), F.lit(1))).alias("token")).distinct()
+    return words.select("token", review.safe_to_repeat(F.lit("digit_in_word"), F.col("token")).alias("safe"))
+
+
+@query("SELECT nickname, lang, full_name FROM (SELECT *, row_number() OVER (PARTITION BY nickname, lang ORDER BY length(full_name) DESC, full_name DESC) AS rn FROM nickname_list WHERE nickname IS NOT NULL AND lang IS NOT NULL) WHERE rn = 1")
+def r7_upserted(spark: SparkSession, d: str) -> DataFrame:
+    """A remembered table taken up again: of each key the row with the latest mark stays."""
+    t = table(spark, d, "nickname_list").withColumn("updated_at", F.struct(F.length("full_name").alias("a"), F.col("full_name").alias("b")))
+    return review.upsert(t, t, ["nickname", "lang"]).select("nickname", "lang", "full_name")
+
+
+@query("""
+SELECT b.book_id, CASE WHEN trim(coalesce(source_format, '')) <> '' AND trim(coalesce(book_title, '')) <> '' THEN 'src_' || substr(sha1(source_format || '|' || lower(trim(book_title))), 1, 16) ELSE 'text_' || substr(sha1(coalesce(t.text, '')), 1, 16) END AS stable_id
+FROM books b LEFT JOIN (SELECT book_id, string_agg(text, chr(10) || chr(10) ORDER BY chapter_index, chunk_index, row_id) FILTER (text <> '') AS text FROM manifest_chunks GROUP BY book_id) t USING (book_id)""")
 def i1_stable_ids(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "books").select("book_id", F.concat(F.lit("text_"), F.substring(F.sha1(F.coalesce("book_title", F.lit(""))), 1, 16)).alias("stable_id"))
+    """An id of each book: of its format and source (the title stands for the path here), else of its text."""
+    b = table(spark, d, "books")
+    known = (F.trim(F.coalesce("source_format", F.lit(""))) != "") & (F.trim(F.coalesce("book_title", F.lit(""))) != "")
+    source = F.concat(F.lit("src_"), F.substring(F.sha1(F.concat("source_format", F.lit("|"), F.lower(F.trim("book_title")))), 1, 16))
+    some = b.filter(~known).select("book_id")
+    parts = F.sort_array(F.collect_list(F.struct("chapter_index", "chunk_index", "row_id", "text")))
+    text = _chunks(spark, d).filter("text <> ''").join(some, "book_id", "left_semi").groupBy("book_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("t"))
+    return b.join(text, "book_id", "left").select("book_id", F.when(known, source).otherwise(F.concat(F.lit("text_"), F.substring(F.sha1(F.coalesce("t", F.lit(""))), 1, 16))).alias("stable_id"))
+
+
+@query("SELECT text_key, count(*) AS n FROM (SELECT substr(sha1(coalesce(text, '') || '|' || coalesce(chunker, '')), 1, 16) AS text_key FROM manifest_chunks) GROUP BY text_key HAVING count(*) > 1")
+def i2_cache_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with their settings that a cache keyed by content would answer."""
+    key = F.substring(F.sha1(F.concat(F.coalesce("text", F.lit("")), F.lit("|"), F.coalesce("chunker", F.lit("")))), 1, 16)
+    return _chunks(spark, d).groupBy(key.alias("text_key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+@query(r"SELECT DISTINCT voice_id, trim(regexp_replace(lower(voice_id), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM manifest_chunks WHERE voice_id IS NOT NULL")
+def i3_voice_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Voices with ids fit for file names."""
+    return _chunks(spark, d).filter("voice_id IS NOT NULL").select("voice_id", F.regexp_replace(F.regexp_replace(F.lower("voice_id"), "[^a-z0-9]+", "_"), "^_+|_+$", "").alias("slug")).distinct()
 
 
 @query("SELECT count(DISTINCT text) AS n_texts, count(*) AS n_rows FROM manifest_chunks WHERE text IS NOT NULL")
