@@ -68,51 +68,19 @@ def chapter_kind(line: Column) -> Column:
     return _first_kind(line, CHAPTER_PATTERNS)
 
 
-def lines_of(pages: DataFrame, blocks: Column) -> DataFrame:
-    """(book_id, page_number, row_id, block, line_no, line) of arrays of text blocks; nulls and empty ones give none."""
-    rows = pages.select("book_id", "page_number", "row_id", F.posexplode(blocks).alias("block", "_text")).filter("_text IS NOT NULL")
-    return rows.select("book_id", "page_number", "row_id", "block", F.posexplode(F.split("_text", "\n")).alias("line_no", "line"))
+def numbered(hits: DataFrame) -> DataFrame:
+    """Headings with ``number``, the first one in digits that they have (0 without)."""
+    return hits.withColumn("number", F.coalesce(F.nullif(F.regexp_extract("line", r"([0-9]{1,6})", 1), F.lit("")).cast("int"), F.lit(0)))
 
 
-def headings(lines: DataFrame) -> DataFrame:
-    """Lines that are chapter headings, with their kind and number (0 if it has none in digits)."""
-    rows = lines.withColumn("kind", chapter_kind(F.col("line"))).filter("kind IS NOT NULL")
-    return rows.withColumn("number", F.coalesce(F.try_to_number(F.nullif(F.regexp_extract("line", r"([0-9]{1,6})", 1), F.lit("")), F.lit("999999")).cast("int"), F.lit(0)))
-
-
-def without_numeric_noise(hits: DataFrame) -> DataFrame:
+def without_numeric_noise(hits: DataFrame, order: list[str]) -> DataFrame:
     """Drop a book's numeric headings if there are three or more and over a quarter of them fall behind the highest number so far."""
-    w = Window.partitionBy("book_id").orderBy("page_number", "row_id", "block", "line_no")
+    w = Window.partitionBy("book_id").orderBy(*order)  # over the numeric headings alone
     numeric = hits.filter("kind = 'numeric_heading'").withColumn("_back", (F.col("number") < F.max("number").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"))
     noisy = numeric.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("_back", F.lit(0))).alias("share")).filter("n >= 3 AND share > 0.25").select("book_id", F.lit(True).alias("_noisy"))
     return hits.join(noisy, "book_id", "left").filter("_noisy IS NULL OR kind <> 'numeric_heading'").drop("_noisy")
 
 
-def chapters_of_pages(pages: DataFrame, blocks: Column) -> DataFrame:
-    """Chapter number of each page block: the count of headings up to it, 0 before the first.
-
-    Counted over one book in page order. The pre-aggregation to a row per block comes before the window.
-    """
-    per_block = lines_of(pages, blocks).withColumn("h", chapter_kind(F.col("line")).isNotNull().cast("int")).groupBy("book_id", "page_number", "row_id", "block").agg(F.sum("h").alias("starts"), F.sum(F.length("line")).alias("chars"))
-    w = Window.partitionBy("book_id").orderBy("page_number", "row_id", "block").rowsBetween(Window.unboundedPreceding, 0)
-    return per_block.withColumn("chapter", F.sum("starts").over(w))
-
-
-def chapter_sizes(pages: DataFrame, blocks: Column) -> DataFrame:
-    """Blocks and characters per chapter, and whether it is tiny (three blocks at most)."""
-    c = chapters_of_pages(pages, blocks)
-    return c.groupBy("book_id", "chapter").agg(F.count(F.lit(1)).alias("blocks"), F.sum("chars").alias("chars")).withColumn("tiny", F.col("blocks") <= 3)
-
-
-def contents_entries(docs: DataFrame) -> DataFrame:
-    """Entries of contents lists: (doc_id, pos, number, title, page) of lines like ``3. Title ..... 21``."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(r"^\s*[0-9]+\.\s+\S"))
-    title = F.trim(F.regexp_replace(F.regexp_replace("line", r"^\s*[0-9]+\.\s+", ""), r"\s*\.{3,}\s*[0-9]*\s*$", ""))
-    return lines.select(
-        "doc_id", "pos", F.regexp_extract("line", r"^\s*([0-9]+)\.", 1).cast("int").alias("number"), title.alias("title"), F.nullif(F.regexp_extract("line", r"\.{3,}\s*([0-9]+)\s*$", 1), F.lit("")).cast("int").alias("page")
-    )
-
-
 def page_class(text_chars: Column, tables: Column, image_ratio: Column, image_texts: Column) -> Column:
     """The kind of a page from its text layer, tables and images."""
     layer = (text_chars >= 40) | (tables > 0)

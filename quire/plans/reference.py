@@ -17,63 +17,16 @@ from quire.streaming import events
 
 # Structure
 
-_LINES = """SELECT book_id, page_number, row_id, block, line FROM (
- SELECT book_id, page_number, row_id, b.block AS block, unnest(string_split(b.text, chr(10))) AS line FROM (
-  SELECT book_id, page_number, row_id, unnest(list_transform(range(len(page_text)), lambda i: {'block': i, 'text': page_text[i + 1]})) AS b FROM pdf_pages WHERE page_text IS NOT NULL) WHERE b.text IS NOT NULL)"""
-
-
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pdf_pages")
 
 
-@query(rf"""
-SELECT kind, count(*) AS n FROM (SELECT CASE
- WHEN regexp_matches(line, '^\s*[Гг][Лл][Аа][Вв][Аа]\s+[0-9]+') THEN 'chapter_numeric'
- WHEN regexp_matches(line, '^\s*[Гг][Лл][Аа][Вв][Аа]\s+[IVXLCDMl|]+\s*$') THEN 'chapter_roman'
- WHEN regexp_matches(line, '^\s*[Чч][Аа][Сс][Тт][Ьь]\s+[IVXLCDM0-9]+') THEN 'part'
- WHEN regexp_matches(line, '^\s*[0-9]+(?:\.[0-9]+)*\.?\s+[А-ЯЁA-Z][А-Яа-яЁёA-Za-z\s]{{10,}}$') THEN 'numeric_heading'
- WHEN regexp_matches(line, '^\s*(?:[Вв]ведение|[Зз]аключение|[Пп]ослесловие|[Пп]редисловие)\s*$') THEN 'intro_conclusion'
- WHEN regexp_matches(line, '^\s*(?:[Пп][Рр][Оо][Лл][Оо][Гг]|[Ээ][Пп][Ии][Лл][Оо][Гг])\s*$') THEN 'prologue_epilogue'
- WHEN regexp_matches(line, '^\s*(?:I{{2,3}}|IV|VI{{0,3}}|IX|XI{{0,3}}|XI?V|XX?)\s*$') THEN 'roman_numeral'
- WHEN regexp_matches(line, '(?i)^\s*chapter\s+(?:[0-9]+|[ivxlcdm]+|one|two|three|four|five|six|seven|eight|nine|ten)(?:\b|[.:])') THEN 'chapter_en'
- WHEN regexp_matches(line, '(?i)^\s*(?:prologue|epilogue|introduction|foreword|afterword)\s*$') THEN 'intro_conclusion_en'
- WHEN regexp_matches(line, '^\s*(?:Тарау|тарау|Бөлім|бөлім)\s+(?:[0-9]+|[IVXLCDMivxlcdm]+)') THEN 'chapter_kk'
- WHEN regexp_matches(line, '(?i)^\s*(?:bob|bo[''`ʼʻ]?lim)\s+(?:[0-9]+|[ivxlcdm]+)(?:\b|[.:])') THEN 'chapter_uz'
- WHEN regexp_matches(line, '^\s*第[0-9一-鿿]{{1,8}}[章回节]\s*.*$') THEN 'chapter_zh'
- WHEN regexp_matches(line, '^\s*(?:序章|前言|后记|结语)\s*$') THEN 'intro_conclusion_zh' END AS kind FROM ({_LINES}))
-WHERE kind IS NOT NULL GROUP BY kind""")
-def c1_heading_kinds(spark: SparkSession, d: str) -> DataFrame:
-    lines = structure.lines_of(_pages(spark, d), F.col("page_text"))
-    return structure.headings(lines).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def c4_headings(spark: SparkSession, d: str) -> DataFrame:
-    """Headings without numeric noise."""
-    return structure.without_numeric_noise(structure.headings(structure.lines_of(_pages(spark, d), F.col("page_text"))))
-
-
-@query()
-def c14_chapter_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return structure.chapter_sizes(_pages(spark, d), F.col("page_text"))
-
-
-@query(r"""
-SELECT doc_id, pos, CAST(regexp_extract(line, '^\s*([0-9]+)\.', 1) AS INTEGER) AS number,
- trim(regexp_replace(regexp_replace(line, '^\s*[0-9]+\.\s+', ''), '\s*\.{3,}\s*[0-9]*\s*$', '')) AS title,
- CAST(nullif(regexp_extract(line, '\.{3,}\s*([0-9]+)\s*$', 1), '') AS INTEGER) AS page
-FROM (SELECT doc_id, CAST(p AS INTEGER) AS pos, lines[p + 1] AS line FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL)))
-WHERE regexp_matches(line, '^\s*[0-9]+\.\s+\S')""")
-def c7_contents_entries(spark: SparkSession, d: str) -> DataFrame:
-    return structure.contents_entries(table(spark, d, "documents"))
-
-
 _PAGE = """SELECT row_id, book_id, coalesce(list_sum(list_transform(page_text, lambda x: coalesce(length(x), 0))), 0) AS chars, coalesce(len(text_from_tables), 0) AS tables, coalesce(len(text_from_images), 0) AS images FROM pdf_pages"""
 
 
 @query(f"""
-SELECT row_id, CASE WHEN layer AND full THEN 'scanned_with_ocr' WHEN NOT layer AND (images > 0 OR full) THEN 'scanned' WHEN layer AND images > 0 THEN 'hybrid' WHEN layer THEN 'programmatic' ELSE 'unknown' END AS page_class
-FROM (SELECT *, chars >= 40 OR tables > 0 AS layer, images / greatest(images + blocks, 1) >= 0.65 AS full FROM (SELECT *, coalesce(len(page_text), 0) AS blocks FROM ({_PAGE}) JOIN (SELECT row_id, page_text FROM pdf_pages) USING (row_id)))""")
+SELECT row_id, CASE WHEN layer AND whole THEN 'scanned_with_ocr' WHEN NOT layer AND (images > 0 OR whole) THEN 'scanned' WHEN layer AND images > 0 THEN 'hybrid' WHEN layer THEN 'programmatic' ELSE 'unknown' END AS page_class
+FROM (SELECT *, chars >= 40 OR tables > 0 AS layer, images / greatest(images + blocks, 1) >= 0.65 AS whole FROM (SELECT *, coalesce(len(page_text), 0) AS blocks FROM ({_PAGE}) JOIN (SELECT row_id, page_text FROM pdf_pages) USING (row_id)))""")
 def s10_page_class(spark: SparkSession, d: str) -> DataFrame:
     """The class of every page; the share of blocks that come from images stands for the share of its area."""
     chars = F.aggregate(F.coalesce("page_text", F.array().cast("array<string>")), F.lit(0), lambda a, x: a + F.coalesce(F.length(x), F.lit(0)))
@@ -271,7 +224,10 @@ def m5_update_text(spark: SparkSession, d: str) -> DataFrame:
     return manifest.update_text(_chunks(spark, d), patches).select("row_id", "text", "synthesized", "audio_file")
 
 
-@query()
+@query("""
+WITH h AS (SELECT *, CAST(floor(length(text) / 2) AS INTEGER) AS mid FROM manifest_chunks),
+ p AS (SELECT *, CASE WHEN length(text) > 900 AND trim(substr(text, 1, mid)) <> '' AND trim(substr(text, mid + 1)) <> '' THEN [trim(substr(text, 1, mid)), trim(substr(text, mid + 1))] ELSE [text] END AS parts FROM h)
+SELECT row_id, book_id, chapter_index, CAST(row_number() OVER (PARTITION BY book_id, chapter_index ORDER BY chunk_index, row_id, i) - 1 AS INTEGER) AS chunk_index, parts[i + 1] AS text FROM (SELECT *, unnest(range(len(parts))) AS i FROM p)""")
 def m6_split(spark: SparkSession, d: str) -> DataFrame:
     """Chunks beyond 900 characters cut in the middle, chapters renumbered."""
     cuts = _chunks(spark, d).filter(F.length("text") > 900).select("row_id", F.floor(F.length("text") / 2).cast("int").alias("split_at"))
