@@ -226,7 +226,7 @@ def m5_update_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH h AS (SELECT *, CAST(floor(length(text) / 2) AS INTEGER) AS mid FROM manifest_chunks),
- p AS (SELECT *, CASE WHEN length(text) > 900 AND trim(substr(text, 1, mid)) <> '' AND trim(substr(text, mid + 1)) <> '' THEN [trim(substr(text, 1, mid)), trim(substr(text, mid + 1))] ELSE [text] END AS parts FROM h)
+ p AS (SELECT *, CASE WHEN length(text) > 900 AND trim(substr(text, 1, mid), ' ') <> '' AND trim(substr(text, mid + 1), ' ') <> '' THEN [trim(substr(text, 1, mid), ' '), trim(substr(text, mid + 1), ' ')] ELSE [text] END AS parts FROM h)
 SELECT row_id, book_id, chapter_index, CAST(row_number() OVER (PARTITION BY book_id, chapter_index ORDER BY chunk_index, row_id, i) - 1 AS INTEGER) AS chunk_index, parts[i + 1] AS text FROM (SELECT *, unnest(range(len(parts))) AS i FROM p)""")
 def m6_split(spark: SparkSession, d: str) -> DataFrame:
     """Chunks beyond 900 characters cut in the middle, chapters renumbered."""
