@@ -36,22 +36,6 @@ def s10_page_class(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).select("row_id", structure.page_class(chars, size("text_from_tables"), ratio, images).alias("page_class"))
 
 
-@query("""
-WITH best AS (SELECT *, row_number() OVER (PARTITION BY book_id, first_page, page_count, kind ORDER BY extracted_at DESC NULLS LAST, row_id DESC) AS rn FROM pdf_text_variants WHERE text IS NOT NULL),
- v AS (SELECT book_id, first_page, page_count, max(CASE WHEN kind = 'native' THEN length(text) END) AS native_chars, max(CASE WHEN kind = 'ocr' THEN length(text) END) AS ocr_chars FROM best WHERE rn = 1 GROUP BY book_id, first_page, page_count)
-SELECT *, CASE WHEN ocr_chars IS NULL THEN 'native_only' WHEN native_chars IS NULL THEN 'ocr_only' WHEN ocr_chars > 1.5 * native_chars THEN 'ocr_more_complete' ELSE 'native_preferred' END AS reason FROM v""")
-def s18_variant_selection(spark: SparkSession, d: str) -> DataFrame:
-    """Which variant of a run of pages to take: the native text unless the other is much more complete."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("book_id", "first_page", "page_count", "kind").orderBy(F.desc_nulls_last("extracted_at"), F.desc("row_id"))
-    best = table(spark, d, "pdf_text_variants").filter("text IS NOT NULL").withColumn("rn", F.row_number().over(w)).filter("rn = 1")
-    chars = lambda kind: F.max(F.when(F.col("kind") == kind, F.length("text")))
-    v = best.groupBy("book_id", "first_page", "page_count").agg(chars("native").alias("native_chars"), chars("ocr").alias("ocr_chars"))
-    reason = F.when(F.col("ocr_chars").isNull(), "native_only").when(F.col("native_chars").isNull(), "ocr_only").when(F.col("ocr_chars") > 1.5 * F.col("native_chars"), "ocr_more_complete").otherwise("native_preferred")
-    return v.withColumn("reason", reason)
-
-
 # Dialogue and chunks
 
 
