@@ -30,6 +30,8 @@ from quire.llm.names import radius_join
 from quire.session import cut
 
 TRAIN = 20_000
+#: The most frequent confusions of the corpus that training words are misread with; only the training looks at them.
+CONFUSIONS = 400
 #: A candidate must be seen this often, and this many times as often as the word it replaces.
 FREQUENT, RATIO = 4, 20
 #: q-gram length and largest edit distance (a letter read as two costs two).
@@ -109,6 +111,22 @@ def _words(text: str) -> Iterator[str]:
             yield run[q : q + 3]
 
 
+#: What a line and its neighbours tell: see ``pair_features``.
+PAIR = 9
+
+
+def pair_features(before: str, line: str, after: str, first: bool, last: bool, page_edge: bool) -> list[float]:
+    """A line against the lines above and below it: whether the text above goes on below it, how long they are, how it is set."""
+    above, below = before.rstrip(), after.lstrip()
+    open_above = float(bool(above) and not _TERMINAL.search(above))
+    goes_on = float(bool(regex.match(r"\p{Ll}|\p{Han}", below)))
+    letters = sum(c.isalpha() for c in line)
+    return [
+        open_above, goes_on, open_above * goes_on, min(len(above), 90) / 90, min(len(below), 90) / 90, min(len(line.strip()), 90) / 90,
+        sum(c.isdigit() for c in line) / max(len(line.strip()), 1), sum(c.isupper() for c in line) / max(letters, 1), first + last + 2.0 * page_edge,
+    ]
+
+
 def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines that may be furniture, printed numbers, cut words, and the words of each line."""
     for batch in batches:
@@ -121,8 +139,18 @@ def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # what each line is to a word cut above it: "" passed over, "line" passed over if it is a header, "stop" neither
             state = ["stop"] * len(lines)
 
-            def emit(kind: str, at: int, a: str = "", b: str = "", x: float = 0.0, y: float = 0.0, z: float = 0.0) -> None:
-                rows.append((src, row_id, book, kind, at, a, b, x, y, z))
+            def emit(kind: str, at: int, a: str = "", b: str = "", x: float = 0.0, y: float = 0.0, z: float = 0.0, pair: list[float] | None = None) -> None:
+                rows.append((src, row_id, book, kind, at, a, b, x, y, z, pair))
+
+            full = [k for k, x in enumerate(lines) if x[3].strip()]
+            place = {k: n for n, k in enumerate(full)}
+
+            def pair(k: int) -> list[float]:
+                i, j, n, line = lines[k]
+                at = place[k]
+                before = lines[full[at - 1]][3] if at else ""
+                after = lines[full[at + 1]][3] if at + 1 < len(full) else ""
+                return pair_features(before, line, after, j == 0, j == n - 1, at in (0, len(full) - 1))
 
             spoken: list[int] = []
             for k, (i, j, n, line) in enumerate(lines):
@@ -141,23 +169,25 @@ def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         continue
                 if edge or src.startswith("pdf_text"):
                     if first is not None and page_of(bare, first, last):
-                        emit("number", k)
+                        emit("number", k, pair=pair(k))
                         state[k] = ""
                         continue
+                    if _NUMBER.match(bare):
+                        emit("other", k, pair=pair(k))  # a number that is not the page's
                     rest = bare
                     m = _BESIDE.match(bare)
                     if m and first is not None:
                         text, number = (m.group(1), m.group(2)) if m.group(2) else (m.group(4), m.group(3))
                         if page_of(number, first, last):
-                            emit("number", k)
+                            emit("number", k, z=1.0, pair=pair(k))
                             rest = text
                         elif m.group(4) and page_of(m.group(3), first, last):
-                            emit("number", k)
+                            emit("number", k, z=1.0, pair=pair(k))
                             rest = m.group(4)
                         else:
                             left = regex.match(r"^\s*(\S.{0,9}?)\s{2,}(\S.*)$", bare)
                             if left and page_of(left.group(1), first, last):
-                                emit("number", k)
+                                emit("number", k, z=1.0, pair=pair(k))
                                 rest = left.group(2)
                         if rest != bare:
                             state[k] = ""
@@ -167,7 +197,7 @@ def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         alone = float(n == 1)
                         where = float(i == 0 and j == 0 or i == n_blocks - 1 and j == n - 1)
                         if letters:
-                            emit("line", k, skeleton(rest), rest, alone + 2 * where, upper, float(rest != bare))
+                            emit("line", k, skeleton(rest), rest, alone + 2 * where, upper, float(rest != bare), pair(k))
                             if rest == bare:
                                 state[k] = "line"
                 spoken.append(k)
@@ -201,13 +231,13 @@ def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     words[(k, w)] += 1
             for (k, w), c in words.items():
                 emit("word", k, w, "", float(c))
-        names = ["src", "row_id", "book_id", "kind", "at", "a", "b", "x", "y", "z"]
-        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64()]
+        names = ["src", "row_id", "book_id", "kind", "at", "a", "b", "x", "y", "z", "pair"]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.float64())]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
 _NO_JOIN = regex.compile(r"\s[-–—(]\s*$")
-_PARTS = f"{_FIELDS}, kind string, at int, a string, b string, x double, y double, z double"
+_PARTS = f"{_FIELDS}, kind string, at int, a string, b string, x double, y double, z double, pair array<double>"
 
 
 def analyse(table: DataFrame) -> DataFrame:
@@ -215,32 +245,73 @@ def analyse(table: DataFrame) -> DataFrame:
     return cut(table.mapInArrow(_analyse, _PARTS))
 
 
+def _drawn(seeds: DataFrame, features: list[str]) -> pd.DataFrame:
+    """At most about ``TRAIN`` seed rows, drawn by a hash of their place."""
+    n = max(seeds.count(), 1)
+    share = F.lit((1 << 20) * min(1.0, TRAIN / n))
+    return seeds.filter(F.pmod(F.xxhash64("src", "row_id", "at"), F.lit(1 << 20)) < share).select(*[F.col(f).cast("double").alias(f) for f in features], "label").toPandas()
+
+
+def _with_pair(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The features of the pairs of lines as columns."""
+    names = [f"p{i}" for i in range(PAIR)]
+    return df.withColumns({n: F.coalesce(F.get("pair", F.lit(i)), F.lit(0.0)) for i, n in enumerate(names)}), names
+
+
+def numbers(parts: DataFrame) -> DataFrame:
+    """``(src, row_id, at)`` of the printed page numbers, told by a classifier over pairs of lines.
+
+    Trained on numbers of their page at the edge of a block against numbers that are not their page's. What tells the seeds apart for sure is hidden in half of them.
+    """
+    told, names = _with_pair(parts.filter("kind IN ('number', 'other')"))
+    told = cut(told.withColumn("right", (F.col("kind") == "number").cast("double")).withColumnRenamed("z", "beside").select("src", "row_id", "at", "right", "beside", *names))
+    features = ["right", "beside", *names]
+    seeds = told.withColumn("label", F.when((F.col("right") == 1) & (F.col("p8") >= 1), 1).when(F.col("right") == 0, 0)).filter("label IS NOT NULL")
+    sample = _drawn(seeds, features)
+    x, y = sample[features].to_numpy(float), sample.label.to_numpy(float)
+    blind = x[::2].copy()
+    blind[:, 0] = 0.5
+    model = boost.fit(np.vstack([x, blind]), np.concatenate([y, y[::2]]))
+
+    @F.pandas_udf("double")
+    def odds(*columns: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.column_stack([c.to_numpy(float) for c in columns])))
+
+    return told.filter("right = 1").withColumn("odds", odds(*features)).filter("odds > 0").select("src", "row_id", "at").distinct()
+
+
 def headers(parts: DataFrame, books: DataFrame) -> DataFrame:
-    """``(src, row_id, at)`` of the running headers."""
+    """``(src, row_id, at)`` of the running headers, told by a classifier over pairs of lines.
+
+    Titles are found by an exact radius join; that a line is near one is a feature, hidden in half of the seeds. A line that is
+    near none must repeat in other fields.
+    """
     clean = F.udf(skeleton, "string")
     known = books.select("book_id", F.explode(F.array("book_title", "author", F.concat_ws(". ", "author", "book_title"), F.concat_ws(" ", "book_title", "author"))).alias("t")).filter("t IS NOT NULL AND t <> ''").select("book_id", clean("t").alias("key"))
     titles = known.unionByName(parts.filter("kind = 'title'").select("book_id", F.col("a").alias("key"))).filter("length(key) > 1").distinct()
-    lines = parts.filter("kind = 'line' AND length(a) > 1")
+    lines, names = _with_pair(parts.filter("kind = 'line' AND length(a) > 1"))
     keys = lines.select("book_id", F.col("a").alias("key")).distinct()
     near = radius_join(keys, titles, ["book_id"]).filter("d = 0 OR length(lkey) >= 8 AND d <= 0.15 * length(lkey)").groupBy("book_id", F.col("lkey").alias("a")).agg(F.min("d").alias("d"))
     often = lines.groupBy("book_id", "a").agg(F.countDistinct("src", "row_id").alias("rows"))
-    told = cut(lines.join(often, ["book_id", "a"]).join(near, ["book_id", "a"], "left").withColumn("terminal", F.col("b").rlike(r"[.!?…。！？»”」,;:，；：]\s*$").cast("double")).withColumn("chars", F.length("a").cast("double")).withColumn("digits", F.col("b").rlike(r"\d").cast("double")))
-    features = ["x", "y", "z", "rows", "terminal", "chars", "digits"]
-    seeds = told.withColumn("label", F.when(F.col("d") == 0, 1).when(F.col("d").isNull() & ~F.col("x").isin(1.0, 3.0), 0)).filter("label IS NOT NULL")
-    n = max(seeds.count(), 1)
-    sample = seeds.filter(F.pmod(F.xxhash64("src", "row_id", "at"), F.lit(1 << 20)) < F.lit((1 << 20) * min(1.0, TRAIN / n))).select(*[F.col(f).cast("double") for f in features], "label").toPandas()
-    x = sample[features].to_numpy(float)
-    x[:, 3] = np.minimum(x[:, 3], 5)  # beyond a few repetitions more say nothing
-    model = boost.fit(x, sample.label.to_numpy(float))
+    told = lines.join(often, ["book_id", "a"]).join(near, ["book_id", "a"], "left").withColumns({
+        "near": F.col("d").isNotNull().cast("double"), "terminal": F.col("b").rlike(r"[.!?…。！？»”」,;:，；：]\s*$").cast("double"), "chars": F.length("a").cast("double"),
+        "often": F.least(F.col("rows"), F.lit(5)).cast("double"),  # beyond a few repetitions more say nothing
+    })
+    features = ["near", "x", "y", "z", "often", "terminal", "chars", *names]
+    told = cut(told.select("src", "row_id", "at", "d", *features))
+    lone = F.col("x").isin(1.0, 3.0)
+    seeds = told.withColumn("label", F.when(F.col("d") == 0, 1).when(F.col("d").isNull() & ~lone, 0)).filter("label IS NOT NULL")
+    sample = _drawn(seeds, features)
+    x, y = sample[features].to_numpy(float), sample.label.to_numpy(float)
+    blind = x[::2].copy()
+    blind[:, 0] = 0.0
+    model = boost.fit(np.vstack([x, blind]), np.concatenate([y, y[::2]]))
 
     @F.pandas_udf("double")
     def odds(*columns: pd.Series) -> pd.Series:
-        m = np.column_stack([c.to_numpy(float) for c in columns])
-        m[:, 3] = np.minimum(m[:, 3], 5)
-        return pd.Series(model.score(m))
+        return pd.Series(model.score(np.column_stack([c.to_numpy(float) for c in columns])))
 
-    lone = (F.col("x").isin(1.0, 3.0)) & (F.col("rows") > 1) & (F.col("terminal") == 0)
-    return told.withColumn("odds", odds(*features)).filter(F.col("d").isNotNull() | lone & (F.col("odds") > 0)).select("src", "row_id", "at").distinct()
+    return told.withColumn("odds", odds(*features)).filter("odds > 0 AND (near = 1 OR often > 1)").select("src", "row_id", "at").distinct()
 
 
 def whole_cuts(parts: DataFrame, running: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -345,7 +416,7 @@ def corrections(counts: DataFrame) -> DataFrame:
     pairs = pairs.withColumn("op_words", F.when(F.col("op_2").isNull(), F.col("op_words")).otherwise(F.least("op_words", F.coalesce("op_words_2", F.lit(1)))))
     pairs = pairs.filter((F.col("op_words") >= 3) | F.col("word").rlike(r"\p{L}\d|\d\p{L}")).select("word", "right", "n_right", "op_words")
     # the corpus's own confusions: operations between a rare and a frequent word that many words share
-    operations = {r.op: r.op_words for r in spread.filter("op_words >= 3").orderBy(F.desc("op_words"), "op").limit(400).toLocalIterator()}
+    operations = {r.op: r.op_words for r in spread.filter("op_words >= 3").orderBy(F.desc("op_words"), "op").limit(CONFUSIONS).toLocalIterator()}
     n = max(rare.filter(F.col("n") >= FREQUENT).count(), 1)
     vocabulary = [r.word for r in rare.filter(F.col("n") >= FREQUENT).filter(F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < F.lit((1 << 20) * min(1.0, TRAIN / n))).orderBy("word").toLocalIterator()]
     model = _ranker(vocabulary, operations)
@@ -461,9 +532,9 @@ def _ranker(vocabulary: list[str], operations: dict[str, int]) -> boost.Boosted:
 
 
 def find_noise(table: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(numbers, headers, cuts, misread (src, row_id, at, word, right), parts) of the fields of ``fields``."""
+    """(page numbers, headers, cuts, misread (src, row_id, at, word, right), parts) of the fields of ``fields``."""
     parts = analyse(table)
-    numbers = parts.filter("kind = 'number'").select("src", "row_id", "at").distinct()
+    paged = cut(numbers(parts))
     running = cut(headers(parts, books))
     ends, halves = whole_cuts(parts, running)
     body = parts.filter("kind = 'word'").join(running, ["src", "row_id", "at"], "left_anti").select("src", "row_id", "at", F.col("a").alias("word"), F.col("x").cast("int").alias("k")).unionByName(halves)
@@ -473,13 +544,13 @@ def find_noise(table: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame
     counts = cut(whole.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     wrong = cut(corrections(counts))
     misread = whole.join(wrong, "word").select("src", "row_id", "at", "word", "right").distinct()
-    return numbers, running, cuts, misread, parts
+    return paged, running, cuts, misread, parts
 
 
 def noise(table: DataFrame, books: DataFrame) -> DataFrame:
     """``(src, row_id, noise)``: a row per field and kind of noise in it."""
-    numbers, running, cuts, misread, _ = find_noise(table, books)
-    named = [(numbers, "page_number"), (running, "header"), (cuts, "hyphen"), (misread, "misread")]
+    paged, running, cuts, misread, _ = find_noise(table, books)
+    named = [(paged, "page_number"), (running, "header"), (cuts, "hyphen"), (misread, "misread")]
     out = None
     for rows, name in named:
         part = rows.select("src", "row_id", F.lit(name).alias("noise")).distinct()
@@ -489,8 +560,8 @@ def noise(table: DataFrame, books: DataFrame) -> DataFrame:
 
 def paragraphs(table: DataFrame, books: DataFrame) -> DataFrame:
     """``(src, row_id, text)``: each field as continuous paragraphs, without furniture, words joined and corrected."""
-    numbers, running, cuts, misread, _ = find_noise(table, books)
-    drop = running.unionByName(numbers).groupBy("src", "row_id").agg(F.collect_set("at").alias("drop"))
+    paged, running, cuts, misread, _ = find_noise(table, books)
+    drop = running.unionByName(paged).groupBy("src", "row_id").agg(F.collect_set("at").alias("drop"))
     join = cuts.groupBy("src", "row_id").agg(F.collect_set("at").alias("join"))
     fix = misread.groupBy("src", "row_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("word", "right")))).alias("fix"))
     # furniture beside a number is one line, so what is dropped is dropped whole
