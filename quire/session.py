@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop)
-    a folder of this machine is used, which is then the only machine there is.
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset and the master is local (tests, a laptop)
+    a folder of this machine is used, which is then the only machine there is. On a cluster without it this is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "path string, format string, chapter_index int, chapter_title string, para_index int, raw_text string, error string"
@@ -158,15 +158,60 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("book_title", F.col("c.chapter_index").alias("chapter_index"), F.col("c.chapter_title").alias("chapter_title"), F.inline("c.chunks"))
 
 
+#: Folders that the chapters of all books share, by a hash of the book; a folder per book would be millions of them.
+FOLDERS = 256
+
+
+def chapter_texts(paragraphs: DataFrame) -> DataFrame:
+    """(book_id, chapter_index, text): the paragraphs (book_id, chapter_index, para_index, text) of each chapter, in order."""
+    parts = paragraphs.filter("text IS NOT NULL").groupBy("book_id", "chapter_index").agg(F.sort_array(F.collect_list(F.struct("para_index", "text"))).alias("p"))
+    return parts.select("book_id", "chapter_index", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"))
+
+
 def write_texts(paragraphs: DataFrame, path: str) -> None:
-    """One text per chapter, in order, partitioned by book and chapter."""
-    parts = paragraphs.groupBy("book_id", "chapter_index").agg(F.sort_array(F.collect_list(F.struct("para_index", "text"))).alias("p"))
-    text = F.array_join(F.transform("p", lambda x: x["text"]), "\n\n")
-    parts.select("book_id", "chapter_index", text.alias("value")).write.mode("overwrite").partitionBy("book_id", "chapter_index").text(path)
+    """The text of each chapter as a JSON line of (book_id, chapter_index, text), in ``FOLDERS`` folders by book."""
+    rows = chapter_texts(paragraphs).withColumn("folder", F.pmod(F.xxhash64("book_id"), F.lit(FOLDERS)).cast("int"))
+    rows.repartition("folder").write.mode("overwrite").partitionBy("folder").json(path)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_texts`` wrote: (book_id, chapter_index, text)."""
+    return spark.read.schema("book_id bigint, chapter_index int, text string, folder int").json(path).drop("folder")
+
+
+_CHAPTER_FILE = r"([0-9]{3})_chapter_([0-9]+)\.txt$"
+
+
+def read_chapter_directory(spark: SparkSession, path: str) -> DataFrame:
+    """(path, chapter_index, para_index, raw_text) of files ``NNN_chapter_NN.txt`` of a folder, in their order; other files are no chapters."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*_chapter_*.txt").load(path).filter(F.col("path").rlike(_CHAPTER_FILE))
+    text = rows.select("path", (F.regexp_extract("path", _CHAPTER_FILE, 1).cast("int")).alias("chapter_index"), F.decode("content", "UTF-8").alias("_t"))
+    blocks = text.select("path", "chapter_index", F.posexplode(F.split("_t", r"\n[ \t]*\n+")).alias("para_index", "raw_text"))
+    return blocks.withColumn("raw_text", F.regexp_replace("raw_text", r"^\s+|\s+$", "")).filter("raw_text <> ''")
+
+
+def without_front_matter(paragraphs: DataFrame) -> DataFrame:
+    """Paragraphs (path, pos, raw_text) without what stands before the book begins.
+
+    Where a heading is met again, everything before the earliest second occurrence goes, if that part has three headings or more, or a
+    mark of a contents list or annotation among its first ten paragraphs. Books of fewer than six paragraphs stay whole.
+    """
+    from pyspark.sql import Window
+
+    from quire.operators import structure
+
+    key = F.lower(F.regexp_replace("raw_text", r"\s+", " "))
+    heads = paragraphs.filter(structure.is_heading(F.col("raw_text"))).select("path", "pos", key.alias("_key"))
+    again = heads.withColumn("_n", F.row_number().over(Window.partitionBy("path", "_key").orderBy("pos"))).filter("_n = 2").groupBy("path").agg(F.min("pos").alias("_cut"))
+    before = heads.join(again, "path").filter("pos < _cut").groupBy("path").agg(F.count(F.lit(1)).alias("_heads"))
+    first = Window.partitionBy("path").orderBy("pos")
+    facts = paragraphs.withColumn("_n", F.row_number().over(first)).groupBy("path").agg(F.count(F.lit(1)).alias("_all"), F.max((F.col("_n") <= 10) & F.col("raw_text").rlike(r"(?iu)^\s*(?:оглавление|содержание|аннотация|contents|annotation)\s*$")).alias("_mark"))
+    cut = again.join(before, "path", "left").join(facts, "path").filter("_all >= 6 AND (_heads >= 3 OR _mark)").select("path", "_cut")
+    return paragraphs.join(cut, "path", "left").filter("_cut IS NULL OR pos >= _cut").drop("_cut")
 
 
 def write_manifest(nested: DataFrame, path: str) -> None:
-    """Nested books as JSON lines, committed as a whole."""
+    """Nested chapters (see ``manifest.nest``) as JSON lines, committed as a whole."""
     nested.write.mode("overwrite").json(path)
 
 
@@ -174,3 +219,56 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256, bytes) of all files under a path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+
+
+def read_nested(spark: SparkSession, path: str, chunks: DataFrame) -> DataFrame:
+    """What ``write_manifest`` wrote of the nested chapters of ``chunks``, with their types."""
+    from quire.operators.manifest import nest
+
+    return spark.read.schema(nest(chunks.limit(0)).schema).json(path)
+
+
+def spoken_text(paragraphs: DataFrame, stress: str = "plain") -> DataFrame:
+    """(book_id, chapter_index, text) for speech: normalised texts if the book has any, the stress written as asked (see ``stress.rendered``).
+
+    ``paragraphs``: (book_id, chapter_index, para_index, text, normalized). Once a paragraph of a book is normalised, the others are left out.
+    """
+    from quire.operators.stress import rendered
+
+    some = paragraphs.groupBy("book_id").agg(F.max(F.coalesce(F.col("normalized") != "", F.lit(False))).alias("_some"))
+    rows = paragraphs.join(some, "book_id").withColumn("text", rendered(F.when(F.col("_some"), F.col("normalized")).otherwise(F.col("text")), stress)).filter("text <> ''")
+    return chapter_texts(rows)
+
+
+def book_structure(paragraphs: DataFrame, preview: int = 120) -> DataFrame:
+    """(book_id, chapter_index, paragraphs, chars, previews): the structure of a book for a report, with the beginning of each paragraph."""
+    from quire.functions.normalize import truncate
+
+    rows = paragraphs.filter("text IS NOT NULL").withColumn("_p", truncate(F.col("text"), preview + 1))
+    return rows.groupBy("book_id", "chapter_index").agg(F.count(F.lit(1)).alias("paragraphs"), F.sum(F.length("text")).alias("chars"), F.sort_array(F.collect_list(F.struct("para_index", F.col("_p").alias("preview")))).alias("previews"))
+
+
+def verification(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(book_id, artifact, value): what a run did to each book (book_id, text): counts before and after, their difference, and suspicious changes."""
+    from quire.operators.review import suspicious_changes
+
+    s = suspicious_changes(before, after)
+    names = [c for c in s.columns if c != "book_id"]
+    return s.select("book_id", F.inline(F.array(*[F.struct(F.lit(n).alias("artifact"), F.col(n).cast("string").alias("value")) for n in names])))
+
+
+def append_log(events: DataFrame, path: str) -> None:
+    """Events (stage, status, details, at) of a run appended as JSON lines; what is there stays."""
+    events.write.mode("append").json(path)
+
+
+def log_counters(spark: SparkSession, path: str) -> DataFrame:
+    """(stage, status, n, seconds) of a log: how often, and from the first to the last event."""
+    rows = spark.read.schema("stage string, status string, details string, at timestamp").json(path)
+    return rows.groupBy("stage", "status").agg(F.count(F.lit(1)).alias("n"), (F.unix_timestamp(F.max("at")) - F.unix_timestamp(F.min("at"))).alias("seconds"))
+
+
+def run_id(output: Column, manifest: Column, parameters: Column) -> Column:
+    """A stable id of a run: a UUID of the first 32 hex digits of the hash of what it reads, writes and is told."""
+    h = F.sha2(F.to_json(F.struct(manifest.alias("manifest"), output.alias("output_dir"), parameters.alias("parameters"))), 256)
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))

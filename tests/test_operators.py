@@ -19,6 +19,9 @@ def test_manifest(spark):
     c = chunks(spark)
     assert {r.row_id: r.chunk_index for r in manifest.renumber(c).collect()} == {1: 0, 2: 1, 3: 2, 4: 0}
     t = {r.row_id: (r.pause_before_ms, r.start_ms) for r in manifest.timeline(c, F.lit(10)).collect()}
+    assert t == {1: (0, 0)}
+    spoken = c.withColumn("synthesized", F.lit(True)).withColumn("audio_file", F.lit("f"))
+    t = {r.row_id: (r.pause_before_ms, r.start_ms) for r in manifest.timeline(spoken, F.lit(10)).collect()}
     assert t == {1: (0, 0), 2: (300, 310), 3: (900, 1220), 4: (0, 0)}
     assert sorted(r.row_id for r in manifest.flatten(manifest.nest(c)).collect()) == [1, 2, 3, 4]
     halves = manifest.split_at(c, spark.createDataFrame([(4, 5)], "row_id bigint, split_at int")).filter("chapter_index = 1").orderBy("chunk_index").collect()
@@ -39,7 +42,7 @@ def test_dialogue(spark):
 
 
 def test_structure(spark):
-    lines = [("Глава 3", "chapter_numeric"), ("Chapter IV", "chapter_en"), ("第三章", "chapter_zh"), ("Bob 2", "chapter_uz"), ("Глава о другом", None), ("", None)]
+    lines = [("Глава 3", "chapter_numeric"), ("ГЛАВА двадцать первая", "chapter_word"), ("Chapter twelve", "chapter_en"), ("Тарау бірінші", "chapter_kk"), ("Chapter IV", "chapter_en"), ("第三章", "chapter_zh"), ("Bob 2", "chapter_uz"), ("Глава о другом", None), ("", None)]
     got = spark.createDataFrame([(x,) for x, _ in lines], "l string").select(structure.chapter_kind(F.col("l")).alias("k")).collect()
     assert [g.k for g in got] == [k for _, k in lines]
 
