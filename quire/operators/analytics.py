@@ -74,35 +74,40 @@ def scenes(chunks: DataFrame) -> DataFrame:
     return per.groupBy("book_id", "chapter_index", "scene").agg(F.sum("n").alias("chunks"), F.min_by("tension", F.struct(-F.col("n"), F.col("first"))).alias("dominant_tension"))
 
 
-def production_qa(chunks: DataFrame) -> DataFrame:
-    """Score of every chunk that is not deleted: 100 less penalties, with the issues found.
+#: Scores that pass; the longest pause and the shortest one between two speakers, in milliseconds.
+PASS_SCORE, LONGEST_MS, HANDOFF_MS = 82, 3500, 350
 
-    Issues: no text, no audio, a failed synthesis, a failed or doubtful check, rejected audio, a low
-    confidence of the character, an over-long text.
+
+def production_qa(chunks: DataFrame, checks: tuple[tuple[str, str, int], ...] = (("qa_status", "artifact_qa", 38),)) -> DataFrame:
+    """Score of every chunk that is not deleted: 100 less penalties, with the issues found and a status.
+
+    ``checks``: (column with the status of a check, its name, the penalty if it failed). A check that failed or audio that is missing asks for
+    a new synthesis whatever the score; else the score decides. The next chunk, whose speaker matters for the pause, is taken
+    before deleted ones are left out.
     """
-    text = F.coalesce(F.trim("text"), F.lit(""))
-    rules = [
-        ("missing_text", text == "", 60),
-        ("missing_audio", F.coalesce("audio_file", F.lit("")) == "", 40),
-        ("failed", F.coalesce("failed", F.lit(False)), 45),
-        ("qa_failed", F.coalesce("qa_status", F.lit("")) == "failed", 50),
-        ("qa_warning", F.coalesce("qa_status", F.lit("")) == "warning", 15),
-        ("rejected_audio", F.size(F.coalesce("rejected_audio_files", F.array().cast("array<string>"))) > 0, 10),
-        ("low_confidence", (F.coalesce(F.trim("speaker"), F.lit("")) != "") & (F.coalesce("character_confidence", F.lit(1.0)) < 0.35), 8),
-        ("long_text", F.length(text) > 900, 12),
-    ]
-    issues = F.filter(F.array(*[F.when(cond, F.struct(F.lit(name).alias("kind"), F.lit(penalty).alias("penalty"))) for name, cond, penalty in rules]), lambda x: x.isNotNull())
-    rows = chunks.filter(~F.coalesce("deleted", F.lit(False))).withColumn("issues", issues)
-    score = F.greatest(F.lit(0), F.lit(100) - F.aggregate("issues", F.lit(0), lambda a, x: a + x["penalty"]))
-    status = F.when(F.col("score") < 50, "failed").when(F.col("score") < 85, "warning").otherwise("passed")
-    return rows.withColumn("score", score).withColumn("status", status).select("book_id", "chapter_index", "chunk_index", "row_id", "score", "status", F.transform("issues", lambda x: x["kind"]).alias("issues"))
+    w = Window.partitionBy("book_id", "chapter_index").orderBy("chunk_index", "row_id")
+    speaker = F.lower(F.trim(F.coalesce(F.nullif(F.trim("speaker"), F.lit("")), F.nullif(F.trim("voice_label"), F.lit("")), F.lit(""))))
+    pause = F.coalesce("pause_after_ms", F.lit(0))
+    rows = chunks.withColumns({"_key": speaker}).withColumn("_next", F.lead("_key").over(w)).filter(~F.coalesce("deleted", F.lit(False)))
+    rules = [("not_synthesized", ~F.coalesce("synthesized", F.lit(False)), 60, True)]
+    for column, name, penalty in checks:
+        status = F.lower(F.trim(F.coalesce(column, F.lit(""))))
+        rules += [(f"{name}_missing", F.col(column).isNull(), 8, False), (f"{name}_failed", status.isin("failed", "error"), penalty, True), (f"{name}_warning", status == "warning", 18, False), (f"{name}_unchecked", ~status.isin("", "failed", "error", "warning", "passed"), 10, False)]
+    rules += [("pause_too_long", pause > LONGEST_MS, 8, False), ("speaker_handoff_pause_short", F.col("_next").isNotNull() & (F.col("_next") != F.col("_key")) & (pause < HANDOFF_MS), 8, False)]
+    found = F.filter(F.array(*[F.when(cond, F.struct(F.lit(name).alias("kind"), F.lit(penalty).alias("penalty"), F.lit(severe).alias("severe"))) for name, cond, penalty, severe in rules]), lambda x: x.isNotNull())
+    rows = rows.withColumn("_i", found).withColumn("score", F.greatest(F.lit(0), F.lit(100) - F.aggregate("_i", F.lit(0), lambda a, x: a + x["penalty"])))
+    status = F.when(F.exists("_i", lambda x: x["severe"]), "resynthesize").when(F.col("score") >= PASS_SCORE, "passed").otherwise("review")
+    return rows.select("book_id", "chapter_index", "chunk_index", "row_id", "score", status.alias("status"), F.transform("_i", lambda x: x["kind"]).alias("issues"))
 
 
 def book_stats(paragraphs: DataFrame) -> DataFrame:
-    """Counts per book over (book_id, text): paragraphs, characters, words and marks; null texts are no paragraphs."""
+    """Counts per book over (book_id, chapter_index, text): chapters, headings, paragraphs, characters, words and marks; null texts are no paragraphs."""
+    from quire.operators.structure import is_heading
+
     t = paragraphs.filter("text IS NOT NULL")
+    heading = is_heading(F.regexp_extract("text", r"^\s*([^\n]*)", 1))
     count = lambda p: F.sum(F.length("text") - F.length(F.translate("text", p, "")))
     return t.groupBy("book_id").agg(
-        F.count(F.lit(1)).alias("paragraphs"), F.sum(F.length("text")).alias("chars"), F.sum(F.size(F.filter(F.split("text", r"[ \t\n\r]+"), lambda w: w != ""))).alias("words"),
+        F.countDistinct("chapter_index").alias("chapters"), F.count_if(heading).alias("headings"), F.count(F.lit(1)).alias("paragraphs"), F.sum(F.length("text")).alias("chars"), F.sum(F.size(F.filter(F.split("text", r"[ \t\n\r]+"), lambda w: w != ""))).alias("words"),
         count("!").alias("exclamations"), count("?").alias("questions"), count("…").alias("ellipses"), count("—").alias("dashes"), count("�").alias("replacements"), F.median(F.length("text")).alias("median_chars"),
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import metrics, normalize
 from quire.operators import analytics, dialogue, manifest, review, structure
-from quire.plans.registry import TEXTS, query, texts
+from quire.plans.registry import ORACLES, TEXTS, query, texts
 from quire.sources.tables import table
 from quire.streaming import events
 
@@ -255,11 +255,6 @@ def a1_role_inventory(spark: SparkSession, d: str) -> DataFrame:
     return analytics.role_inventory(_chunks(spark, d))
 
 
-@query()
-def a5_scenes(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.scenes(_chunks(spark, d))
-
-
 _FORMAL = "('chapter_title', 'preface', 'epilogue', 'annotation')"
 
 
@@ -278,21 +273,29 @@ def a5_director(spark: SparkSession, d: str) -> DataFrame:
     return analytics.director_rows(_chunks(spark, d))
 
 
+@query(f"""
+WITH d AS ({ORACLES['a5_director']}), p AS (SELECT book_id, chapter_index, scene, tension, count(*) AS n, min((chunk_index, row_id)) AS first FROM d GROUP BY ALL)
+SELECT book_id, chapter_index, scene, CAST(sum(n) AS BIGINT) AS chunks, arg_min(tension, (-n, first)) AS dominant_tension FROM p GROUP BY ALL""")
+def a5_scenes(spark: SparkSession, d: str) -> DataFrame:
+    """Scenes of each chapter and their dominant tension."""
+    return analytics.scenes(_chunks(spark, d))
+
+
 @query("""
-SELECT row_id, score, CASE WHEN score < 50 THEN 'failed' WHEN score < 85 THEN 'warning' ELSE 'passed' END AS status FROM (SELECT row_id, greatest(0, 100
- - CASE WHEN trim(coalesce(text, '')) = '' THEN 60 ELSE 0 END - CASE WHEN coalesce(audio_file, '') = '' THEN 40 ELSE 0 END - CASE WHEN coalesce(failed, false) THEN 45 ELSE 0 END
- - CASE WHEN qa_status = 'failed' THEN 50 ELSE 0 END - CASE WHEN qa_status = 'warning' THEN 15 ELSE 0 END - CASE WHEN coalesce(len(rejected_audio_files), 0) > 0 THEN 10 ELSE 0 END
- - CASE WHEN trim(coalesce(speaker, '')) <> '' AND coalesce(character_confidence, 1.0) < 0.35 THEN 8 ELSE 0 END - CASE WHEN length(trim(coalesce(text, ''))) > 900 THEN 12 ELSE 0 END) AS score FROM manifest_chunks WHERE NOT coalesce(deleted, false))""")
+SELECT row_id, score, CASE WHEN severe THEN 'resynthesize' WHEN score >= 82 THEN 'passed' ELSE 'review' END AS status FROM (SELECT row_id, NOT coalesce(synthesized, false) OR s IN ('failed', 'error') AS severe, greatest(0, 100
+ - CASE WHEN NOT coalesce(synthesized, false) THEN 60 ELSE 0 END - CASE WHEN qa_status IS NULL THEN 8 WHEN s IN ('failed', 'error') THEN 38 WHEN s = 'warning' THEN 18 WHEN s NOT IN ('', 'passed') THEN 10 ELSE 0 END
+ - CASE WHEN coalesce(pause_after_ms, 0) > 3500 THEN 8 ELSE 0 END - CASE WHEN nk IS NOT NULL AND nk <> k AND coalesce(pause_after_ms, 0) < 350 THEN 8 ELSE 0 END) AS score
+ FROM (SELECT *, lead(k) OVER (PARTITION BY book_id, chapter_index ORDER BY chunk_index, row_id) AS nk FROM (SELECT *, lower(trim(coalesce(qa_status, ''), ' ')) AS s, lower(trim(coalesce(nullif(trim(speaker, ' '), ''), nullif(trim(voice_label, ' '), ''), ''), ' ')) AS k FROM manifest_chunks)) WHERE NOT coalesce(deleted, false))""")
 def a6_production_qa(spark: SparkSession, d: str) -> DataFrame:
     return analytics.production_qa(_chunks(spark, d)).select("row_id", "score", "status")
 
 
 @query(r"""
-SELECT book_id, count(*) AS paragraphs, sum(length(text))::BIGINT AS chars, sum(len(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '')))::BIGINT AS words, sum(length(text) - length(replace(text, '!', '')))::BIGINT AS exclamations,
+SELECT book_id, count(DISTINCT chapter_index) AS chapters, count(*) FILTER (_HEADING_) AS headings, count(*) AS paragraphs, sum(length(text))::BIGINT AS chars, sum(len(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '')))::BIGINT AS words, sum(length(text) - length(replace(text, '!', '')))::BIGINT AS exclamations,
  sum(length(text) - length(replace(text, '?', '')))::BIGINT AS questions, sum(length(text) - length(replace(text, '…', '')))::BIGINT AS ellipses, sum(length(text) - length(replace(text, '—', '')))::BIGINT AS dashes, sum(length(text) - length(replace(text, chr(65533), '')))::BIGINT AS replacements, median(length(text))::DOUBLE AS median_chars
-FROM manifest_chunks WHERE text IS NOT NULL GROUP BY book_id""")
+FROM (SELECT *, regexp_extract(text, '^\s*([^\n]*)', 1) AS line FROM manifest_chunks WHERE text IS NOT NULL) GROUP BY book_id""".replace("_HEADING_", structure.kind_sql("line", (*structure.CHAPTER_PATTERNS, *structure.WORK_PATTERNS)) + " IS NOT NULL"))
 def a7_book_stats(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.book_stats(_chunks(spark, d).select("book_id", "text"))
+    return analytics.book_stats(_chunks(spark, d).select("book_id", "chapter_index", "text"))
 
 
 @query("""

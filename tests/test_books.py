@@ -304,3 +304,11 @@ def test_front_matter(spark):
     df = spark.createDataFrame([("a", i, t) for i, t in enumerate(body)] + [("b", i, t) for i, t in enumerate(body[:5])], "path string, pos int, raw_text string")
     got = [(r.path, r.pos) for r in loaders.without_front_matter(df).orderBy("path", "pos").collect()]
     assert got == [("a", i) for i in range(3, 7)] + [("b", i) for i in range(5)]
+
+
+def test_production_quality(spark):
+    from quire.operators import analytics
+
+    rows = [(1, 1, 0, 0, "men", "", "a", "x", "", 400, True, None, "passed"), (2, 1, 0, 1, "men", "", "b", "x", "", 100, True, False, "warning"), (3, 1, 0, 2, "men", "", "c", "x", "", 0, None, False, None), (4, 1, 0, 3, "men", "", "c", "x", "", 0, True, True, "passed")]
+    df = spark.createDataFrame(rows, C + ", synthesized boolean, deleted boolean, qa_status string")
+    assert {r.row_id: (r.score, r.status) for r in analytics.production_qa(df).collect()} == {1: (100, "passed"), 2: (74, "review"), 3: (32, "resynthesize")}
