@@ -15,8 +15,7 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType
 
 from quire.llm import boost
 from quire.llm.names import radius_join
@@ -49,12 +49,24 @@ _NUMBER = regex.compile(r"^[\s\-–—·•*\[\](){}|~.]*(?:(?:стр|с|page|p|
 _BESIDE = regex.compile(r"^(.*?\S)\s{2,}(\S.{0,9}?)\s*$|^\s*(\S.{0,9}?)\s{2,}(\S.*?)\s*$")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[ʻʼ'’`‘-][\p{L}\p{M}\p{N}]+)*ʻ?")
 _HAN = regex.compile(r"\p{Han}+")
-_TERMINAL = regex.compile(r"[.!?…。！？»”’\"'」,;:，；：、]\s*$")
+_TERMINAL = frozenset(".!?…。！？»”’\"'」,;:，；：、")
 _CUT = regex.compile(rf"([\p{{L}}\p{{M}}ʻʼ'’-]*[\p{{L}}ʻʼ])([{re.escape(CUT_MARKS)}])[ \t\f]*$")
 _RIGHT = regex.compile(r"^[ \t\f]*([\p{Ll}][\p{Ll}\p{M}ʻʼ'’]*(?:-[\p{L}]+)*)")
 _FIELDS = "src string, row_id bigint, book_id bigint"
 
 
+def _closed(text: str) -> bool:
+    """Whether a line ends with a mark."""
+    end = text.rstrip()
+    return bool(end) and end[-1] in _TERMINAL
+
+
+def _cut_of(line: str) -> regex.Match | None:
+    """The word and the mark at a line's end where the word may be cut."""
+    end = line.rstrip(" \t\f")
+    return _CUT.search(line, max(0, len(end) - 400)) if end and end[-1] in CUT_MARKS else None
+
+
 def skeleton(line: str) -> str:
     """A line for comparison: small letters and digits only, look-alikes and usual confusions made one."""
     return "".join(c for c in line.casefold().translate(_LIKE) if c.isalnum())
@@ -98,17 +110,23 @@ def fields(pages: DataFrame, variants: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).filter("size(blocks) > 0")
 
 
+_TURN = str.maketrans(dict.fromkeys("`´‘’ʼ'", "ʻ"))
+
+
 def _words(text: str) -> Iterator[str]:
     """The words of a text as they are counted: small letters, and three characters at a time of scripts without words."""
+    wide = False
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    for w in _WORD.findall(text):
-        if len(w) > 2 and not w.isdigit() and not regex.match(r"\p{Han}", w):
-            yield regex.sub("[`´‘’ʼ']", "ʻ", w.lower())
-    for run in _HAN.findall(text):
-        run = f"^{run}$"  # so that every character is in the middle once
-        for q in range(len(run) - 2):
-            yield run[q : q + 3]
+        wide = bool(text) and max(text) >= "\u2e80"
+    for w in _WORD.findall(text.lower()):
+        if len(w) > 2 and not w.isdigit() and not (wide and _HAN.match(w)):
+            yield w if w.isalpha() else w.translate(_TURN)
+    if wide:
+        for run in _HAN.findall(text):
+            run = f"^{run}$"  # so that every character is in the middle once
+            for q in range(len(run) - 2):
+                yield run[q : q + 3]
 
 
 #: What a line and its neighbours tell: see ``pair_features``.
@@ -118,7 +136,7 @@ PAIR = 9
 def pair_features(before: str, line: str, after: str, first: bool, last: bool, page_edge: bool) -> list[float]:
     """A line against the lines above and below it: whether the text above goes on below it, how long they are, how it is set."""
     above, below = before.rstrip(), after.lstrip()
-    open_above = float(bool(above) and not _TERMINAL.search(above))
+    open_above = float(bool(above) and not _closed(above))
     goes_on = float(bool(regex.match(r"\p{Ll}|\p{Han}", below)))
     letters = sum(c.isalpha() for c in line)
     return [
@@ -135,12 +153,11 @@ def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = rows_of_lines(blocks)
             n_blocks = len(blocks)
             after_heading = False
-            words: Counter = Counter()
             # what each line is to a word cut above it: "" passed over, "line" passed over if it is a header, "stop" neither
             state = ["stop"] * len(lines)
 
-            def emit(kind: str, at: int, a: str = "", b: str = "", x: float = 0.0, y: float = 0.0, z: float = 0.0, pair: list[float] | None = None) -> None:
-                rows.append((src, row_id, book, kind, at, a, b, x, y, z, pair))
+            def emit(kind: str, at: int, a: str = "", b: str = "", x: float = 0.0, y: float = 0.0, z: float = 0.0, pair: list[float] | None = None, words: list[str] | None = None) -> None:
+                rows.append((src, row_id, book, kind, at, a, b, x, y, z, pair, words))
 
             full = [k for k, x in enumerate(lines) if x[3].strip()]
             place = {k: n for n, k in enumerate(full)}
@@ -164,7 +181,7 @@ def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 if after_heading:
                     after_heading = False
-                    if not _TERMINAL.search(bare):
+                    if not _closed(bare):
                         emit("title", k, skeleton(bare), bare)
                         continue
                 if edge or src.startswith("pdf_text"):
@@ -191,7 +208,7 @@ def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                 rest = left.group(2)
                         if rest != bare:
                             state[k] = ""
-                    if len(rest) <= 90 and (not _TERMINAL.search(rest) or rest != bare or rest.isupper()):
+                    if len(rest) <= 90 and (not _closed(rest) or rest != bare or rest.isupper()):
                         letters = [c for c in rest if c.isalpha()]
                         upper = sum(c.isupper() for c in letters) / max(len(letters), 1)
                         alone = float(n == 1)
@@ -205,7 +222,7 @@ def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in spoken:
                 line = lines[k][3]
                 body = line
-                m = None if _NO_JOIN.search(line) else _CUT.search(line)
+                m = None if (m := _cut_of(line)) and _NO_JOIN.search(line) else m
                 passed: list[int] = []
                 ends = []
                 for t in range(k + 1, len(lines) if m else 0):
@@ -213,7 +230,7 @@ def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if state[t] and (r := _RIGHT.match(follow)):
                         emit("cut", k, "\t".join((m.group(1), r.group(1), " ".join(map(str, passed)))), m.group(2), float(t))
                         ends.append((t, r))
-                    if state[t] == "stop" or _CUT.search(follow):
+                    if state[t] == "stop" or _cut_of(follow):
                         break
                     if state[t] == "line":
                         passed.append(t)
@@ -226,18 +243,15 @@ def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         heads[t] = r.end()
                         for w in _words(r.group(1)):
                             emit("half", t, w, "", float(k), float(t))
-                body = body[heads.get(k, 0) :]
-                for w in _words(body):
-                    words[(k, w)] += 1
-            for (k, w), c in words.items():
-                emit("word", k, w, "", float(c))
-        names = ["src", "row_id", "book_id", "kind", "at", "a", "b", "x", "y", "z", "pair"]
-        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.float64())]
+                if words := list(_words(body[heads.get(k, 0) :])):
+                    emit("words", k, words=words)
+        names = ["src", "row_id", "book_id", "kind", "at", "a", "b", "x", "y", "z", "pair", "words"]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.string())]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
 _NO_JOIN = regex.compile(r"\s[-–—(]\s*$")
-_PARTS = f"{_FIELDS}, kind string, at int, a string, b string, x double, y double, z double, pair array<double>"
+_PARTS = f"{_FIELDS}, kind string, at int, a string, b string, x double, y double, z double, pair array<double>, words array<string>"
 
 
 def analyse(table: DataFrame) -> DataFrame:
@@ -286,7 +300,7 @@ def headers(parts: DataFrame, books: DataFrame) -> DataFrame:
     Titles are found by an exact radius join; that a line is near one is a feature, hidden in half of the seeds. A line that is
     near none must repeat in other fields.
     """
-    clean = F.udf(skeleton, "string")
+    clean = _vector(skeleton, StringType())
     known = books.select("book_id", F.explode(F.array("book_title", "author", F.concat_ws(". ", "author", "book_title"), F.concat_ws(" ", "book_title", "author"))).alias("t")).filter("t IS NOT NULL AND t <> ''").select("book_id", clean("t").alias("key"))
     titles = known.unionByName(parts.filter("kind = 'title'").select("book_id", F.col("a").alias("key"))).filter("length(key) > 1").distinct()
     lines, names = _with_pair(parts.filter("kind = 'line' AND length(a) > 1"))
@@ -384,12 +398,14 @@ def single_operations(right: str, wrong: str) -> list[str]:
     return [op] if len(op) <= 4 and not op.startswith(">") and not op.endswith(">") else []
 
 
-_LATIN, _CYRILLIC = regex.compile(r"[\p{Latin}]"), regex.compile(r"[\p{Cyrillic}]")
+def _vector(f: Callable, kind: DataType) -> Callable:
+    """A function of texts over Arrow batches; a null gives null."""
 
+    @F.pandas_udf(kind)
+    def run(*columns: pd.Series) -> pd.Series:
+        return pd.Series([f(*row) if None not in row else None for row in zip(*columns)], dtype=object)
 
-def _readable(word: str) -> bool:
-    """Words of one script; mixed ones are another problem's."""
-    return not (_LATIN.search(word) and _CYRILLIC.search(word)) and not regex.search(r"[\p{Greek}\p{Cf}]", word)
+    return run
 
 
 def corrections(counts: DataFrame) -> DataFrame:
@@ -407,9 +423,10 @@ def corrections(counts: DataFrame) -> DataFrame:
     right = prefix.filter(F.col("n") >= FREQUENT).select(F.col("word").alias("right"), F.col("n").alias("n_right"), "g", F.length("word").alias("lr"))
     found = left.join(right, "g").filter((F.abs(F.col("lw") - F.col("lr")) <= 1) & (F.col("n_right") >= RATIO * F.col("n_word")) & (F.col("word") != F.col("right")))
     pairs = found.select("word", "right", "n_word", "n_right").distinct().filter(F.levenshtein("word", "right", DISTANCE) > 0)
-    operation = F.udf(single_operations, "array<string>")
-    fine = F.udf(_readable, "boolean")
-    pairs = cut(pairs.filter(fine("word")).withColumn("ops", operation("right", "word")).filter(F.size("ops") > 0))
+    operation = _vector(single_operations, ArrayType(StringType()))
+    # words of one script; mixed ones are another problem's
+    mixed = F.col("word").rlike(r"\p{IsLatin}") & F.col("word").rlike(r"\p{IsCyrillic}") | F.col("word").rlike(r"[\p{IsGreek}\p{Cf}]")
+    pairs = cut(pairs.filter(~mixed).withColumn("ops", operation("right", "word")).filter(F.size("ops") > 0))
     spread = cut(pairs.filter(F.size("ops") == 1).groupBy(F.col("ops")[0].alias("op")).agg(F.countDistinct("right").alias("op_words")))
     # every operation of a word needs its own support; the weakest counts
     pairs = pairs.withColumns({"op": F.col("ops")[0], "op_2": F.get("ops", F.lit(1))}).join(spread, "op").join(spread.select(F.col("op").alias("op_2"), F.col("op_words").alias("op_words_2")), "op_2", "left")
@@ -537,10 +554,11 @@ def find_noise(table: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame
     paged = cut(numbers(parts))
     running = cut(headers(parts, books))
     ends, halves = whole_cuts(parts, running)
-    body = parts.filter("kind = 'word'").join(running, ["src", "row_id", "at"], "left_anti").select("src", "row_id", "at", F.col("a").alias("word"), F.col("x").cast("int").alias("k")).unionByName(halves)
-    counts = cut(body.groupBy("word").agg(F.sum("k").alias("n")))
+    body = parts.filter("kind = 'words'").select("src", "row_id", "at", "words").join(running, ["src", "row_id", "at"], "left_anti")
+    counts = cut(body.select(F.explode("words").alias("word"), F.lit(1).alias("k")).unionByName(halves.select("word", "k")).groupBy("word").agg(F.sum("k").alias("n")))
     cuts = cut(cut_words(ends, counts))
-    whole = body.select("src", "row_id", "at", "word").unionByName(cuts.select("src", "row_id", "at", F.col("joined").alias("word")))
+    each = body.select("src", "row_id", "at", F.explode(F.array_distinct("words")).alias("word"))
+    whole = each.unionByName(halves.select("src", "row_id", "at", "word")).unionByName(cuts.select("src", "row_id", "at", F.col("joined").alias("word")))
     counts = cut(whole.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     wrong = cut(corrections(counts))
     misread = whole.join(wrong, "word").select("src", "row_id", "at", "word", "right").distinct()
