@@ -229,3 +229,75 @@ def mark_segments(segments: DataFrame, special: DataFrame, group: list[str]) ->
     long = (F.length("_s") >= 24) & (F.length("_p") >= 24)
     overlap = F.col("_p").contains(F.col("_s")) | F.col("_s").contains(F.col("_p")) | long & (F.col("_p").contains(F.substring("_s", 1, 80)) | F.col("_s").contains(F.substring("_p", 1, 80)))
     return s.join(p, group).filter(overlap).groupBy(*group, "segment").agg(F.min("section").alias("section"))
+
+
+#: A work without chapters is looked through for sections from this size on; a book is one of late works after so many chapters.
+LARGE_CHARS, LARGE_PARAGRAPHS, SECTIONS, LATE_AFTER, LATE_CHARS = 30_000, 4, 2, 8, 90
+SECTION_TITLE = r"^[А-ЯЁ][А-Яа-яЁё0-9\s'%-]{2,70}$"
+
+
+def internal_sections(divided: DataFrame, order: list[str]) -> DataFrame:
+    """(book_id, work, *order, title): short title-like paragraphs of large works that have no chapters, if a work has two or more.
+
+    ``divided``: the paragraphs of ``chapters``. Sizes are aggregated first, so only paragraphs of works that qualify are looked at.
+    """
+    size = divided.groupBy("book_id", "work").agg(F.sum(F.length("text")).alias("_chars"), F.count(F.lit(1)).alias("_n"), (F.max("chapter") - F.min("chapter")).alias("_chapters"))
+    large = size.filter((F.col("_chars") >= LARGE_CHARS) & (F.col("_n") >= LARGE_PARAGRAPHS) & (F.col("_chapters") == 0)).select("book_id", "work")
+    line = F.trim(F.regexp_replace("text", r"\s+", " "))
+    titles = divided.withColumn("title", line).filter(F.col("title").rlike(SECTION_TITLE) & ~F.lower("title").isin("содержание", "оглавление")).join(large, ["book_id", "work"], "left_semi")
+    several = titles.groupBy("book_id", "work").agg(F.countDistinct(F.lower("title")).alias("_t")).filter(F.col("_t") >= SECTIONS).select("book_id", "work")
+    return titles.join(several, ["book_id", "work"], "left_semi").select("book_id", "work", *order, "title")
+
+
+def late_works(hits: DataFrame, order: list[str]) -> DataFrame:
+    """(book_id, *order, line): numbered headings that begin works, in books that have two works and then eight chapters or more.
+
+    Once one is found every later numbered heading is one, too. A fold over a book's headings, which are few beside its paragraphs.
+    ``hits``: the rows of ``heading_hits``.
+    """
+    item = F.struct(*order, F.col("line"), F.col("is_work"), (F.col("kind") == "numeric_heading").alias("num"))
+    books = hits.groupBy("book_id").agg(F.array_sort(F.collect_list(item)).alias("_h"), F.count_if("is_work").alias("_works")).filter("_works >= 2")
+    last = F.expr("array_max(transform(filter(_h, x -> x.is_work), x -> struct(" + ", ".join(f"x.{o}" for o in order) + ")))")
+    books = books.withColumn("_last", last).withColumn("_after", F.filter("_h", lambda x: F.struct(*[x[o].alias(o) for o in order]) > F.col("_last")))
+    kind = "array<struct<" + ",".join(f"{o}:{hits.schema[o].dataType.simpleString()}" for o in order) + ",line:string>>"
+    # chapters since the last work are counted twice before the first late work, as they are known to lie after it when the fold begins
+    start = F.struct(F.array().cast(kind).alias("done"), F.size(F.filter("_after", lambda x: ~x["num"])).alias("since"), F.lit(False).alias("late"))
+
+    def step(a: Column, x: Column) -> Column:
+        begins = x["num"] & (F.length(x["line"]) <= LATE_CHARS) & ((a["since"] >= LATE_AFTER) | a["late"])
+        found = F.struct(F.concat(a["done"], F.array(F.struct(*[x[o].alias(o) for o in order], x["line"].alias("line")))).alias("done"), F.lit(0).alias("since"), F.lit(True).alias("late"))
+        return F.when(begins, found).otherwise(F.struct(a["done"].alias("done"), F.when(~x["num"] & ~a["late"], a["since"] + 1).otherwise(a["since"]).alias("since"), a["late"].alias("late")))
+
+    return books.select("book_id", F.inline(F.aggregate("_after", start, step, lambda a: a["done"])))
+
+
+def _title_words(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(F.lower(c), "ё", "е"), r"[^а-яе0-9\s-]+", " "), r"\s+", " "))
+
+
+def title_pages(docs: DataFrame, titles: DataFrame, after: DataFrame) -> DataFrame:
+    """(doc_id, number, title, pos): the line where each work named in a contents list (doc_id, number, title) begins, in documents with two
+    works or more. Each takes the first fitting short line after the one before it and after the list (doc_id, end_pos).
+
+    A line fits if it is the title, holds it or is held by it, or has no word that the title lacks.
+    """
+    several = titles.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("number", "title"))).alias("_titles")).filter(F.size("_titles") >= 2)
+    lines = docs.join(several.select("doc_id"), "doc_id", "left_semi").join(after, "doc_id", "left").select("doc_id", F.coalesce("end_pos", F.lit(0)).alias("end_pos"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    short = lines.filter((F.col("pos") >= F.col("end_pos")) & (F.length("line") <= 80) & F.col("line").rlike(r"^\s*(?:[0-9]{1,2}\.\s+)?[А-ЯЁ][А-Яа-яЁё0-9\s'.-]*$")).withColumn("_n", _title_words("line"))
+    pages = short.filter("_n <> ''").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("_n").alias("n")))).alias("_lines"))
+    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<number:int,title:string,pos:int>>").alias("done"))
+
+    def step(a: Column, t: Column) -> Column:
+        want = _title_words(t["title"])
+        words = F.filter(F.split(want, " "), lambda w: F.length(w) >= 2)
+
+        def fits(x: Column) -> Column:
+            own = F.filter(F.split(x["n"], " "), lambda w: F.length(w) >= 2)
+            near = (F.length(want) >= 6) & (F.length(x["n"]) >= 8) & (want.contains(x["n"]) | x["n"].contains(want) | (F.size(own) > 0) & (F.size(F.array_except(own, words)) == 0))
+            return (x["pos"] > a["at"]) & ((x["n"] == want) | near)
+
+        hit = F.array_min(F.transform(F.filter("_lines", fits), lambda x: x["pos"]))
+        found = F.struct(hit.alias("at"), F.concat(a["done"], F.array(F.struct(t["number"].alias("number"), t["title"].alias("title"), hit.alias("pos")))).alias("done"))
+        return F.when(hit.isNull(), a).otherwise(found)
+
+    return several.join(pages, "doc_id").select("doc_id", F.inline(F.aggregate("_titles", start, step, lambda a: a["done"])))

@@ -195,3 +195,26 @@ def c22_marked_segments(spark: SparkSession, d: str) -> DataFrame:
     group = ["book_id", "chapter_index"]
     special = works.special_paragraphs(table(spark, d, "manifest_chunks"), group, ["chunk_index", "row_id"])
     return works.mark_segments(table(spark, d, "chunk_specs").select(*group, F.col("row_id").alias("segment"), "text"), special, group)
+
+
+@query()
+def c11_title_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Where the works that a contents list names begin."""
+    docs = _docs(spark, d)
+    return works.title_pages(docs, works.work_titles(docs), works.contents_ranges(docs).select("doc_id", "end_pos"))
+
+
+@query()
+def c13_late_works(spark: SparkSession, d: str) -> DataFrame:
+    """Numbered headings that begin works."""
+    return works.late_works(works.heading_hits(blocks(spark, d)), _ORDER)
+
+
+@query(rf"""
+WITH s AS (SELECT book_id, work FROM {_DIVIDED} GROUP BY book_id, work HAVING sum(length(text)) >= 30000 AND count(*) >= 4 AND max(chapter) = min(chapter)),
+ t AS (SELECT book_id, work, src, row_id, block, trim(regexp_replace(text, '\s+', ' ', 'g')) AS title FROM {_DIVIDED}),
+ u AS (SELECT * FROM t SEMI JOIN s USING (book_id, work) WHERE regexp_matches(title, '^[А-ЯЁ][А-Яа-яЁё0-9\s''%-]{{2,70}}$') AND lower(title) NOT IN ('содержание', 'оглавление'))
+SELECT src, row_id, block, title FROM u SEMI JOIN (SELECT book_id, work FROM u GROUP BY book_id, work HAVING count(DISTINCT lower(title)) >= 2) v USING (book_id, work)""")
+def c16_internal_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Title-like paragraphs inside large works without chapters."""
+    return works.internal_sections(works.chapters(blocks(spark, d), _ORDER), _ORDER).select("src", "row_id", "block", "title")

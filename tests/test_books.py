@@ -312,3 +312,21 @@ def test_production_quality(spark):
     rows = [(1, 1, 0, 0, "men", "", "a", "x", "", 400, True, None, "passed"), (2, 1, 0, 1, "men", "", "b", "x", "", 100, True, False, "warning"), (3, 1, 0, 2, "men", "", "c", "x", "", 0, None, False, None), (4, 1, 0, 3, "men", "", "c", "x", "", 0, True, True, "passed")]
     df = spark.createDataFrame(rows, C + ", synthesized boolean, deleted boolean, qa_status string")
     assert {r.row_id: (r.score, r.status) for r in analytics.production_qa(df).collect()} == {1: (100, "passed"), 2: (74, "review"), 3: (32, "resynthesize")}
+
+
+def test_late_works_and_title_pages(spark):
+    texts = ["Книга 1", "Книга 2"] + [f"Глава {i}" for i in range(1, 10)] + ["1. Поздняя повесть о реке", "Глава 1", "2. Другая поздняя повесть"]
+    hits = works.heading_hits(paragraphs(spark, *texts))
+    assert [(r.pos, r.line) for r in works.late_works(hits, ["pos"]).orderBy("pos").collect()] == [(11, "1. Поздняя повесть о реке"), (13, "2. Другая поздняя повесть")]
+    assert works.late_works(works.heading_hits(paragraphs(spark, "Книга 1", "1. Поздняя повесть о реке")), ["pos"]).count() == 0
+    doc = "Книга 1\nБольшая река\n7\nКнига 2\nТёмный лес\n90\n" + "x" * 210 + "\nБольшая река\nслова\nТемный лес\nконец"
+    docs = spark.createDataFrame([(1, doc)], "doc_id bigint, text string")
+    after = spark.createDataFrame([(1, 6)], "doc_id bigint, end_pos int")
+    assert [(r.number, r.pos) for r in works.title_pages(docs, works.work_titles(docs), after).orderBy("number").collect()] == [(1, 7), (2, 9)]
+
+
+def test_internal_sections(spark):
+    long = "слово " * 2000
+    df = paragraphs(spark, "Первая часть пути", long, long, "Вторая часть пути", long, "не заголовок, а строка")
+    got = works.internal_sections(works.chapters(df, ["pos"]), ["pos"])
+    assert [r.pos for r in got.orderBy("pos").collect()] == [0, 3] and works.internal_sections(works.chapters(df.filter("pos < 3"), ["pos"]), ["pos"]).count() == 0
