@@ -243,3 +243,26 @@ def test_lookalikes_come_from_the_union_find(pairs, monkeypatch):
 def test_the_corpus_chooses_the_representative(spark):
     wide = fit_pairs(spark.createDataFrame([("ｂｏｘ ｂｏｘ ｂｏｏｋ " * 400,), ("b",)], "text string"))
     assert lookalike.Classes(wide).plain["b"] == "ｂ"
+
+
+def test_a_very_long_line_of_sentences(corpus):
+    import time
+
+    model = sentences.fit_sentences(corpus.select("text"))
+    began = time.time()
+    line = "The miller slept, he said. “No! Never.” he said. — Да, — сказал он. Все ушли! " * 4000
+    spans = sentences.sentence_ends(line, model)
+    assert spans[-1][1] == len(line.rstrip()) and len(spans) > 8000 and time.time() - began < 60
+
+
+def test_han_has_a_profile_like_any_other(spark, pairs):
+    zh = ["老木匠在阁楼里修好了银色的箱子，谁也不相信这个故事。", "年轻的磨坊主站在门口，慢慢地读着报纸，狗却一直叫个不停。"]
+    rows = [("t", i, x, lab) for i, (x, lab) in enumerate([(t, l) for l, ts in (("ru", RU), ("en", EN), ("zh", zh)) for t in ts] * 40)]
+    df = spark.createDataFrame(rows, "src string, row_id bigint, text string, language string")
+    table = spark.createDataFrame([("ru", "ru"), ("en", "en"), ("zh", "zh")], "label string, lang string")
+    profiles = language.fit_profiles(language.with_label(df, "language", table).select(F.col("row_id").alias("id"), "text", "labelled"))
+    han = profiles.rank[profiles.languages.index("zh"), language.HAN_BASE :]
+    assert (han < language.PROFILE).sum() > 20 and (profiles.rank[profiles.languages.index("ru"), language.HAN_BASE :] == language.PROFILE).all()
+    test = [("t", 1, "木匠读着银色的报纸，狗叫个不停。", "ru"), ("t", 2, zh[0] + RU[0], "zh")]
+    out = {r.row_id: r for r in language.label_languages(spark.createDataFrame(test, df.schema), ["row_id"], "text", "language", table, profiles, sentences.fit_sentences(df.select("text")), pairs).collect()}
+    assert out[1].lang == "zh" and [s.lang for s in out[2].segments] == ["zh", "ru"]
