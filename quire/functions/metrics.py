@@ -1,7 +1,7 @@
 """How two texts differ: error rates, matching blocks, repetitions; and whether a corrected text kept its source.
 
-Character rates are built-in. What needs an alignment of words runs over Arrow batches: the words of a
-pair become integers once, and the distance is worked out row by row of the table as vectors.
+Character rates are built-in. What needs an alignment of words runs over Arrow batches; the distance is worked out
+with a whole column of the table in the bits of an integer.
 """
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ from __future__ import annotations
 import difflib
 import re
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,16 +30,25 @@ def words(c: Column) -> Column:
 
 
 def edit_distance(a: list[str], b: list[str]) -> int:
-    """Levenshtein distance of two word lists of any length, a row of the table at a time."""
-    code: dict[str, int] = {}
-    x, y = (np.array([code.setdefault(w, len(code)) for w in ws], np.int64) for ws in (a, b))
-    place = np.arange(len(y) + 1)
-    row = place.copy()
-    for i, w in enumerate(x, 1):
-        step = np.minimum(row[1:] + 1, row[:-1] + (y != w))
-        # a word left out of the other list costs one: the running minimum along the row
-        row = np.minimum.accumulate(np.concatenate(([i], step)) - place) + place
-    return int(row[-1])
+    """Levenshtein distance of two word lists of any length: a column of the table at a time, its differences up and down
+    as the bits of two integers."""
+    if not a or not b:
+        return len(a) or len(b)
+    places: dict[str, int] = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = full, 0, len(a)
+    for w in b:
+        same = places.get(w, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        right = (down | ~(diagonal | up)) & full
+        left = up & diagonal
+        distance += bool(right & last) - bool(left & last)
+        right, left = right << 1 | 1, left << 1
+        up = (left | ~((same | down) | right)) & full
+        down = right & (same | down) & full
+    return distance
 
 
 def repeated_score(ws: list[str]) -> float:

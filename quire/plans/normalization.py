@@ -9,7 +9,7 @@ from quire.functions import language, normalize, russian
 from quire.functions.rules import Rule, rules_sql
 from quire.operators import paragraphs, structure
 from quire.plans.registry import TEXTS, query, texts
-from quire.sources.tables import table
+from quire.sources.tables import spread, table
 
 
 def _stage(name: str, sql: str | None, stage=None) -> None:
@@ -88,7 +88,7 @@ def n_noise_lines(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def n_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """All Russian stages."""
-    return normalize.normalized(texts(spark, d).select("src", "row_id", "text"), "text", normalize.RUSSIAN)
+    return normalize.normalized(spread(texts(spark, d).select("src", "row_id", "text")), "text", normalize.RUSSIAN)
 
 
 _TRACKED = [s for s in normalize.NEUTRAL if s[0] in ("encoding_artifacts", "common_mojibake", "whitespace", "page_numbers", "empty_lines", "indents", "dashes", "ellipsis", "repeated_commas")]

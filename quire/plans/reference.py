@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quire.functions import metrics, normalize
 from quire.operators import analytics, dialogue, manifest, review, structure
 from quire.plans.registry import ORACLES, TEXTS, query, texts
-from quire.sources.tables import table
+from quire.sources.tables import spread, table
 from quire.streaming import events
 
 # Structure
@@ -390,7 +390,7 @@ def q6_titles(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q1_error_rates(spark: SparkSession, d: str) -> DataFrame:
     """Word and character error rates of the normalised against the raw text, of all texts."""
-    t = texts(spark, d).filter("text IS NOT NULL").select("src", "row_id", F.col("text").alias("raw"), normalize.asr_text(F.col("text")).alias("clean"))
+    t = spread(texts(spark, d).filter("text IS NOT NULL")).select("src", "row_id", F.col("text").alias("raw"), normalize.asr_text(F.col("text")).alias("clean"))
     return t.select("src", "row_id", F.round(metrics.word_error_rate(F.col("raw"), F.col("clean")), 6).alias("wer"), F.round(metrics.char_error_rate(F.col("raw"), F.col("clean")), 6).alias("cer"))
 
 
