@@ -242,7 +242,8 @@ PYTHON = ("numbers",)
 
 
 def pipeline(c: Column, stages: list[tuple[str, Stage]]) -> Column:
-    """All stages as one expression, each bound once where that can be. A null text stays null. Over a table ``normalized`` costs less."""
+    """All stages as one expression, each bound once where that can be. A null text stays null. Over a table ``normalized`` costs less,
+    and stages of ``PYTHON`` need it: Spark does not always find a Python function whose argument holds lambdas inside lambdas."""
     return reduce(lambda x, stage: stage[1](x) if stage[0] in PYTHON else bound(x, stage[1]), stages, c)
 
 

@@ -92,7 +92,8 @@ def suspicious_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     marks = lambda c: F.regexp_count(c, F.lit(r"[.,!?;:…—]"))
 
     def side(df: DataFrame, p: str) -> DataFrame:
-        return df.filter("text IS NOT NULL").groupBy("book_id").agg(F.median(F.length("text")).alias(f"median_{p}"), F.count(F.lit(1)).alias(f"n_{p}"), F.sum(marks(F.col("text"))).alias(f"marks_{p}"))
+        # no filter on the text: it would be pushed through the stages that made the text, each named several times
+        return df.groupBy("book_id").agg(F.median(F.length("text")).alias(f"median_{p}"), F.count("text").alias(f"n_{p}"), F.sum(marks(F.col("text"))).alias(f"marks_{p}")).filter(f"n_{p} > 0")
 
     j = side(before, "before").join(side(after, "after"), "book_id", "full")
     ratio = F.col("median_after") / F.nullif(F.col("median_before"), F.lit(0.0))

@@ -311,7 +311,7 @@ def a8_heading_diff(spark: SparkSession, d: str) -> DataFrame:
 def a9_suspicious_changes(spark: SparkSession, d: str) -> DataFrame:
     """What the whole pipeline changes in each book."""
     t = _chunks(spark, d).select("book_id", "text")
-    return review.suspicious_changes(t, t.withColumn("text", normalize.pipeline(F.col("text"), normalize.RUSSIAN)))
+    return review.suspicious_changes(t, normalize.normalized(spread(t), "text", normalize.RUSSIAN))
 
 
 @query("""
