@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -101,15 +101,22 @@ def measure(data: bytes | None) -> tuple:
     )
 
 
-def inspect(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """``(*keys, measures...)`` of WAV files; one that cannot be read has an ``error`` and nulls."""
-    part = files.select(*keys, F.col(content).alias("_data"))
+def inspect(files: DataFrame, keys: list[str], *content: str, render: Callable[..., bytes] | None = None) -> DataFrame:
+    """``(*keys, measures...)`` of WAV files; one that cannot be read has an ``error`` and nulls.
+
+    ``render`` makes a file of the columns ``content``, one at a time: recordings that are made need not be a column,
+    of which Spark would hold those of many rows at once.
+    """
+    content = content or ("content",)
+    data = [f"_data{i}" for i in range(len(content))]
+    part = files.select(*keys, *[F.col(c).alias(d) for c, d in zip(content, data)])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema if f.name in keys)
     names = [c.split()[0] for c in MEASURES.replace("array<struct<start_ms:int,end_ms:int,kind:string>>", "array").split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = pd.DataFrame([measure(d) for d in pdf["_data"]], columns=names).astype(object)
+            cells = zip(*[pdf[d] for d in data])
+            rows = pd.DataFrame([measure(render(*x) if render else x[0]) for x in cells], columns=names).astype(object)
             yield pd.concat([pdf[keys].reset_index(drop=True), rows.where(rows.notna(), None)], axis=1)
 
     return part.mapInPandas(run, f"{schema}, {MEASURES}")

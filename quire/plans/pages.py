@@ -6,10 +6,8 @@ import io
 import wave
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from quire.operators import audio, ocr, stress
 from quire.plans.registry import BLOCKS, TEXTS, blocks, query, texts
@@ -128,26 +126,22 @@ def t5_rendered(spark: SparkSession, d: str) -> DataFrame:
 # recordings: the tables have none, so each text is given a tone as long as it would be spoken
 
 
-@F.pandas_udf(BinaryType())  # a type object needs no session
-def _tone(chars: pd.Series, gap: pd.Series) -> pd.Series:
-    out = []
-    for n, g in zip(chars, gap):
-        t = np.arange(int(8 * (200 + 10 * n)))
-        x = 0.4 * np.sin(t * 0.3) * (1 + 0.5 * np.sin(t * 0.001))
-        x = np.concatenate((x, np.zeros(int(8 * g)), x[: len(x) // 2]))
-        buffer = io.BytesIO()
-        with wave.open(buffer, "wb") as w:
-            w.setnchannels(1)
-            w.setsampwidth(2)
-            w.setframerate(8000)
-            w.writeframes((x * 32767).astype("<i2").tobytes())
-        out.append(buffer.getvalue())
-    return pd.Series(out)
+def _tone(n: int, g: int) -> bytes:
+    t = np.arange(int(8 * (200 + 10 * n)))
+    x = 0.4 * np.sin(t * 0.3) * (1 + 0.5 * np.sin(t * 0.001))
+    x = np.concatenate((x, np.zeros(int(8 * g)), x[: len(x) // 2]))
+    buffer = io.BytesIO()
+    with wave.open(buffer, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(8000)
+        w.writeframes((x * 32767).astype("<i2").tobytes())
+    return buffer.getvalue()
 
 
 @query()
 def q7_recordings(spark: SparkSession, d: str) -> DataFrame:
     """Measures and issues of a tone for every text: its length, silence and loudness are known."""
     t = table(spark, d, "chunk_specs").select("row_id", F.length(F.coalesce("text", F.lit(""))).alias("n"), F.coalesce("pause_after_ms", F.lit(0)).alias("g"))
-    m = audio.inspect(t.select("row_id", "n", _tone("n", "g").alias("content")), ["row_id", "n"])
+    m = audio.inspect(t, ["row_id", "n"], "n", "g", render=_tone)
     return m.select("row_id", F.round("duration_ms", 1).alias("duration_ms"), F.size("silences").alias("silences"), audio.issues(200 + 15.0 * F.col("n")).alias("issues"), audio.kept_ranges(F.col("silences"), F.col("duration_ms")).alias("kept"))

@@ -1,4 +1,4 @@
-from quire.plans import reference
+from quire.plans import pages, reference
 
 
 def test_suspicious_changes_over_the_whole_pipeline(spark, tmp_path):
@@ -13,3 +13,15 @@ def test_suspicious_changes_over_the_whole_pipeline(spark, tmp_path):
     assert not one.median_changed and not one.count_changed
     # ", семь"
     assert (three.marks_before, three.marks_after, three.marks_lost) == (8, 1, True)
+
+
+def test_recordings_are_made_one_at_a_time(spark, tmp_path):
+    rows = [(1, None, None), (2, "а" * 100, 900), (3, "", 100)]
+    spark.createDataFrame(rows, "row_id bigint, text string, pause_after_ms int").write.parquet(f"{tmp_path}/chunk_specs.parquet")
+    df = pages.q7_recordings(spark, str(tmp_path))
+    got = {r.row_id: r for r in df.collect()}
+    assert {k: r.duration_ms for k, r in got.items()} == {1: 300.0, 2: 2700.0, 3: 400.0}
+    assert {k: r.silences for k, r in got.items()} == {1: 0, 2: 1, 3: 0}
+    assert [tuple(x) for x in got[2].kept] == [(0, 1650), (2100, 2700)]
+    # no column of the plan holds a recording
+    assert "ArrowEvalPython" not in df._jdf.queryExecution().executedPlan().toString()
